@@ -52,9 +52,7 @@ MAX_CREDITS = max(CREDITS.values())
 MAX_CAMPAIGNS = max(CAMPAIGN_LIMIT.values())
 
 # (plan, module) pairs by rank: at most plans x modules rows, so always a tiny static table.
-PLAN_MODULES = [
-    (p[0], m[0], m[1], m[2], m[3]) for p in PLANS for m in MODULES if p[5] >= RANK[m[3]]
-]
+PLAN_MODULES = [(p[0], i, *m) for p in PLANS for i, m in enumerate(MODULES) if p[5] >= RANK[m[3]]]
 PLAN_LOCKED = [
     (p[0], m[0], m[1], m[3], next(q[2] for q in PLANS if q[0] == m[3]))
     for p in PLANS for m in MODULES if p[5] < RANK[m[3]]

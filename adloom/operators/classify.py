@@ -30,13 +30,14 @@ def detect_category(df: DataFrame, text: Column, categories: list[Category] = BU
     Keywords are inlined after a size check, so no row is exchanged or multiplied.
     """
     check_size(categories)
-    best = df.withColumn("_folded", fold_accents(text)).withColumn(
-        "_best", F.array_max(category_scores(F.col("_folded"), categories)))
+    # Bound to a lambda variable, the folded text is computed once and not once per keyword.
+    scores = F.get(F.transform(F.array(fold_accents(text)), lambda folded: category_scores(folded, categories)), F.lit(0))
+    best = df.withColumn("_best", F.array_max(scores))
     found = F.col("_best.score") > 0
     return best.withColumns({
         "detected_id": F.when(found, F.col("_best.id")).otherwise(F.lit(categories[-1].id)),
         "detected_score": F.when(found, F.col("_best.score")).otherwise(F.lit(0)),
-    }).drop("_folded", "_best")
+    }).drop("_best")
 
 
 def detect_category_by_grams(df: DataFrame, key: str, text: Column, keywords: DataFrame, lengths: list[int],
@@ -47,9 +48,13 @@ def detect_category_by_grams(df: DataFrame, key: str, text: Column, keywords: Da
     is broadcast or crossed. ``key`` is unique per row.
     """
     folded = df.select(key, fold_accents(text).alias("_t"))
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length("_t") >= n, F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i, n=n: F.substring("_t", i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in lengths])))
+
+    def substrings(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.length("_t") - n + 1)
+        every = F.transform(at, lambda i: F.substring(F.col("_t"), i, F.lit(n)))
+        return F.when(F.length("_t") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(substrings, lengths))))
     hits = folded.select(key, F.explode(grams).alias("keyword")).join(keywords, "keyword")
     scores = hits.groupBy(key, "category_id", "ord").agg(F.sum(F.length("keyword")).alias("score"))
     best = scores.groupBy(key).agg(argmax_first(F.col("category_id"), F.col("score"), F.col("ord")).alias("detected_id"))

@@ -19,10 +19,10 @@ def by_attribute(items: DataFrame, name: str, value: str | None) -> DataFrame:
     return items if value is None else items.filter(F.col("attrs")[name] == value)
 
 
-def modules_by_group(modules: DataFrame) -> DataFrame:
+def modules_by_group(modules: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Module ids per group in listed order; groups without modules do not appear."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", "module_id")))
-    return modules.groupBy("module_group").agg(F.array_join(F.transform(ordered, lambda m: m["module_id"]), ",").alias("modules"))
+    return modules.groupBy(*keys, "module_group").agg(F.array_join(F.transform(ordered, lambda m: m["module_id"]), ",").alias("modules"))
 
 
 def missing_config(df: DataFrame, required: list[str]) -> DataFrame:

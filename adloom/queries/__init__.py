@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "creative"]
+MODULES = ["text", "scoring", "accounts", "creative"]
 
 
 def load_all():

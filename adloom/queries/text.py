@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from adloom.functions import numbers, text, urls
 from adloom.operators import filters
 from adloom.queries import sqlkit as S
-from adloom.queries.inputs import product_urls, products, table
+from adloom.queries.inputs import products, table
 from adloom.queries.registry import query
 from adloom.sources import products as source
-from adloom.sources.static import category_pains, kb_values, load_kb, load_modules
+from adloom.sources.static import category_pains, kb_values, load_kb
 
 SOURCE_CASE = """CASE WHEN coalesce(source_url, '') = '' THEN 'manual' WHEN contains(lower(source_url), 'aliexpress') THEN 'aliexpress'
   WHEN contains(lower(source_url), 'amazon') OR contains(lower(source_url), 'amzn.') THEN 'amazon'
@@ -285,12 +285,3 @@ def _(spark, sf):
     conf = c.select("c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.lit("x@example.com")).alias("email"),
                     F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"))
     return filters.missing_config(conf, ["name", "email", "segment"]).select("c_custkey", "missing")
-
-
-@query("modules_by_group", S.with_ctes(S.MODULE_CTE) + """
-SELECT module_group, string_agg(module_id, ',' ORDER BY ord) AS modules, (SELECT count(*) FROM customer) AS customers
-FROM modules WHERE module_group <> 'Conversión' GROUP BY 1""")
-def _(spark, sf):
-    groups = filters.modules_by_group(load_modules(spark).filter(F.col("module_group") != "Conversión"))
-    total = table(spark, sf, "customer").agg(F.count("*").alias("customers"))
-    return groups.join(F.broadcast(total))

@@ -62,7 +62,7 @@ def load_costs(spark: SparkSession) -> DataFrame:
 
 def plan_modules(spark: SparkSession) -> DataFrame:
     return static_table(spark, subscriptions.PLAN_MODULES,
-                        "plan_id string, module_id string, module_name string, module_group string, min_plan string")
+                        "plan_id string, ord int, module_id string, module_name string, module_group string, min_plan string")
 
 
 def plan_locked(spark: SparkSession) -> DataFrame:
