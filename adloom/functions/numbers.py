@@ -33,7 +33,8 @@ def parse_money(text: Column) -> Column:
 
 
 def clamp(x: Column, lo, hi) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    """Value limited to lo..hi; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def clamp_pct(x: Column, top: Column) -> Column:

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from adloom.functions.binding import let
+
 # White space as browsers trim and split it.
 SPACES = " \t\n\r\x0b\f\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE_RUN = r"[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
@@ -54,7 +56,7 @@ def short_name(name: Column) -> Column:
 
     words = F.slice(F.split(strip(name), SPACE_RUN), 1, 4)
     # Four words can lose at most two, so two rounds are the whole loop.
-    return F.concat_ws(" ", drop_last(drop_last(words)))
+    return F.concat_ws(" ", let(let(words, drop_last), drop_last))
 
 
 def name_or_default(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from adloom.functions.binding import let
 from adloom.functions.text import SPACE_RUN, strip
 
 # Marketplace substrings in rule order.
@@ -48,10 +49,11 @@ def _host(url: Column) -> Column:
 
 def url_domain(url: Column) -> Column:
     """Host name without its first ``www.``; text that is no URL comes back unchanged."""
-    host = F.lower(_host(url))
-    at = F.locate("www.", host)
-    bare = F.when(at > 0, F.concat(F.left(host, at - 1), F.substring(host, at + 4, F.length(host)))).otherwise(host)
-    return F.coalesce(bare, url)
+    def bare(host):
+        at = F.locate("www.", host)
+        return F.when(at > 0, F.concat(F.left(host, at - 1), F.substring(host, at + 4, F.length(host)))).otherwise(host)
+
+    return F.coalesce(let(F.lower(_host(url)), bare), url)
 
 
 def longest_segment(segments: Column) -> Column:
@@ -71,7 +73,10 @@ def guess_name(url: Column) -> Column:
     for pattern, new in [(r"(?i)\.html?$", ""), (r"\d{6,}", ""), ("[-_+]", " "),
                          (rf"(?i)\b({SHOP_WORDS})\b", ""), (SPACE_RUN, " ")]:
         slug = F.regexp_replace(slug, pattern, new)
-    slug = strip(slug)
+    return let(strip(slug), _capitalised)
+
+
+def _capitalised(slug: Column) -> Column:
     words = F.transform(F.split(slug, " "), lambda w: F.when(
         F.length(w) > 2, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w))
     return F.when(F.length(slug) < 4, "").otherwise(F.concat_ws(" ", words))

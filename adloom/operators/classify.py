@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adloom.functions.binding import let
 from adloom.functions.text import fold_accents
 from adloom.knowledge.categories import BUILTIN, Category, check_size
 
@@ -30,9 +31,8 @@ def detect_category(df: DataFrame, text: Column, categories: list[Category] = BU
     Keywords are inlined after a size check, so no row is exchanged or multiplied.
     """
     check_size(categories)
-    # Bound to a lambda variable, the folded text is computed once and not once per keyword.
-    scores = F.get(F.transform(F.array(fold_accents(text)), lambda folded: category_scores(folded, categories)), F.lit(0))
-    best = df.withColumn("_best", F.array_max(scores))
+    # Bound, the folded text is computed once and not once per keyword.
+    best = df.withColumn("_best", F.array_max(let(fold_accents(text), lambda folded: category_scores(folded, categories))))
     found = F.col("_best.score") > 0
     return best.withColumns({
         "detected_id": F.when(found, F.col("_best.id")).otherwise(F.lit(categories[-1].id)),

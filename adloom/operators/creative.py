@@ -148,6 +148,18 @@ def all_items(enriched: DataFrame, modules: list[str] | None = None) -> DataFram
     return out
 
 
+def angle_duration_grid(df: DataFrame) -> DataFrame:
+    """Every script angle with every duration, from two literal arrays."""
+    angles = F.array(*map(F.lit, templates.ANGLES))
+    durations = F.array(*[F.lit(d) for d, _ in templates.DURATIONS])
+    return df.withColumn("angle", F.explode(angles)).withColumn("duration", F.explode(durations))
+
+
+def render_block(label: Column) -> Column:
+    """Text block of one item: numbered title, text and detail."""
+    return F.concat(label, F.lit(". "), F.col("title"), F.lit("\n"), F.concat_ws("\n", "text", "detail"))
+
+
 def nested_module(module: str) -> Column:
     """The module as an array of structs inside the product row; no rows are exploded or exchanged."""
     rows = templates.BUILTIN[module]

@@ -1,0 +1 @@
+"""Composed logical plans: whole campaigns from a catalog."""

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.functions.seeded import pick, draw, digest
-from adloom.functions.text import split_title
+from adloom.functions import urls
+from adloom.functions.numbers import priority_tone
+from adloom.functions.seeded import digest, draw
+from adloom.functions.text import ordinal_label, split_title
 from adloom.knowledge import templates
-from adloom.operators import catalog, creative
+from adloom.operators import catalog, creative, filters, overlay, reports, selection
+from adloom.operators.catalog import with_campaign_id
+from adloom.plans.campaigns import build_campaigns, campaign_markdown
 from adloom.queries.inputs import products
 from adloom.queries.registry import query
+from adloom.queries.text import LABEL_CASE, SOURCE_CASE
 from adloom.queries import sqlkit as S
+from adloom.sources.static import static_table
 
 
 def enriched(spark, sf) -> DataFrame:
@@ -37,3 +43,239 @@ for _module, _name in [
     ("viral", "growth_recommendations"),
 ]:
     _module_query(_module, _name)
+
+
+TEXT_COLUMNS = ["product_id", "campaign_id", "module", "item_group", "ord", "title", "text", "detail"]
+
+
+def hook_ctes() -> str:
+    return S.with_ctes(*S.base_ctes(), S.template_cte("hooks", "hook_tpl"), S.filled_ctes("hook_tpl", "hook_filled"),
+                       "hooks AS (SELECT product_id, campaign_id, seed, ord, item_group, f[1] AS title, f[2] AS text, f[3] AS detail, attrs FROM hook_filled)")
+
+
+AB_SQL = hook_ctes() + ",\n" + S.template_cte("abtesting", "ab_tpl") + ",\n" + S.filled_ctes("ab_tpl", "ab_filled").strip() + """,
+ab AS (
+  SELECT product_id, campaign_id, 'abtesting' AS module, 'Hooks' AS item_group, ord, title, text, 'Retención a 3 segundos' AS detail FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY md5(seed || '|abtesting|' || ord::VARCHAR)) AS n FROM hooks) WHERE n <= 50
+  UNION ALL SELECT product_id, campaign_id, module, item_group, ord, f[1], f[2], f[3] FROM ab_filled)
+"""
+
+
+@query("generate_ab_variants", AB_SQL + "SELECT * FROM ab")
+def _(spark, sf):
+    return creative.ab_variants(enriched(spark, sf)).select(TEXT_COLUMNS)
+
+
+LISTS = S.with_ctes(*S.base_ctes(), S.template_cte("intelligence"), S.filled_ctes("tpl", "filled")) + f""",
+listed AS (SELECT product_id, campaign_id, 'secondary_problems' AS g, {S.sampled('seed', 'secondary', 'secondary_problems', 4)} AS v FROM enriched
+  UNION ALL SELECT product_id, campaign_id, 'benefits', b FROM enriched UNION ALL SELECT product_id, campaign_id, 'audiences', audience_names FROM enriched)
+SELECT product_id, campaign_id, module, item_group, ord, f[1] AS title, f[2] AS text, f[3] AS detail FROM filled
+UNION ALL SELECT product_id, campaign_id, 'intelligence', g, generate_subscripts(v, 1), '', unnest(v), '' FROM listed"""
+
+
+@query("generate_intelligence", LISTS)
+def _(spark, sf):
+    return creative.intelligence_lists(enriched(spark, sf))
+
+
+@query("landing_benefit_blocks", S.items_sql("landing", """SELECT product_id, ord, trim(split_part(text, ':', 1)) AS title,
+  coalesce(nullif(trim(CASE WHEN contains(text, ':') THEN substr(text, strpos(text, ':') + 1) END), ''), detail) AS body FROM items WHERE item_group = 'benefits'"""))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "landing").filter(F.col("item_group") == "benefits")
+    title, body = split_title(F.col("text"), F.col("detail"))
+    return items.select("product_id", "ord", title.alias("title"), body.alias("body"))
+
+
+@query("hook_by_angle", S.with_ctes(S.PRODUCTS, S.ANGLE_CTE) + f"""
+SELECT product_id, angle, coalesce(a.lines, {S.lit(next(iter(templates.ANGLE_HOOKS.values())))})[({S.draw(S.digest('name', 'angle'))}) % 3 + 1] AS line
+FROM products CROSS JOIN (SELECT unnest({S.lit(templates.ANGLES + ['Otro'])}) AS angle) LEFT JOIN angle_hooks a USING (angle)""")
+def _(spark, sf):
+    angles = F.explode(F.array(*[F.lit(a) for a in templates.ANGLES + ["Otro"]])).alias("angle")
+    rows = products(spark, sf).select("product_id", "name", angles)
+    return rows.select("product_id", "angle", creative.angle_hook(F.col("angle"), draw(digest(F.col("name"), F.col("angle")))).alias("line"))
+
+
+@query("angle_duration_grid", S.products_sql(f"""SELECT product_id, angle, duration FROM products, (SELECT unnest({S.lit(templates.ANGLES)}) AS angle),
+  (SELECT unnest({S.lit([d for d, _ in templates.DURATIONS])}) AS duration)"""))
+def _(spark, sf):
+    return creative.angle_duration_grid(products(spark, sf)).select("product_id", "angle", "duration")
+
+
+@query("scripts_by_duration", S.items_sql("scripts", "SELECT product_id, ord, title FROM items WHERE contains(attrs, 'duration=45s')"))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "scripts")
+    return filters.by_attribute(items, "duration", "45s").select("product_id", "ord", "title")
+
+
+@query("prompts_by_tool", S.items_sql("imageprompts", "SELECT product_id, ord, text FROM items WHERE attrs LIKE '%tool=Flux%'"))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "imageprompts")
+    return filters.by_attribute(items, "tool", "Flux").select("product_id", "ord", "text")
+
+
+@query("links_by_platform", S.items_sql("library", "SELECT product_id, item_group AS platform, string_agg(text, ' ' ORDER BY ord) AS links FROM items GROUP BY 1, 2"))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "library")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))  # at most the templates of one platform
+    return items.groupBy("product_id", F.col("item_group").alias("platform")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("links"))
+
+
+@query("group_counts", S.with_ctes(S.PRODUCTS) + ", t(module, item_group, k) AS (VALUES " + ", ".join(
+    f"({S.lit(m)}, {S.lit(g)}, {sum(r['item_group'] == g for r in rows)})" for m, rows in templates.BUILTIN.items() if m in ("hooks", "visual", "planner")
+    for g in dict.fromkeys(r["item_group"] for r in rows)) + ") SELECT module, item_group, (k * (SELECT count(*) FROM products))::BIGINT AS n FROM t")
+def _(spark, sf):
+    return reports.group_counts(creative.all_items(enriched(spark, sf), ["hooks", "visual", "planner"]))
+
+
+@query("all_items", S.with_ctes(S.PRODUCTS) + ", t(module, k) AS (VALUES " + ", ".join(
+    f"({S.lit(m)}, {len(rows) + (50 if m == 'abtesting' else 0)})" for m, rows in templates.BUILTIN.items() if m != "intelligence")
+    + ") SELECT module, (k * (SELECT count(*) FROM products))::BIGINT AS n FROM t")
+def _(spark, sf):
+    return creative.all_items(enriched(spark, sf)).groupBy("module").agg(F.count("*").alias("n"))
+
+
+KPI_COUNTS = {"hooks": 116, "scripts": 36, "ads": 10, "ugc": 7, "imageprompts": 18, "videoprompts": 12, "offers": 7, "abtesting": 115}
+CAMPAIGN_SQL = "'cmp_' || sha256(concat_ws('|', product_id::VARCHAR, name, source_url)) AS campaign_id"
+
+
+@query("campaign_kpis", S.products_sql(f"SELECT {CAMPAIGN_SQL}, " + ", ".join(f"{n}::BIGINT AS n_{m}" for m, n in KPI_COUNTS.items()) + " FROM products"))
+def _(spark, sf):
+    return reports.campaign_kpis(creative.all_items(enriched(spark, sf), list(KPI_COUNTS)))
+
+
+@query("campaign_cards", S.scored_sql(f"""SELECT campaign_id, name, timestamp '2024-01-01' + to_days(product_id::INTEGER % 28) AS created,
+  {LABEL_CASE.format('(' + SOURCE_CASE + ')')} AS source_label, score, 116::BIGINT AS n_hooks, 36::BIGINT AS n_scripts, 10::BIGINT AS n_ads, 7::BIGINT AS n_ugc FROM scored"""))
+def _(spark, sf):
+    e = enriched(spark, sf)
+    created = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("product_id") % 28).cast("int"))
+    campaigns = e.select("campaign_id", "name", created.alias("created"), urls.source_label(urls.source_type(F.col("source_url"))).alias("source_label"), "score")
+    cards = reports.campaign_cards(reports.campaign_kpis(creative.all_items(e, ["hooks", "scripts", "ads", "ugc"])), campaigns)
+    return cards.orderBy(F.col("created").desc(), "campaign_id")
+
+
+@query("distinct_in_order", S.items_sql("scripts", "SELECT item_group AS duration, min(ord)::INTEGER AS first_seen FROM items GROUP BY 1"))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "scripts").select(F.col("item_group").alias("duration"), "ord")
+    return selection.distinct_in_order(items, "duration", "ord").orderBy("first_seen")
+
+
+@query("distinct_values", S.items_sql("library", "SELECT DISTINCT item_group AS platform FROM items"))
+def _(spark, sf):
+    return creative.expand_templates(enriched(spark, sf), "library").select(F.col("item_group").alias("platform")).distinct()
+
+
+@query("plan_workload", S.items_sql("planner", r"""SELECT item_group AS phase, regexp_extract(attrs, 'priority=(\w+)', 1) AS priority,
+  sum(regexp_extract(attrs, 'count=(\d+)', 1)::INTEGER)::BIGINT AS pieces, count(*) AS lines FROM items GROUP BY ROLLUP (1, 2)"""))
+def _(spark, sf):
+    return reports.plan_workload(creative.expand_templates(enriched(spark, sf), "planner"))
+
+
+@query("priority_tone", S.items_sql("planner", r"""SELECT product_id, ord, CASE regexp_extract(attrs, 'priority=(\w+)', 1) WHEN 'Alta' THEN 'bad' WHEN 'Media' THEN 'warn' ELSE 'default' END AS tone FROM items"""))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "planner")
+    return items.select("product_id", "ord", priority_tone(F.col("attrs")["priority"]).alias("tone"))
+
+
+@query("head_k", S.items_sql("landing", "SELECT product_id, item_group, ord, text FROM (SELECT *, row_number() OVER (PARTITION BY product_id, item_group ORDER BY ord) AS rank FROM items) WHERE rank <= 2"))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "landing").select("product_id", "item_group", "ord", "text")
+    return selection.top_k_per_key(items, ["product_id", "item_group"], [F.col("ord")], 2).drop("rank")
+
+
+@query("flatten_hooks", hook_ctes() + "\nSELECT product_id, ord AS pos, text FROM hooks")
+def _(spark, sf):
+    nested = enriched(spark, sf).select("product_id", creative.nested_module("hooks").alias("hooks"))
+    return nested.select("product_id", F.posexplode(F.transform("hooks", lambda h: h["text"])).alias("pos", "text")).withColumn("pos", F.col("pos") + 1)
+
+
+@query("render_block", S.items_sql("ads", "SELECT product_id, ord, lpad(ord::VARCHAR, 2, '0') || '. ' || title || chr(10) || text || chr(10) || detail AS block FROM items"))
+def _(spark, sf):
+    items = creative.expand_templates(enriched(spark, sf), "ads")
+    return items.select("product_id", "ord", creative.render_block(ordinal_label(F.col("ord"))).alias("block"))
+
+
+@query("build_campaigns", S.scored_sql("SELECT product_id, campaign_id, score AS total, probability, 116 AS hooks, 216 AS beats, 50 AS ab_hooks, 28 AS landing, 7 AS benefits FROM scored"))
+def _(spark, sf):
+    c = F.col
+    docs = build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp"))
+    return docs.select("product_id", "campaign_id", c("score.total").alias("total"), c("viral.probability").alias("probability"),
+                       F.size("hooks").alias("hooks"), F.size("beats").alias("beats"), F.size("abhooks").alias("ab_hooks"), F.size("landing").alias("landing"),
+                       F.size("intelligence.benefits").alias("benefits"))
+
+
+@query("campaign_markdown")
+def _(spark, sf):
+    docs = build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp"))
+    return campaign_markdown(docs).select("product_id", "campaign_id", "markdown")
+
+
+# ---- overlays --------------------------------------------------------------------------------
+
+def overlays(spark, sf) -> DataFrame:
+    """One overlay document in JSON for every fourth product; some are cut, incomplete or hold an extra field."""
+    c, k = F.col, F.col("product_id")
+    row = products(spark, sf).filter(k % 4 == 0)
+    texts = lambda *v: F.array(*[F.concat(F.lit(x), c("name")) for x in v])
+    persona = lambda who, i: F.struct(F.lit(who).alias("persona"), F.concat(F.lit(f"gancho {i} "), c("name")).alias("hook"), F.lit(f"guion {i}").alias("script"))
+    doc = F.struct(
+        F.when(k % 20 != 0, F.concat(F.lit("Problema de "), c("name"))).alias("problem"),
+        F.when(k % 8 == 0, F.array().cast("array<string>")).otherwise(texts("uno ", "dos ")).alias("secondaryProblems"), texts("b1 ", "b2: ").alias("benefits"),
+        F.array(F.struct(F.lit("a").alias("name"), F.lit("d").alias("description"), texts("p ").alias("pains"))).alias("audiences"),
+        F.array(F.struct(F.lit("n").alias("name"), F.lit("e").alias("emotion"), F.lit("d").alias("description"), F.lit("b").alias("bigIdea"))).alias("angles"),
+        F.array(F.struct(F.lit("o").alias("objection"), F.lit("r").alias("response"))).alias("objections"), texts("x ").alias("differentiators"),
+        F.struct(F.lit("$1").alias("recommended"), F.lit("r").alias("range"), F.lit("s").alias("strategy"), F.lit("m").alias("marginNote")).alias("pricing"),
+        F.lit("veredicto").alias("scoreVerdict"), (k % 150 - 10).cast("int").alias("scoreTotal"),
+        F.array(F.struct(F.lit("CURIOSIDAD").alias("category"), texts("h ").alias("items")), F.struct(F.lit("Nueva").alias("category"), texts("h ").alias("items"))).alias("hooks"),
+        F.struct(F.concat(F.lit("Titular "), c("name")).alias("headline"), F.lit("s").alias("subheadline"), F.lit("g").alias("guarantee")).alias("landing"),
+        F.array(persona("Una abuela", 0), persona("La mamá joven", 1), persona("Otra persona", 2)).alias("ugcScripts"))
+    text = F.to_json(doc)
+    text = F.when(k % 28 == 0, F.left(text, F.length(text) - 5)).when(k % 44 == 0, F.concat(F.lit('{"extra":1,'), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    return with_campaign_id(row).select("product_id", "campaign_id", text.alias("json"))
+
+
+ERROR_SQL = "CASE WHEN product_id % 28 = 0 THEN 'malformed' WHEN product_id % 44 = 0 THEN 'unknown_field' WHEN product_id % 20 = 0 THEN 'missing_field' END"
+USABLE_SQL = f"product_id % 4 = 0 AND {ERROR_SQL} IS NULL"
+
+
+@query("parse_overlay", S.products_sql(f"""SELECT product_id, {ERROR_SQL} AS overlay_error, CASE WHEN {ERROR_SQL} IS NULL THEN (product_id % 150 - 10)::INTEGER END AS score_total
+FROM products WHERE product_id % 4 = 0"""))
+def _(spark, sf):
+    return overlay.parse_overlay(overlays(spark, sf)).select("product_id", "overlay_error", F.col("overlay.scoreTotal").alias("score_total"))
+
+
+@query("overlay_merge", S.enriched_sql(f"""SELECT product_id, CASE WHEN {USABLE_SQL} THEN 'overlay' ELSE 'local' END AS generated_by,
+  CASE WHEN {USABLE_SQL} THEN 'Problema de ' || name ELSE problem END AS problem,
+  CASE WHEN {USABLE_SQL} AND product_id % 8 <> 0 THEN 'uno ' || name || '|dos ' || name ELSE array_to_string(secondary_problems, '|') END AS secondary_problems,
+  CASE WHEN {USABLE_SQL} THEN greatest(0, least(100, product_id % 150 - 10)) ELSE score END::INTEGER AS score,
+  CASE WHEN {USABLE_SQL} THEN 'Titular ' || name ELSE name END AS headline FROM enriched"""))
+def _(spark, sf):
+    base = catalog.score_products(products(spark, sf)).select("product_id", "campaign_id", "problem", "secondary_problems", "score", F.col("name").alias("headline"))
+    usable, _ = overlay.split_overlays(overlay.parse_overlay(overlays(spark, sf)))
+    out = overlay.overlay_merge(base, usable)
+    return out.select("product_id", "generated_by", "problem", F.array_join("secondary_problems", "|").alias("secondary_problems"), "score", "headline")
+
+
+@query("overlay_status", S.products_sql(f"""SELECT {CAMPAIGN_SQL}, CASE WHEN product_id % 4 <> 0 THEN 'no_overlay' WHEN {ERROR_SQL} IS NULL THEN 'merged' ELSE 'kept_base' END AS status,
+  CASE WHEN product_id % 4 = 0 THEN {ERROR_SQL} END AS overlay_error FROM products"""))
+def _(spark, sf):
+    return overlay.overlay_status(with_campaign_id(products(spark, sf)), overlay.parse_overlay(overlays(spark, sf)))
+
+
+@query("hook_emoji", S.products_sql(f"""SELECT product_id, category, CASE WHEN category = 'CURIOSIDAD' THEN '🔍' ELSE '✨' END AS emoji
+FROM products, (VALUES ('CURIOSIDAD'), ('Nueva')) g(category) WHERE {USABLE_SQL}"""))
+def _(spark, sf):
+    usable, _ = overlay.split_overlays(overlay.parse_overlay(overlays(spark, sf)))
+    hooks = usable.select("product_id", F.explode("overlay.hooks").alias("h")).select("product_id", F.col("h.category").alias("category"))
+    groups = static_table(spark, templates.HOOK_GROUPS, "category string, emoji string, n int")
+    return overlay.hook_emoji(hooks, groups, templates.DEFAULT_EMOJI)
+
+
+@query("persona_match", S.products_sql(f"""SELECT product_id, pos, persona, CASE pos WHEN 0 THEN 'gancho 1 ' || name WHEN 6 THEN 'gancho 0 ' || name
+  WHEN 1 THEN 'gancho 1 ' || name WHEN 2 THEN 'gancho 2 ' || name ELSE 'base' END AS hook
+FROM products, (SELECT unnest(range(7)) AS pos, unnest({S.lit([p for p, _ in templates.PERSONAS])}) AS persona) WHERE {USABLE_SQL}"""))
+def _(spark, sf):
+    usable, _ = overlay.split_overlays(overlay.parse_overlay(overlays(spark, sf)))
+    base = F.array(*[F.struct(F.lit(p).alias("persona"), F.lit("base").alias("hook"), F.lit("base").alias("script")) for p, _ in templates.PERSONAS])
+    out = usable.select("product_id", F.posexplode(overlay.persona_match(base, F.col("overlay.ugcScripts"))).alias("pos", "u"))
+    return out.select("product_id", "pos", "u.persona", "u.hook")
