@@ -141,6 +141,13 @@ def _(spark, sf):
     return ledger.usage_summary(ledger.account_states(spends(spark, sf), profiles(spark, sf)))
 
 
+@query("account_states", ledger_sql(3, True, "").rstrip() + """,
+final AS (SELECT user_id, arg_max(plan_id, n) AS plan_id, arg_max(credits, n) AS credits, arg_max(period, n) AS period, arg_max(campaigns, n) AS campaigns_this_month FROM run GROUP BY 1)
+SELECT * FROM final""")
+def _(spark, sf):
+    return ledger.account_states(spends(spark, sf, 3), profiles(spark, sf), plan_changes(spark, sf, 3))
+
+
 @query("provision_profiles", "WITH " + PROFILE_SQL.strip() + """
 SELECT user_id, plan_id, credits, period, campaigns AS campaigns_this_month FROM profiles
 UNION ALL SELECT c_custkey, 'free', 10, '2024-02', 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM profiles)""")
@@ -156,7 +163,7 @@ def subscription_events(spark, sf):
             .when(c("event_type") == "error", "customer.subscription.deleted").otherwise("invoice.paid"))
     nth = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
     body = F.to_json(F.struct(
-        k.cast("string").alias("event_id"), kind.alias("type"), c("ts").alias("created"), F.struct(
+        k.cast("string").alias("event_id"), kind.alias("type"), c("ts").cast("timestamp").alias("created"), F.struct(
             F.when(k % 13 != 0, c("user_id")).alias("user_id"), nth(["premium", "max", "gold"], k).alias("plan"),
             nth(["active", "trialing", "past_due", "canceled", "unpaid"], k).alias("status"), nth(["price_max", "price_premium", "price_x"], k).alias("price_id")).alias("data")), MICROS)
     return table(spark, sf, "events").select(F.from_json(body, schemas.SUBSCRIPTION_EVENT).alias("e")).select("e.*")
@@ -178,7 +185,8 @@ def _(spark, sf):
 
 @query("subscription_plan_changes", "WITH " + SUBSCRIPTION_SQL.strip() + " SELECT event_id::VARCHAR AS event_id, ts, user_id, plan_id, FALSE AS keeps_counter FROM changes")
 def _(spark, sf):
-    return billing.to_plan_changes(subscription_events(spark, sf), PRICES)
+    changes = billing.to_plan_changes(subscription_events(spark, sf), PRICES)
+    return changes.withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
 @query("apply_subscription_events", "WITH " + PROFILE_SQL.strip() + "," + SUBSCRIPTION_SQL + """,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +30,13 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "adloom") -> Spa
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """Folder below the cluster's checkpoint folder; a temporary one only where none is configured."""
+    """New folder below the cluster's checkpoint folder; a temporary one only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="adloom-")
-    return f"{base.rstrip('/')}/{name}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write a result that several branches read and go on from the table: a lost executor costs no recomputation."""
+    path = f"{folder}/{name}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
