@@ -252,7 +252,7 @@ def _ugc() -> list:
 
 def _landing() -> list:
     m = _Module("landing")
-    m.add("headline", "{Desire}", "{Desire} desde el primer día", "")
+    m.add("headline", "{opening}", "{opening} desde el primer día", "")
     m.add("subheadline", "{p}", "{p} acaba con {pain}", "")
     for i in range(5):
         m.add("benefits", "beneficio", f"{{b{i}}}", "{p} lo hace posible")

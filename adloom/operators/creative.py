@@ -13,23 +13,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import scoring
+from adloom.functions.binding import let
 from adloom.functions.numbers import money
 from adloom.functions.seeded import digest, draw, int_between, pick, sampled
 from adloom.functions.text import initcap_first
 from adloom.knowledge import templates
 
-TEMPLATE = ("struct<module: string, item_group: string, ord: int, title: string, text: string, detail: string, "
-            "lo: int, hi: int, lo2: int, hi2: int, attrs: map<string,string>>")
 SEPARATOR = "\x01"
+FIELDS = ("module: string, item_group: string, ord: int, body: string, lo: int, hi: int, lo2: int, hi2: int, "
+          "attrs: map<string,string>")
+
+
+def slots_in(rows: list[dict]) -> list[str]:
+    """Slots of a module in filling order."""
+    used = set(re.findall(r"\{(\w+)\}", " ".join(_body(r) for r in rows)))
+    return [s for s in SLOTS if s in used]
+
+
+def _body(row: dict) -> str:
+    text = SEPARATOR.join([row["title"], row["text"], row["detail"]])
+    # An opening line brings its own slots.
+    return text + ("{pain}{p}" if "{anglehook}" in text else "")
 
 
 def template_array(rows: list[dict]) -> Column:
-    """Literal array of template structs (folded once by the optimizer)."""
-    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<{TEMPLATE}>")
+    """Literal array of template structs (folded once by the optimizer).
 
+    Each slot of the module has a flag, so that a template pays only for the slots it holds.
+    """
+    used = slots_in(rows)
 
-def slots_in(rows: list[dict]) -> set[str]:
-    return set(re.findall(r"\{(\w+)\}", " ".join(r["title"] + r["text"] + r["detail"] for r in rows)))
+    def compiled(r: dict) -> dict:
+        keep = {k: r[k] for k in ("module", "item_group", "ord", "lo", "hi", "lo2", "hi2", "attrs")}
+        flags = {f"has_{s}": f"{{{s}}}" in _body(r) for s in used}
+        return keep | {"body": SEPARATOR.join([r["title"], r["text"], r["detail"]])} | flags
+
+    ddl = ", ".join([FIELDS] + [f"has_{s}: boolean" for s in used])
+    return F.from_json(F.lit(json.dumps([compiled(r) for r in rows], ensure_ascii=False)), f"array<struct<{ddl}>>")
 
 
 def angle_hook(angle: Column, number: Column) -> Column:
@@ -46,47 +66,55 @@ def offer_text(kind: Column, price: Column) -> Column:
     return F.concat_ws(" / ", amount(offer["price"]), amount(offer["value"]))
 
 
-def fill(t: Column, used: set[str], h: Column, hooks: Column | None = None) -> Column:
-    """Title, text and detail of one template with all slots replaced, as an array of three strings."""
-    c = F.col
-    n = int_between(draw(h, 2), t["lo"], t["hi"]).cast("string")
-    m = int_between(draw(h, 3), t["lo2"], t["hi2"]).cast("string")
-    raw = F.concat_ws(SEPARATOR, t["title"], t["text"], t["detail"])
-    body = raw
-    if "anglehook" in used:
-        body = F.replace(body, F.lit("{anglehook}"), angle_hook(t["attrs"]["angle"], draw(h, 3)))
-        used = used | {"pain", "p"}
-    if "hook" in used:
-        body = F.replace(body, F.lit("{hook}"), F.when(raw.contains("{hook}"), hook_text(draw(h, 2), hooks)).otherwise(""))
-    simple = {
-        "p": c("p"), "cat": c("cat"), "env": c("environment"), "demo": c("demo_action"), "wow": c("wow_moment"),
-        "problem": c("problem"), "price": c("price_text"), "lo": c("price_lo").cast("string"), "person": c("person"),
-        "q": c("q"), "qcat": c("qcat"), "auds": F.array_join("auds", ", "), "Desire": initcap_first(c("desire0")),
-        **{f"b{i}": F.element_at("b", F.lit(i) % F.size("b") + 1) for i in range(5)},
-        **{f"review{i}": F.element_at("reviewers", i + 1) for i in range(4)},
-    }
-    drawn = {
-        "pain": pick(draw(h, 0), c("pains")), "fear": pick(draw(h, 0), c("fears")), "desire": pick(draw(h, 1), c("desires")),
-        "aud": pick(draw(h, 2), c("auds")), "benefit": F.lower(pick(draw(h, 1), c("b"))),
-        "secondary": F.lower(pick(draw(h, 1), c("secondary_problems"))), "n": n, "m": m,
-        "cta": pick(draw(h, 1), F.array(*[F.lit(x) for x in templates.CTAS])),
-        "offer": offer_text(t["item_group"], c("recommended_price")),
-    }
-    for slot, value in drawn.items():
-        if slot in used:
-            # Draw only for templates that have the slot.
-            has = raw.contains(f"{{{slot}}}") if slot != "pain" else raw.contains("{pain}") | raw.contains("{anglehook}")
-            body = F.replace(body, F.lit(f"{{{slot}}}"), F.when(has, value).otherwise(""))
-    for slot, value in simple.items():
-        if slot in used:
-            body = F.replace(body, F.lit(f"{{{slot}}}"), value)
-    return F.split(body, SEPARATOR)
-
-
-def hook_text(number: Column, hooks: Column) -> Column:
+# Value of each slot from the template t and the item digest h; product values are columns of the row.
+SLOTS = {
+    "anglehook": lambda t, h: angle_hook(t["attrs"]["angle"], draw(h, 3)),
+    "hook": lambda t, h: hook_text(draw(h, 2)),
+    "pain": lambda t, h: pick(draw(h, 0), F.col("pains")),
+    "fear": lambda t, h: pick(draw(h, 0), F.col("fears")),
+    "desire": lambda t, h: pick(draw(h, 1), F.col("desires")),
+    "aud": lambda t, h: pick(draw(h, 2), F.col("auds")),
+    "benefit": lambda t, h: F.lower(pick(draw(h, 1), F.col("b"))),
+    "secondary": lambda t, h: F.lower(pick(draw(h, 1), F.col("secondary_problems"))),
+    "n": lambda t, h: int_between(draw(h, 2), t["lo"], t["hi"]).cast("string"),
+    "m": lambda t, h: int_between(draw(h, 3), t["lo2"], t["hi2"]).cast("string"),
+    "cta": lambda t, h: pick(draw(h, 1), F.array(*[F.lit(x) for x in templates.CTAS])),
+    "offer": lambda t, h: offer_text(t["item_group"], F.col("recommended_price")),
+    "opening": lambda t, h: initcap_first(F.col("desire0")),
+    "auds": lambda t, h: F.array_join("auds", ", "),
+    "lo": lambda t, h: F.col("price_lo").cast("string"),
+    **{slot: (lambda column: lambda t, h: F.col(column))(column) for slot, column in {
+        "p": "p", "cat": "cat", "env": "environment", "demo": "demo_action", "wow": "wow_moment", "problem": "problem",
+        "price": "price_text", "person": "person", "q": "q", "qcat": "qcat"}.items()},
+    **{f"b{i}": (lambda i: lambda t, h: F.element_at("b", F.lit(i) % F.size("b") + 1))(i) for i in range(5)},
+    **{f"review{i}": (lambda i: lambda t, h: F.element_at("reviewers", i + 1))(i) for i in range(4)},
+}
+
+
+def fill(t: Column, used: list[str], h: Column) -> Column:
+    """Body of one template with all slots replaced.
+
+    A template without a slot passes an empty search text, which ends the replacement at once, and no
+    value is drawn for it. The body occurs once per step, so the expression stays linear when the
+    optimizer moves it into a filter.
+    """
+    body = t["body"]
+    for slot in used:
+        has = t[f"has_{slot}"]
+        body = F.replace(body, F.when(has, F.lit(f"{{{slot}}}")).otherwise(""), F.when(has, SLOTS[slot](t, h)).otherwise(""))
+    return body
+
+
+def parts(body: Column) -> list[Column]:
+    """Title, text and detail of a filled body."""
+    at = lambda text, n: F.substring_index(text, SEPARATOR, n)
+    return [at(body, 1).alias("title"), at(at(body, 2), -1).alias("text"), at(body, -1).alias("detail")]
+
+
+def hook_text(number: Column) -> Column:
     """Text of one of the product's own hooks, chosen by number."""
-    t = pick(number, hooks)
-    return F.element_at(fill(t, slots_in(templates.BUILTIN["hooks"]), item_digest(t)), 2)
+    rows = templates.BUILTIN["hooks"]
+    return let(pick(number, template_array(rows)), lambda t: parts(fill(t, slots_in(rows), item_digest(t)))[1])
 
 
 def item_digest(t: Column) -> Column:
@@ -100,12 +128,11 @@ def expand_templates(enriched: DataFrame, module: str, rows: list[dict] | None =
 
 
 def _expand(enriched: DataFrame, source: Column, rows: list[dict]) -> DataFrame:
-    long = enriched.withColumn("t", F.explode(source)).withColumn("h", item_digest(F.col("t")))
-    filled = fill(F.col("t"), slots_in(rows), F.col("h"), template_array(templates.BUILTIN["hooks"]))
-    return long.withColumn("f", filled).select(
-        "product_id", "campaign_id", F.col("t.module").alias("module"), F.col("t.item_group").alias("item_group"),
-        F.col("t.ord").alias("ord"), F.get("f", F.lit(0)).alias("title"), F.get("f", F.lit(1)).alias("text"),
-        F.get("f", F.lit(2)).alias("detail"), F.col("t.attrs").alias("attrs"))
+    t, h = F.col("t"), F.col("h")
+    long = enriched.withColumn("t", F.explode(source)).withColumn("h", item_digest(t)).withColumn("f", fill(t, slots_in(rows), h))
+    return long.select(
+        "product_id", "campaign_id", t["module"].alias("module"), t["item_group"].alias("item_group"), t["ord"].alias("ord"),
+        *parts(F.col("f")), t["attrs"].alias("attrs"))
 
 
 def ab_hooks(enriched: DataFrame, k: int = 50) -> DataFrame:
@@ -163,9 +190,11 @@ def render_block(label: Column) -> Column:
 def nested_module(module: str) -> Column:
     """The module as an array of structs inside the product row; no rows are exploded or exchanged."""
     rows = templates.BUILTIN[module]
-    used, hooks = slots_in(rows), template_array(templates.BUILTIN["hooks"])
-    keyed = F.transform(template_array(rows), lambda t: F.struct(t.alias("t"), item_digest(t).alias("h")))
-    filled = F.transform(keyed, lambda x: F.struct(x["t"].alias("t"), fill(x["t"], used, x["h"], hooks).alias("f")))
-    return F.transform(filled, lambda x: F.struct(
-        x["t"]["item_group"].alias("item_group"), x["t"]["ord"].alias("ord"), F.get(x["f"], F.lit(0)).alias("title"),
-        F.get(x["f"], F.lit(1)).alias("text"), F.get(x["f"], F.lit(2)).alias("detail"), x["t"]["attrs"].alias("attrs")))
+    used = slots_in(rows)
+
+    def item(t: Column) -> Column:
+        return F.struct(t["item_group"].alias("item_group"), t["ord"].alias("ord"),
+                        let(let(item_digest(t), lambda h: fill(t, used, h)), lambda f: F.struct(*parts(f))).alias("f"), t["attrs"].alias("attrs"))
+
+    return F.transform(F.transform(template_array(rows), item), lambda x: F.struct(
+        x["item_group"], x["ord"], x["f"]["title"].alias("title"), x["f"]["text"].alias("text"), x["f"]["detail"].alias("detail"), x["attrs"]))

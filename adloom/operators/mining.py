@@ -17,8 +17,9 @@ from adloom.operators.selection import first_k, first_match
 SCOPES = ["transformation", "social_proof", "offer", "guarantee"]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?iu){pattern}")
+def matches(lowered: Column, pattern: str) -> Column:
+    """Rule test on lower-case text (rules are written in lower case)."""
+    return lowered.rlike(pattern)
 
 
 def competitor_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,23 +28,26 @@ def competitor_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines).alias("pos", "line"))
 
 
-def is_cta(line: Column, rules: dict) -> Column:
-    short = (F.length(line) < R.CTA_SHORT_LENGTH) & matches(line, rules["cta_short"])
-    return matches(line, rules["cta_start"]) | short
+def is_cta(lowered: Column, rules: dict) -> Column:
+    short = (F.length(lowered) < R.CTA_SHORT_LENGTH) & matches(lowered, rules["cta_short"])
+    return matches(lowered, rules["cta_start"]) | short
 
 
 def mine(docs: DataFrame, rules: dict = R.COMPETITOR, text: str = "text") -> DataFrame:
     """Add lines, hooks, ctas and the document flags and evidence lines."""
     body = F.coalesce(strip(F.col(text)), F.lit(""))
-    lined = docs.withColumns({"body": body, "lines": lines_in_range(body, R.LINE_MIN, R.LINE_MAX)})
-    lines = F.col("lines")
+    both = F.transform(lines_in_range(F.col("body"), R.LINE_MIN, R.LINE_MAX), lambda line: F.struct(line.alias("line"), F.lower(line).alias("low")))
+    lined = docs.withColumn("body", body).withColumns({"lined": both, "_low": F.lower("body")})
+    lines = F.col("lined")
+    having = lambda test: F.transform(F.filter(lines, lambda x: test(x["low"])), lambda x: x["line"])
+    first = lambda rule: first_match(lines, lambda x: matches(x["low"], rules[rule]))["line"]
     return lined.withColumns({
-        "hooks": first_k(F.filter(lines, lambda line: matches(line, rules["hook"])), R.MAX_HOOKS),
-        "ctas": first_k(F.filter(lines, lambda line: is_cta(line, rules)), R.MAX_CTAS),
-        **{f"has_{s}": matches(F.col("body"), rules[s]) for s in SCOPES},
-        "offer_line": first_match(lines, lambda line: matches(line, rules["offer_line"])),
-        "guarantee_line": first_match(lines, lambda line: matches(line, rules["guarantee_line"])),
-    })
+        "lines": F.transform(lines, lambda x: x["line"]),
+        "hooks": first_k(having(lambda low: matches(low, rules["hook"])), R.MAX_HOOKS),
+        "ctas": first_k(having(lambda low: is_cta(low, rules)), R.MAX_CTAS),
+        **{f"has_{s}": matches(F.col("_low"), rules[s]) for s in SCOPES},
+        "offer_line": first("offer_line"), "guarantee_line": first("guarantee_line"),
+    }).drop("lined", "_low")
 
 
 def storytelling() -> Column:

@@ -12,7 +12,7 @@ from adloom.functions.text import name_or_default, star_bar
 from adloom.functions.binding import let
 from adloom.knowledge import templates
 from adloom.operators.catalog import enrich
-from adloom.operators.creative import item_digest, fill, nested_module, slots_in, template_array
+from adloom.operators.creative import fill, item_digest, nested_module, parts, slots_in, template_array
 
 MODULES = [m for m in templates.BUILTIN if m not in ("intelligence", "viral")]
 
@@ -23,7 +23,7 @@ def ab_hooks_nested(k: int = 50) -> Column:
     ranked = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(len(hooks))), lambda i: F.struct(
         digest(F.col("seed"), F.concat(F.lit("abtesting|"), i.cast("string"))).alias("h"), i.alias("i")))), 1, k)
     chosen = F.transform(ranked, lambda s: F.element_at(template_array(hooks), s["i"]))
-    return F.transform(chosen, lambda t: F.get(fill(t, slots_in(hooks), item_digest(t)), F.lit(1)))
+    return F.transform(chosen, lambda t: parts(fill(t, slots_in(hooks), item_digest(t)))[1])
 
 
 def build_campaigns(products: DataFrame, created_at: Column, enriched: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from adloom.knowledge import rules as R
 from adloom.operators import diagnosis, mining
+from adloom.operators.catalog import spread
 from adloom.operators.selection import first_match
 from adloom.queries import sqlkit as S
 from adloom.queries.inputs import table
@@ -21,7 +22,7 @@ def copies(spark, sf):
     """Documents as competitor copy; one in eleven has no usable URL."""
     k = c("doc_id")
     url = F.when(k % 11 == 0, c("source")).otherwise(F.concat(F.lit("https://www."), "source", F.lit(".example.com/p/"), k.cast("string")))
-    return table(spark, sf, "documents").withColumns({"url": url, "name": F.concat(F.lit("producto "), c("lang"))})
+    return spread(table(spark, sf, "documents"), "doc_id").withColumns({"url": url, "name": F.concat(F.lit("producto "), c("lang"))})
 
 
 COPIES = """copies AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN source ELSE 'https://www.' || source || '.example.com/p/' || doc_id END AS url, 'producto ' || lang AS name,

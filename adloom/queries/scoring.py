@@ -32,7 +32,8 @@ h AS (SELECT doc_id, category_id, ord, sum(length(keyword)) AS score
 SELECT d.doc_id, coalesce(arg_max(category_id, (score, -ord)), 'general') AS detected_id, coalesce(max(score), 0)::INTEGER AS detected_score
 FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
-    return classify.detect_category(table(spark, sf, "documents"), c("text")).select("doc_id", "detected_id", "detected_score")
+    docs = catalog.spread(table(spark, sf, "documents"), "doc_id")
+    return classify.detect_category(docs, c("text")).select("doc_id", "detected_id", "detected_score")
 
 
 @query("detect_category_by_grams", S.resolved_sql("SELECT product_id, detected_id FROM detected"))

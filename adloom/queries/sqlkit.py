@@ -207,7 +207,7 @@ def fill_expr(body: str) -> str:
         ("cta", pick(draw("h", 1), lit(templates.CTAS))), ("offer", offer_case()),
         ("p", "p"), ("cat", "cat"), ("env", "environment"), ("demo", "demo_action"), ("wow", "wow_moment"), ("problem", "problem"),
         ("price", "price_text"), ("lo", "price_lo::VARCHAR"), ("person", "person"), ("q", "q"), ("qcat", "qcat"),
-        ("auds", "array_to_string(auds, ', ')"), ("Desire", "upper(desire0[1]) || desire0[2:]"),
+        ("auds", "array_to_string(auds, ', ')"), ("opening", "upper(desire0[1]) || desire0[2:]"),
         *[(f"b{i}", f"b[{i} % len(b) + 1]") for i in range(5)], *[(f"review{i}", f"reviewers[{i + 1}]") for i in range(4)],
     ]
     for slot, value in pairs:

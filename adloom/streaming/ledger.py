@@ -99,9 +99,10 @@ def ledger_by_batch(events: DataFrame, state_dir: str, out_dir: str, checkpoint:
         spends = own.filter("plan_id IS NULL").filter(~F.coalesce(late, F.lit(False))).select("event_id", "ts", "user_id", "action")
         changes = own.filter("plan_id IS NOT NULL").filter(~F.coalesce(late, F.lit(False))).select(
             "event_id", "ts", "user_id", "plan_id", F.lit(False).alias("keeps_counter"))
-        ledger.credit_ledger(spends, profiles, changes).write.mode("overwrite").parquet(f"{out_dir}/decisions/batch={batch_id}")
+        decisions, states = ledger.run_ledger(spends, profiles, changes)
+        decisions.write.mode("overwrite").parquet(f"{out_dir}/decisions/batch={batch_id}")
         own.filter(F.coalesce(late, F.lit(False))).drop("_p").write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
-        write_version(ledger.account_states(spends, profiles, changes), state_dir, batch_id)
+        write_version(states, state_dir, batch_id)
 
     return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
