@@ -80,6 +80,6 @@ def resolve_category(df: DataFrame, categories: list[Category] = BUILTIN) -> Dat
 
 
 def category_lookup(df: DataFrame, kb: DataFrame, category_id: str = "resolved_id") -> DataFrame:
-    """Join the (static) base by id; ids outside it must already be mapped to the default."""
+    """Join the base by id; ids outside it must already be mapped to the default."""
     # A left join: an inner one would repeat the detection in an inferred not-null filter below it.
-    return df.join(F.broadcast(kb.withColumnRenamed("id", category_id)), category_id, "left")
+    return df.join(kb.withColumnRenamed("id", category_id), category_id, "left")

@@ -20,7 +20,7 @@ from adloom.functions.text import initcap_first
 from adloom.knowledge import templates
 
 SEPARATOR = "\x01"
-FIELDS = ("module: string, item_group: string, ord: int, body: string, lo: int, hi: int, lo2: int, hi2: int, "
+FIELDS = ("module: string, item_group: string, as_module: string, as_group: string, ord: int, body: string, lo: int, hi: int, lo2: int, hi2: int, "
           "attrs: map<string,string>")
 
 
@@ -36,17 +36,19 @@ def _body(row: dict) -> str:
     return text + ("{pain}{p}" if "{anglehook}" in text else "")
 
 
-def template_array(rows: list[dict]) -> Column:
+def template_array(rows: list[dict], used: list[str] | None = None) -> Column:
     """Literal array of template structs (folded once by the optimizer).
 
-    Each slot of the module has a flag, so that a template pays only for the slots it holds.
+    Each slot in use has a flag, so that a template pays only for the slots it holds. ``as_module`` and
+    ``as_group`` are the names in the output; ``module`` and ``ord`` identify the template for draws.
     """
-    used = slots_in(rows)
+    used = slots_in(rows) if used is None else used
 
     def compiled(r: dict) -> dict:
         keep = {k: r[k] for k in ("module", "item_group", "ord", "lo", "hi", "lo2", "hi2", "attrs")}
         flags = {f"has_{s}": f"{{{s}}}" in _body(r) for s in used}
-        return keep | {"body": SEPARATOR.join([r["title"], r["text"], r["detail"]])} | flags
+        shown = {"as_module": r["module"], "as_group": r["item_group"]}
+        return keep | shown | {"body": SEPARATOR.join([r["title"], r["text"], r["detail"]])} | flags
 
     ddl = ", ".join([FIELDS] + [f"has_{s}: boolean" for s in used])
     return F.from_json(F.lit(json.dumps([compiled(r) for r in rows], ensure_ascii=False)), f"array<struct<{ddl}>>")
@@ -124,30 +126,31 @@ def item_digest(t: Column) -> Column:
 def expand_templates(enriched: DataFrame, module: str, rows: list[dict] | None = None) -> DataFrame:
     """Long form: one row per product and template of a module."""
     rows = rows or templates.BUILTIN[module]
-    return _expand(enriched, template_array(rows), rows)
+    return _expand(enriched, template_array(rows), slots_in(rows))
 
 
-def _expand(enriched: DataFrame, source: Column, rows: list[dict]) -> DataFrame:
+def _expand(enriched: DataFrame, source: Column, used: list[str]) -> DataFrame:
     t, h = F.col("t"), F.col("h")
-    long = enriched.withColumn("t", F.explode(source)).withColumn("h", item_digest(t)).withColumn("f", fill(t, slots_in(rows), h))
+    long = enriched.withColumn("t", F.explode(source)).withColumn("h", item_digest(t)).withColumn("f", fill(t, used, h))
     return long.select(
-        "product_id", "campaign_id", t["module"].alias("module"), t["item_group"].alias("item_group"), t["ord"].alias("ord"),
+        "product_id", "campaign_id", t["as_module"].alias("module"), t["as_group"].alias("item_group"), t["ord"].alias("ord"),
         *parts(F.col("f")), t["attrs"].alias("attrs"))
 
 
-def ab_hooks(enriched: DataFrame, k: int = 50) -> DataFrame:
-    """Hook variants for a test: k of the product's own hooks without repeats."""
+def ab_hooks(used: list[str], k: int = 50) -> Column:
+    """Templates of k of the product's own hooks without repeats, shown as variants of the hook element."""
     hooks = templates.BUILTIN["hooks"]
+    _, _, _, metric = templates.AB_ELEMENTS[0]
     ranked = F.array_sort(F.transform(
         F.sequence(F.lit(1), F.lit(len(hooks))),
         lambda i: F.struct(digest(F.col("seed"), F.concat(F.lit("abtesting|"), i.cast("string"))).alias("h"), i.alias("i"))))
-    chosen = F.transform(F.slice(ranked, 1, k), lambda s: F.element_at(template_array(hooks), s["i"]))
-    out = _expand(enriched.withColumn("chosen", chosen), F.col("chosen"), hooks)
-    return out.withColumns({"module": F.lit("abtesting"), "item_group": F.lit("Hooks"), "detail": F.lit("Retención a 3 segundos")})
+    chosen = F.transform(F.slice(ranked, 1, k), lambda s: F.element_at(template_array(hooks, used), s["i"]))
+    return F.transform(chosen, lambda t: t.withField("as_module", F.lit("abtesting")).withField("as_group", F.lit("Hooks"))
+                       .withField("body", F.concat(t["body"], F.lit(metric))))
 
 
 def ab_variants(enriched: DataFrame) -> DataFrame:
-    return ab_hooks(enriched).unionByName(expand_templates(enriched, "abtesting"))
+    return all_items(enriched, ["abtesting"])
 
 
 def intelligence_lists(enriched: DataFrame) -> DataFrame:
@@ -166,13 +169,13 @@ def intelligence_lists(enriched: DataFrame) -> DataFrame:
 
 
 def all_items(enriched: DataFrame, modules: list[str] | None = None) -> DataFrame:
-    """Every module of every product in one table."""
+    """Every module of every product in one table, from one pass over the products."""
     names = modules or [m for m in templates.BUILTIN if m != "intelligence"]
-    parts = [ab_variants(enriched) if m == "abtesting" else expand_templates(enriched, m) for m in names]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = [r for m in names for r in templates.BUILTIN[m]]
+    with_hooks = "abtesting" in names
+    used = slots_in(rows + templates.BUILTIN["hooks"] if with_hooks else rows)
+    source = template_array(rows, used)
+    return _expand(enriched, F.concat(source, ab_hooks(used)) if with_hooks else source, used)
 
 
 def angle_duration_grid(df: DataFrame) -> DataFrame:

@@ -42,4 +42,4 @@ def plan_summary(accounts: DataFrame, plans: DataFrame, plan_modules: DataFrame)
     used = accounts.groupBy("plan_id").agg(F.count("*").alias("accounts"))
     included = F.size(F.filter("features", lambda f: f["included"])).alias("features_included")
     return plans.select("plan_id", "plan_name", "price", "credits", "campaign_limit", included).join(
-        F.broadcast(modules), "plan_id").join(F.broadcast(used), "plan_id", "left").fillna(0, ["accounts"])
+        modules, "plan_id").join(used, "plan_id", "left").fillna(0, ["accounts"])

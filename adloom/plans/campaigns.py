@@ -7,23 +7,20 @@ from pyspark.sql import functions as F
 
 from adloom.functions import scoring, urls
 from adloom.functions.numbers import display_date, money
-from adloom.functions.seeded import digest, sampled
+from adloom.functions.seeded import sampled
 from adloom.functions.text import name_or_default, star_bar
 from adloom.functions.binding import let
 from adloom.knowledge import templates
 from adloom.operators.catalog import enrich
-from adloom.operators.creative import fill, item_digest, nested_module, parts, slots_in, template_array
+from adloom.operators.creative import ab_hooks, fill, item_digest, nested_module, parts, slots_in
 
 MODULES = [m for m in templates.BUILTIN if m not in ("intelligence", "viral")]
 
 
-def ab_hooks_nested(k: int = 50) -> Column:
-    """Texts of k of the product's own hooks, in drawn order."""
-    hooks = templates.BUILTIN["hooks"]
-    ranked = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(len(hooks))), lambda i: F.struct(
-        digest(F.col("seed"), F.concat(F.lit("abtesting|"), i.cast("string"))).alias("h"), i.alias("i")))), 1, k)
-    chosen = F.transform(ranked, lambda s: F.element_at(template_array(hooks), s["i"]))
-    return F.transform(chosen, lambda t: parts(fill(t, slots_in(hooks), item_digest(t)))[1])
+def ab_hooks_nested() -> Column:
+    """Texts of the hook variants, in drawn order."""
+    used = slots_in(templates.BUILTIN["hooks"])
+    return F.transform(ab_hooks(used), lambda t: parts(fill(t, used, item_digest(t)))[1])
 
 
 def build_campaigns(products: DataFrame, created_at: Column, enriched: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "scoring", "accounts", "ledger", "mining", "creative"]
+MODULES = ["text", "scoring", "accounts", "ledger", "mining", "creative", "streaming"]
 
 
 def load_all():

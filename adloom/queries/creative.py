@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import urls
-from adloom.functions.numbers import priority_tone
+from adloom.functions.numbers import parse_money, priority_tone
 from adloom.functions.seeded import digest, draw
 from adloom.functions.text import ordinal_label, split_title
 from adloom.knowledge import templates
@@ -204,6 +204,18 @@ def _(spark, sf):
                        F.size("intelligence.benefits").alias("benefits"))
 
 
+@query("campaign_json", S.scored_sql("""SELECT product_id, campaign_id, score AS total, round(recommended_price, 2) AS price, 116 AS hooks, 6 AS angles FROM scored"""))
+def _(spark, sf):
+    """Documents as JSON text, read back with their schema."""
+    c = F.col
+    docs = build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp"))
+    stored = docs.select("product_id", F.to_json(F.struct("campaign_id", "score", "hooks", "intelligence")).alias("json"))
+    kept = "campaign_id string, score struct<total: int>, hooks array<struct<text: string>>, intelligence struct<pricing: struct<recommended: string>, angles: array<struct<name: string>>>"
+    back = stored.select("product_id", F.from_json("json", kept).alias("d"))
+    return back.select("product_id", "d.campaign_id", c("d.score.total").alias("total"), parse_money(c("d.intelligence.pricing.recommended")).alias("price"),
+                       F.size("d.hooks").alias("hooks"), F.size("d.intelligence.angles").alias("angles"))
+
+
 @query("campaign_markdown")
 def _(spark, sf):
     docs = build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adloom import schemas
 from adloom.operators import accounts, billing, ledger
 from adloom.queries import sqlkit as S
 from adloom.queries.accounts import account_rows
@@ -156,8 +157,11 @@ def _(spark, sf):
 
 
 def subscription_events(spark, sf):
+    return billing_events(table(spark, sf, "events"))
+
+
+def billing_events(events):
     """Billing events made from the event log, as JSON text read back with the explicit schema."""
-    from adloom import schemas
     k = c("event_id")
     kind = (F.when(c("event_type") == "signup", "checkout.session.completed").when(c("event_type") == "click", "customer.subscription.updated")
             .when(c("event_type") == "error", "customer.subscription.deleted").otherwise("invoice.paid"))
@@ -166,7 +170,7 @@ def subscription_events(spark, sf):
         k.cast("string").alias("event_id"), kind.alias("type"), c("ts").cast("timestamp").alias("created"), F.struct(
             F.when(k % 13 != 0, c("user_id")).alias("user_id"), nth(["premium", "max", "gold"], k).alias("plan"),
             nth(["active", "trialing", "past_due", "canceled", "unpaid"], k).alias("status"), nth(["price_max", "price_premium", "price_x"], k).alias("price_id")).alias("data")), MICROS)
-    return table(spark, sf, "events").select(F.from_json(body, schemas.SUBSCRIPTION_EVENT).alias("e")).select("e.*")
+    return events.select(F.from_json(body, schemas.SUBSCRIPTION_EVENT).alias("e")).select("e.*")
 
 
 SUBSCRIPTION_SQL = """
@@ -189,11 +193,14 @@ def _(spark, sf):
     return changes.withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
-@query("apply_subscription_events", "WITH " + PROFILE_SQL.strip() + "," + SUBSCRIPTION_SQL + """,
+APPLIED_SQL = ("WITH " + PROFILE_SQL.strip() + "," + SUBSCRIPTION_SQL + """,
 latest AS (SELECT user_id, arg_max(plan_id, (ts, event_id::VARCHAR)) AS plan_id, max(ts) AS ts FROM changes GROUP BY 1)
 SELECT p.user_id, coalesce(l.plan_id, p.plan_id) AS plan_id,
   CASE WHEN l.plan_id IS NULL THEN p.credits ELSE CASE l.plan_id WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END END AS credits,
   coalesce(strftime(l.ts, '%Y-%m'), p.period) AS period, CASE WHEN l.plan_id IS NULL THEN p.campaigns ELSE 0 END AS campaigns_this_month
 FROM profiles p LEFT JOIN latest l USING (user_id)""")
+
+
+@query("apply_subscription_events", APPLIED_SQL)
 def _(spark, sf):
     return billing.apply_subscription_events(profiles(spark, sf), subscription_events(spark, sf), PRICES)
