@@ -41,22 +41,27 @@ def detect_category(df: DataFrame, text: Column, categories: list[Category] = BU
 
 
 def detect_category_by_grams(df: DataFrame, key: str, text: Column, keywords: DataFrame, lengths: list[int],
-                             default_id: str) -> DataFrame:
+                             default_id: str, window: int = 256) -> DataFrame:
     """Same result for a keyword table (category_id, ord, keyword) of any size.
 
-    Every substring whose length is a keyword length meets the keywords by equality, so neither side
-    is broadcast or crossed. ``key`` is unique per row.
+    Every substring whose length is a keyword length meets the keywords by equality, so neither side is
+    crossed. Texts are cut into overlapping windows first, which bounds a row and the cost of cutting
+    substrings; a keyword found in several windows counts once. ``key`` is unique per row.
     """
-    folded = df.select(key, fold_accents(text).alias("_t"))
+    folded = df.select(key, fold_accents(text).alias("_t")).filter(F.length("_t") > 0)
+    starts = F.sequence(F.lit(1), F.length("_t"), F.lit(window))
+    size = F.lit(window + max(lengths) - 1)
+    windows = folded.select(key, F.explode(F.transform(starts, lambda i: F.substring(F.col("_t"), i, size))).alias("_w"))
 
     def substrings(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.length("_t") - n + 1)
-        every = F.transform(at, lambda i: F.substring(F.col("_t"), i, F.lit(n)))
-        return F.when(F.length("_t") >= n, every).otherwise(F.array().cast("array<string>"))
+        at = F.sequence(F.lit(1), F.length("_w") - n + 1)
+        every = F.transform(at, lambda i: F.substring(F.col("_w"), i, F.lit(n)))
+        return F.when(F.length("_w") >= n, every).otherwise(F.array().cast("array<string>"))
 
     grams = F.array_distinct(F.flatten(F.array(*map(substrings, lengths))))
-    hits = folded.select(key, F.explode(grams).alias("keyword")).join(keywords, "keyword")
-    scores = hits.groupBy(key, "category_id", "ord").agg(F.sum(F.length("keyword")).alias("score"))
+    hits = windows.select(key, F.explode(grams).alias("keyword")).join(keywords, "keyword")
+    scores = hits.dropDuplicates([key, "category_id", "keyword"]).groupBy(key, "category_id", "ord").agg(
+        F.sum(F.length("keyword")).alias("score"))
     best = scores.groupBy(key).agg(argmax_first(F.col("category_id"), F.col("score"), F.col("ord")).alias("detected_id"))
     return df.join(best, key, "left").withColumn("detected_id", F.coalesce("detected_id", F.lit(default_id)))
 

@@ -190,6 +190,13 @@ def render_block(label: Column) -> Column:
     return F.concat(label, F.lit(". "), F.col("title"), F.lit("\n"), F.concat_ws("\n", "text", "detail"))
 
 
+def render_group(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbered text block per group of one product's items (at most the templates of a module)."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    lines = F.transform(ordered, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["text"]))
+    return items.groupBy(*keys).agg(F.array_join(lines, "\n").alias("block"))
+
+
 def nested_module(module: str) -> Column:
     """The module as an array of structs inside the product row; no rows are exploded or exchanged."""
     rows = templates.BUILTIN[module]

@@ -73,6 +73,20 @@ def _items(module: str, line, heading=None) -> Column:
     return let(F.col(module), lines)
 
 
+def _scripts() -> Column:
+    """Every script with its beats. Both modules are bound, so that neither is built again per script."""
+    def beat(b):
+        return F.concat(F.lit("- **"), b["attrs"]["time"], F.lit(" · "), b["title"], F.lit("** — VOZ: "), b["text"], F.lit(" | VISUAL: "), b["detail"])
+
+    def block(t, beats):
+        own = F.filter(beats, lambda b: b["script"] == t["ord"])
+        return F.concat_ws("\n", F.concat(F.lit("\n### ["), t["item_group"], F.lit("] "), t["title"]), F.concat(F.lit("Hook: "), t["text"]),
+                           F.array_join(F.transform(own, lambda b: b["line"]), "\n"), F.concat(F.lit("CTA: "), t["detail"]))
+
+    lines = F.transform("beats", lambda b: F.struct(b["attrs"]["script"].cast("int").alias("script"), beat(b).alias("line")))
+    return let(lines, lambda beats: F.array_join(F.transform("scripts", lambda t: block(t, beats)), "\n"))
+
+
 def _titled(t) -> Column:
     return F.concat(F.lit("**"), t["title"], F.lit("** — "), F.regexp_replace(t["text"], "\n", " / "))
 
@@ -81,7 +95,7 @@ def _titled(t) -> Column:
 SECTIONS = [
     ("2. Hooks", "hooks", lambda t: t["text"], lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
     ("3. Anuncios (Ad Generator)", "ads", lambda t: F.concat_ws(" · ", _titled(t), t["detail"], t["attrs"]["cta"]), None),
-    ("4. Guiones (Script Generator)", "scripts", lambda t: F.concat_ws(" · ", F.concat(F.lit("["), t["item_group"], F.lit("]")), _titled(t), t["detail"]), None),
+    ("4. Guiones (Script Generator)", "scripts", None, None),
     ("5. Storyboards (Visual Generator)", "visual", lambda t: F.concat_ws(" · ", t["attrs"]["n"], t["text"], t["attrs"]["duration"]), lambda t: t["item_group"]),
     ("6. Prompts de imagen IA", "imageprompts", _titled, lambda t: t["item_group"]),
     ("7. Prompts de video IA", "videoprompts", _titled, lambda t: t["item_group"]),
@@ -118,7 +132,7 @@ def campaign_markdown(campaigns: DataFrame) -> DataFrame:
         F.concat(F.lit("\n**Escalado:** "), c("intelligence.scaling.level"), F.lit(" — "), c("intelligence.scaling.reasoning")),
     ]
     for title, module, line, heading in SECTIONS:
-        lines += [F.lit(f"\n## {title}\n"), _items(module, line, heading)]
+        lines += [F.lit(f"\n## {title}\n"), _scripts() if module == "scripts" else _items(module, line, heading)]
     lines += [
         F.lit("\n## 13. Viral Predictor\n"), F.concat(F.lit("**Probabilidad: "), c("viral.probability"), F.lit("%** — "), c("viral.verdict")),
         _bullets(F.transform("viral.factors", lambda f: F.concat(F.lit("["), f["impact"], F.lit("] "), f["factor"]))), _bullets(c("viral.recommendations")),

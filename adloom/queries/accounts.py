@@ -16,12 +16,12 @@ ACCOUNTS_SQL = """accounts AS (SELECT c_custkey AS user_id, CASE WHEN c_mktsegme
   WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'premium' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'max' ELSE 'otro' END AS plan_id FROM customer)"""
 
 
-def account_rows(spark, sf):
+def account_rows(spark, sf, *extra):
     """Accounts with a plan taken from the market segment."""
     s = c("c_mktsegment")
     plan = (F.when(s.isin("BUILDING", "MACHINERY"), "free").when(s.isin("FURNITURE", "HOUSEHOLD"), "premium")
             .when(s == "AUTOMOBILE", "max").otherwise("otro"))
-    return table(spark, sf, "customer").select(c("c_custkey").alias("user_id"), plan.alias("plan_id"))
+    return table(spark, sf, "customer").select(c("c_custkey").alias("user_id"), plan.alias("plan_id"), *extra)
 
 
 KNOWN = "CASE WHEN plan_id IN (SELECT plan_id FROM plans) THEN plan_id ELSE 'free' END"
@@ -100,15 +100,17 @@ def _(spark, sf):
     return selection.latest_n(orders, "o_custkey", "o_orderdate", "o_orderkey").drop("o_orderdate")
 
 
-CHANGES = "SELECT o_orderkey + CASE WHEN o_orderkey % 6 = 0 THEN 1000000000 ELSE 0 END AS id, 'X' AS status, o_orderdate + INTERVAL 1 DAY AS updated FROM orders WHERE o_orderkey % 3 = 0"
+CHANGES = """SELECT o_orderkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 1000000000 ELSE 0 END AS id, 'X' AS status,
+  o_orderdate + INTERVAL 1 DAY AS updated FROM orders WHERE o_orderstatus = 'P'"""
 STORED = "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS updated FROM orders"
 
 
 def stored_and_changes(spark, sf):
+    """All orders as stored rows; pending ones also as changes, of which urgent ones are new."""
     orders = table(spark, sf, "orders")
     stored = orders.select(c("o_orderkey").alias("id"), c("o_orderstatus").alias("status"), c("o_orderdate").alias("updated"))
-    new_id = c("o_orderkey") + F.when(c("o_orderkey") % 6 == 0, 1000000000).otherwise(0)
-    changes = orders.filter(c("o_orderkey") % 3 == 0).select(
+    new_id = c("o_orderkey") + F.when(c("o_orderpriority") == "1-URGENT", 1000000000).otherwise(0)
+    changes = orders.filter(c("o_orderstatus") == "P").select(
         new_id.alias("id"), F.lit("X").alias("status"), (c("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("updated"))
     return stored, changes
 

@@ -195,6 +195,19 @@ def _(spark, sf):
     return items.select("product_id", "ord", creative.render_block(ordinal_label(F.col("ord"))).alias("block"))
 
 
+@query("render_script_blocks", S.items_sql("beats", r"""SELECT product_id, regexp_extract(attrs, 'script=(\d+)', 1)::INTEGER AS script,
+  string_agg(rank || '. ' || text, chr(10) ORDER BY ord) AS block FROM (SELECT *, row_number() OVER (PARTITION BY product_id, regexp_extract(attrs, 'script=(\d+)', 1) ORDER BY ord) AS rank FROM items) GROUP BY 1, 2"""))
+def _(spark, sf):
+    beats = creative.expand_templates(enriched(spark, sf), "beats").withColumn("script", F.col("attrs")["script"].cast("int"))
+    return creative.render_group(beats, ["product_id", "script"])
+
+
+@query("render_numbered_variants", AB_SQL + """SELECT product_id, item_group, string_agg(rank || '. ' || text, chr(10) ORDER BY ord) AS block
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id, item_group ORDER BY ord) AS rank FROM ab) GROUP BY 1, 2""")
+def _(spark, sf):
+    return creative.render_group(creative.ab_variants(enriched(spark, sf)), ["product_id", "item_group"])
+
+
 @query("build_campaigns", S.scored_sql("SELECT product_id, campaign_id, score AS total, probability, 116 AS hooks, 216 AS beats, 50 AS ab_hooks, 28 AS landing, 7 AS benefits FROM scored"))
 def _(spark, sf):
     c = F.col
@@ -225,9 +238,9 @@ def _(spark, sf):
 # ---- overlays --------------------------------------------------------------------------------
 
 def overlays(spark, sf) -> DataFrame:
-    """One overlay document in JSON for every fourth product; some are cut, incomplete or hold an extra field."""
+    """An overlay document in JSON per product; some are absent, cut, incomplete or hold an extra field."""
     c, k = F.col, F.col("product_id")
-    row = products(spark, sf).filter(k % 4 == 0)
+    row = products(spark, sf)
     texts = lambda *v: F.array(*[F.concat(F.lit(x), c("name")) for x in v])
     persona = lambda who, i: F.struct(F.lit(who).alias("persona"), F.concat(F.lit(f"gancho {i} "), c("name")).alias("hook"), F.lit(f"guion {i}").alias("script"))
     doc = F.struct(
@@ -243,15 +256,16 @@ def overlays(spark, sf) -> DataFrame:
         F.array(persona("Una abuela", 0), persona("La mamá joven", 1), persona("Otra persona", 2)).alias("ugcScripts"))
     text = F.to_json(doc)
     text = F.when(k % 28 == 0, F.left(text, F.length(text) - 5)).when(k % 44 == 0, F.concat(F.lit('{"extra":1,'), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+    text = F.when(k % 5 != 3, text)
     return with_campaign_id(row).select("product_id", "campaign_id", text.alias("json"))
 
 
-ERROR_SQL = "CASE WHEN product_id % 28 = 0 THEN 'malformed' WHEN product_id % 44 = 0 THEN 'unknown_field' WHEN product_id % 20 = 0 THEN 'missing_field' END"
-USABLE_SQL = f"product_id % 4 = 0 AND {ERROR_SQL} IS NULL"
+ERROR_SQL = "CASE WHEN product_id % 5 = 3 THEN NULL WHEN product_id % 28 = 0 THEN 'malformed' WHEN product_id % 44 = 0 THEN 'unknown_field' WHEN product_id % 20 = 0 THEN 'missing_field' END"
+USABLE_SQL = f"(product_id % 5 <> 3 AND {ERROR_SQL} IS NULL)"
 
 
-@query("parse_overlay", S.products_sql(f"""SELECT product_id, {ERROR_SQL} AS overlay_error, CASE WHEN {ERROR_SQL} IS NULL THEN (product_id % 150 - 10)::INTEGER END AS score_total
-FROM products WHERE product_id % 4 = 0"""))
+@query("parse_overlay", S.products_sql(f"""SELECT product_id, {ERROR_SQL} AS overlay_error, CASE WHEN {USABLE_SQL} THEN (product_id % 150 - 10)::INTEGER END AS score_total
+FROM products"""))
 def _(spark, sf):
     return overlay.parse_overlay(overlays(spark, sf)).select("product_id", "overlay_error", F.col("overlay.scoreTotal").alias("score_total"))
 
@@ -268,8 +282,8 @@ def _(spark, sf):
     return out.select("product_id", "generated_by", "problem", F.array_join("secondary_problems", "|").alias("secondary_problems"), "score", "headline")
 
 
-@query("overlay_status", S.products_sql(f"""SELECT {CAMPAIGN_SQL}, CASE WHEN product_id % 4 <> 0 THEN 'no_overlay' WHEN {ERROR_SQL} IS NULL THEN 'merged' ELSE 'kept_base' END AS status,
-  CASE WHEN product_id % 4 = 0 THEN {ERROR_SQL} END AS overlay_error FROM products"""))
+@query("overlay_status", S.products_sql(f"""SELECT {CAMPAIGN_SQL}, CASE WHEN product_id % 5 = 3 THEN 'no_overlay' WHEN {ERROR_SQL} IS NULL THEN 'merged' ELSE 'kept_base' END AS status,
+  {ERROR_SQL} AS overlay_error FROM products"""))
 def _(spark, sf):
     return overlay.overlay_status(with_campaign_id(products(spark, sf)), overlay.parse_overlay(overlays(spark, sf)))
 
