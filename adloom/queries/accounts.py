@@ -8,7 +8,7 @@ from adloom.operators import accounts, campaigns, filters, reports, selection
 from adloom.queries import sqlkit as S
 from adloom.queries.inputs import table
 from adloom.queries.registry import query
-from adloom.sources.static import load_costs, load_plans, plan_modules
+from adloom.sources.static import load_plans, plan_modules
 
 c = F.col
 

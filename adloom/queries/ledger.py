@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from adloom import schemas
 from adloom.operators import accounts, billing, ledger
-from adloom.queries import sqlkit as S
 from adloom.queries.accounts import account_rows
 from adloom.queries.inputs import table
 from adloom.queries.registry import query

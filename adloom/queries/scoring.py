@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adloom.functions import numbers, scoring
-from adloom.functions.seeded import sampled, seeded_int, seeded_pick
+from adloom.functions.seeded import seeded_int, seeded_pick
 from adloom.knowledge.categories import BUILTIN
 from adloom.operators import catalog, classify, reports, selection
 from adloom.queries import sqlkit as S
