@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import exact_dedup, mixing, warc
+from adloom.llm import decontaminate, exact_dedup, license, mixing, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
     md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT source, source_size, [3.0, 1.0, 2.0]::DOUBLE[][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, source_size * 2.0::DOUBLE AS cut FROM s),
+w AS (SELECT source, source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cut FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
     - coalesce(sum(cut) OVER (ORDER BY cut / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY cut / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
@@ -77,3 +77,42 @@ FROM p"""
 @query("op7_mixing", MIX_SQL)
 def op7_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+LICENSE_SQL = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT template, label, template < {len(license.BASE)} AS is_base, string_split(phrase, ' ') AS tw FROM (VALUES
+  {", ".join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate([*license.BASE, *license.TEMPLATES]))}) v(template, phrase, label)),
+tp AS (SELECT template, label, is_base, len(tw) - 1 AS t_grams, unnest(generate_series(0, len(tw) - 2)) AS t_pos, tw FROM t),
+g AS (SELECT row, unnest(generate_series(0, len(w) - 2)) AS pos, w FROM w),
+v AS (SELECT g.row, template, label, is_base, t_grams, pos, t_pos, pos - t_pos AS diagonal FROM (SELECT row, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM g) g
+  JOIN (SELECT *, tw[t_pos + 1] AS a, tw[t_pos + 2] AS b FROM tp) tp ON g.a = tp.a AND g.b = tp.b),
+d AS (SELECT row, template, label, is_base, t_grams, diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high, min(t_pos) AS t_low FROM v GROUP BY ALL),
+b AS (SELECT row, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(label) AS labels FROM d WHERE is_base AND votes = t_grams GROUP BY row),
+m AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= 2 AND low <= lag(high) OVER o + 4 AND t_low > lag(t_low) OVER o THEN 0 ELSE 1 END AS fresh
+  FROM d WHERE NOT is_base WINDOW o AS (PARTITION BY row, template ORDER BY low, diagonal)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY row, template ORDER BY low, diagonal) AS span FROM m),
+s AS (SELECT row, template, label, span, min(low) AS first_pos, max(high) AS last_pos, least(sum(votes) / any_value(t_grams), 1.0) AS cover FROM n GROUP BY row, template, label, span),
+o AS (SELECT row, list(label) AS labels, max(cover) AS cover FROM s WHERE cover >= 0.75 GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(b.labels)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS DOUBLE) AS score
+FROM w LEFT JOIN b USING (row) LEFT JOIN o USING (row)"""
+
+
+@query("op10_license", LICENSE_SQL)
+def op10_license(spark, sf):
+    return license.scan(table(spark, sf, "documents")).drop("spans")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf):
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "cover", "slots", "first_word", "last_word")
