@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import decontaminate, exact_dedup, license, mixing, toxicity, warc
+from adloom.llm import decontaminate, exact_dedup, license, minhash, mixing, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op10_license(spark, sf):
 def op6_decontamination(spark, sf):
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "cover", "slots", "first_word", "last_word")
+
+
+@query("op5_minhash")
+def op5_minhash(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
