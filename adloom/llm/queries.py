@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import decontaminate, exact_dedup, license, minhash, mixing, toxicity, warc
+from adloom.llm import decontaminate, exact_dedup, license, minhash, mixing, quality, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op6_decontamination(spark, sf):
 @query("op5_minhash")
 def op5_minhash(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf):
+    # Documents carry no URL: their source stands for the host, their language for a path of it.
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
