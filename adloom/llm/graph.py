@@ -30,16 +30,17 @@ def _local_forest(batches):
         yield pd.DataFrame({"child": np.array(part, np.int64), "parent": np.array([root(x) for x in part], np.int64)})
 
 
-def components(links: DataFrame, folder: str, name: str, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, folder: str, name: str, rounds: int = 60, native: bool = False) -> DataFrame:
     """(id, component_id) for every id of the links (a, b); component_id is the smallest id that can be reached.
 
     Each round merges links inside tasks by union-find, then hooks every node's neighbours to its smallest one (large star)
     and its parents to their smallest one (small star), until every link points at a root. Rounds are stored, so a lost
-    executor costs one round; their number grows with the logarithm of the longest chain.
+    executor costs one round; their number grows with the logarithm of the longest chain. ``native`` leaves out the merging
+    inside tasks, which is Python; ids may then be of any type that has an order.
     """
-    edges = links.select(F.greatest("a", "b").cast("long").alias("child"), F.least("a", "b").cast("long").alias("parent")).filter("child > parent")
+    edges = links.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).filter("child > parent")
     for k in range(rounds):
-        forest = edges.mapInPandas(_local_forest, "child long, parent long")
+        forest = edges if native else edges.select(F.col("child").cast("long"), F.col("parent").cast("long")).mapInPandas(_local_forest, "child long, parent long")
         both = forest.unionByName(forest.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
         low = both.groupBy("child").agg(F.min("parent").alias("m")).select(F.col("child").alias("u"), F.least("child", "m").alias("m"))
         large = both.join(low, both["child"] == low["u"]).filter("parent > u").select(F.col("parent").alias("child"), F.col("m").alias("parent"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import decontaminate, exact_dedup, license, minhash, mixing, quality, toxicity, warc
+from adloom.llm import decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op5_minhash(spark, sf):
 def op8_quality(spark, sf):
     # Documents carry no URL: their source stands for the host, their language for a path of it.
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf):
+    return line_dedup.line_report(table(spark, sf, "documents"))
