@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, toxicity, warc
+from adloom.llm import decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, secrets, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,8 @@ def op8_quality(spark, sf):
 @query("op9_line_dedup")
 def op9_line_dedup(spark, sf):
     return line_dedup.line_report(table(spark, sf, "documents"))
+
+
+@query("op2_secrets")
+def op2_secrets(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"))
