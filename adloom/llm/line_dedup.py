@@ -6,8 +6,9 @@ the substrings of the other line at a position that depends on the two lengths.
 for lines of its own length and up to ``threshold`` less, at the positions that are possible (multi-match-aware: a shift
 beyond the edits left and right of it is not probed). Length, segment number and content make the key.
 
-No key group is expanded into all its pairs: members are compared with the smallest one first, and members of different
-components then among each other, unless their distances to the smallest one exclude a link (triangle inequality).
+No key group is expanded into all its pairs: members are compared with the smallest one first. Lines of groups that then
+hold several components go by one-edit keys (threshold 1), whose groups need no further comparison; beyond threshold 1,
+members of different components are compared, unless their distances to the smallest one exclude a link (triangle inequality).
 Candidates are verified by a banded bit-parallel edit distance over code points.
 
 Of a group the first line stays, by document id and line number. Blank lines always stay.
@@ -29,6 +30,7 @@ from adloom.session import shared_dir, staged
 
 THRESHOLD = 1
 MIN_LENGTH = 24
+BROADCAST_ROWS = 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,10 +58,22 @@ def keys(line: Column, threshold: int) -> Column:
             start, size = _bounds(length - less, parts, i)
             for shift in range(-threshold, threshold + 1):
                 # Position start + shift: |shift| edits to the left at most i, and |less - shift| to the right at most threshold - i.
+                # As |shift| <= i, the position lies inside the line wherever segments hold a character at least.
                 if abs(shift) <= i and abs(less - shift) <= threshold - i and (less or shift):
-                    at = start + F.lit(shift)
-                    out.append(F.when(at >= 1, F.xxhash64(length - less, F.lit(i), F.substr(line, at, size))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+                    out.append(F.xxhash64(length - less, F.lit(i), F.substr(line, start + F.lit(shift), size)))
+    return F.array(*out)
+
+
+def one_edit_keys(line: Column) -> Column:
+    """Keys that two lines share if and only if one edit at most lies between them.
+
+    They are pairs of a text and a position: the line without its character there, and the line itself. A substitution leaves
+    equal texts at its position; the longer line of an insertion leaves the shorter one. All lines of one key are within one
+    edit of each other, so comparing them with one of them is enough.
+    """
+    n = F.char_length(line)
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.xxhash64(F.concat(F.substr(line, F.lit(1), p), F.substr(line, p + 2, n)), p))
+    return F.concat(cut, F.transform(F.sequence(F.lit(0), n), lambda p: F.xxhash64(line, p)))
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -113,9 +127,11 @@ def line_links(occurrences: DataFrame, folder: str, threshold: int, min_length:
     probes = long_lines.select(F.xxhash64("line").alias("h"), F.explode(keys(F.col("line"), threshold)).alias("key"))
     heads = probes.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("key", "a")
     shared = staged(probes.join(heads, "key").groupBy("key", "h").agg(F.min("a").alias("a")), folder, "shared")
-    wanted = shared.select("h").distinct()
+    wanted = staged(shared.select("h").distinct(), folder, "wanted")
+    # Up to so many hashes of 8 bytes are sent to the lines; of more, the lines go to the hashes.
+    small = wanted.count() <= BROADCAST_ROWS
     # One row per candidate line, told apart by content.
-    texts = staged(long_lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").groupBy("h", "digest").agg(F.max("line").alias("line")), folder, "texts")
+    texts = staged(long_lines.withColumn("h", F.xxhash64("line")).join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h", "digest").agg(F.max("line").alias("line")), folder, "texts")
     one, two = (texts.select(F.col("h").alias(s), F.col("digest").alias(f"d{s}"), F.col("line").alias(f"line_{s}")) for s in "ab")
 
     def measured(pairs: DataFrame, most: int, name: str) -> DataFrame:
@@ -134,12 +150,18 @@ def line_links(occurrences: DataFrame, folder: str, threshold: int, min_length:
     rows = shared.join(label, "h").join(far, ["a", "h"], "left").withColumn("d", F.when(F.col("a") == F.col("h"), 0).otherwise(F.coalesce("d", F.lit(2 * threshold + 1))))
     several = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     left = staged(rows.join(several, "key", "left_semi"), folder, "open")
-    x, y = left.alias("x"), left.alias("y")
-    # Distances above 2 threshold are only known to be so; two such lines may be near each other.
-    beyond = 2 * threshold
-    apart = (F.abs(F.col("x.d") - F.col("y.d")) > threshold) & ((F.col("x.d") <= beyond) | (F.col("y.d") <= threshold)) & ((F.col("y.d") <= beyond) | (F.col("x.d") <= threshold))
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ~apart & (F.col("x.h") != F.col("x.a")))
-            .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct())
+    if threshold == 1:
+        # The open lines go by one-edit keys, whose groups are within one edit throughout.
+        lines = left.select("h").distinct().join(texts, "h").select("h", F.explode(let(F.col("line"), one_edit_keys)).alias("key"))
+        edits = lines.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("key", "a")
+        rest = lines.join(edits, "key").filter("h <> a").select("a", F.col("h").alias("b")).distinct()
+    else:
+        x, y = left.alias("x"), left.alias("y")
+        # Distances above 2 threshold are only known to be so; two such lines may be near each other.
+        beyond = 2 * threshold
+        apart = (F.abs(F.col("x.d") - F.col("y.d")) > threshold) & ((F.col("x.d") <= beyond) | (F.col("y.d") <= threshold)) & ((F.col("y.d") <= beyond) | (F.col("x.d") <= threshold))
+        rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ~apart & (F.col("x.h") != F.col("x.a")))
+                .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct())
     second = measured(rest, threshold, "second")
     links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(
         second.filter(F.col("d") <= threshold).select(F.col("da").alias("a"), F.col("db").alias("b")))
