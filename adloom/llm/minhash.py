@@ -7,7 +7,7 @@ bucket keys. Documents of equal sets are one class, which its smallest id stands
 
 No bucket is expanded into all its pairs. Every member is compared with the smallest id of its bucket first; members of
 different components of one bucket are then compared with each other, if the triangle inequality of the Jaccard distance
-and the sizes of their sets leave a link possible. Links are confirmed on the full texts, never on signatures.
+and the shingles that they have alone among such documents leave a link possible. Links are confirmed on the full texts, never on signatures.
 
 With 32 bands of 5 places, a pair of similarity 0.8 shares no bucket with a probability of 3e-6; nothing else is lost.
 
@@ -33,6 +33,7 @@ BANDS = 32
 SEED = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x100000001B3)
+BROADCAST_ROWS = 1_000_000
 #: Elements hashed at a time.
 CHUNK = 1 << 17
 
@@ -168,6 +169,23 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(k), "a long, b long, inter long, whole long")
 
 
+def lone_shingles(docs: DataFrame, ids: DataFrame, k: int, folder: str) -> DataFrame:
+    """id, lone: how many shingles of each of the documents no other one of them has."""
+    wanted = staged(ids.select(F.col("id").alias("doc_id")), folder, "open-ids")
+    # Up to so many ids of 8 bytes are sent to the documents; of more, the documents go to the ids.
+    small = wanted.count() <= BROADCAST_ROWS
+
+    def spread(batches):
+        np.seterr(over="ignore")
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"]):
+                s = shingle_set(text_words(text), k)
+                yield pd.DataFrame({"id": np.full(len(s), i, np.int64), "h": s.view(np.int64)})
+    rows = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").mapInPandas(spread, "id long, h long")
+    lone = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("z")).filter("id = z")
+    return lone.groupBy("id").agg(F.count("*").alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that links reach), kept."""
     folder = shared_dir(docs.sparkSession, "minhash")
@@ -193,16 +211,21 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
                 .withColumn("d", F.when(F.col("id") == F.col("a"), 0.0).otherwise(1 - F.col("inter") / F.col("whole"))).select("key", "id", "n", "a", "c", "d"))
     mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     open_rows = staged(labelled.join(mixed_keys, "key", "left_semi"), folder, "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    # Shingles that no other open document has cannot be shared; they bound the similarity of every pair from above.
+    own = lone_shingles(docs, open_rows.select("id").distinct(), k, folder)
+    ranked = open_rows.join(own, "id", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * percent)
+    x, y = ranked.alias("x"), ranked.alias("y")
+    common = F.least("x.most", "y.most")
+    possible = common * 100 >= (F.col("x.n") + F.col("y.n") - common) * percent
     far = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-                   & fits(F.col("x.n"), F.col("y.n")) & ~far & (F.col("x.id") != F.col("x.a")))
+                   & possible & ~far & (F.col("x.id") != F.col("x.a")))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     second = staged(verified(rest, docs, k).filter(linked).select("a", "b"), folder, "second")
     links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second)
     # Rows of one id with different texts are one document.
-    own = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(own), folder, "all")
+    same_id = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = components(links.unionByName(same_id), folder, "all")
     result = sketch.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
