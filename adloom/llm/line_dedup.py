@@ -76,6 +76,17 @@ def one_edit_keys(line: Column) -> Column:
     return F.concat(cut, F.transform(F.sequence(F.lit(0), n), lambda p: F.xxhash64(line, p)))
 
 
+def all_but_one_keys(line: Column, parts: int = 16) -> Column:
+    """Keys of a line without one of ``parts`` windows, as a line of its own length and as one with a character more. Lines within one edit share one."""
+    def key(length, j):
+        i, own = F.pmod(j, F.lit(parts)), length - F.floor(j / parts).cast("int")
+        size, longer = F.floor(own / parts).cast("int"), F.pmod(own, F.lit(parts))
+        start = size * i + F.greatest(i - (F.lit(parts) - longer), F.lit(0)) + 1
+        end = start + size + F.when(i >= F.lit(parts) - longer, 1).otherwise(0) - 1
+        return F.xxhash64(own, i, F.substr(line, F.lit(1), start - 1), F.substr(line, length - (own - end) + 1, own - end))
+    return let(F.char_length(line), lambda n: F.transform(F.sequence(F.lit(0), F.lit(2 * parts - 1)), lambda j: key(n, j)))
+
+
 def edit_distance(a: Column, b: Column, most: int) -> Column:
     """Edit distance of two texts if it is at most ``most``, else most + 1: bit-parallel over a diagonal band of 2 most + 1 cells.
 
@@ -151,8 +162,12 @@ def line_links(occurrences: DataFrame, folder: str, threshold: int, min_length:
     several = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     left = staged(rows.join(several, "key", "left_semi"), folder, "open")
     if threshold == 1:
-        # The open lines go by one-edit keys, whose groups are within one edit throughout.
-        lines = left.select("h").distinct().join(texts, "h").select("h", F.explode(let(F.col("line"), one_edit_keys)).alias("key"))
+        # Open lines that agree with another one outside of a sixteenth go by one-edit keys, whose groups are within one edit throughout.
+        open_lines = staged(left.select("h").distinct().join(texts, "h").select("h", "line"), folder, "open-lines")
+        rough = open_lines.select("h", F.explode(all_but_one_keys(F.col("line"))).alias("key"))
+        shared_rough = rough.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("key")
+        near = staged(rough.join(shared_rough, "key", "left_semi").select("h").distinct(), folder, "near")
+        lines = open_lines.join(near, "h").select("h", F.explode(let(F.col("line"), one_edit_keys)).alias("key"))
         edits = lines.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("key", "a")
         rest = lines.join(edits, "key").filter("h <> a").select("a", F.col("h").alias("b")).distinct()
     else:
