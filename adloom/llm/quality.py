@@ -72,7 +72,7 @@ def evidence_table(found: DataFrame, labels: DataFrame) -> tuple[list[list[float
 
 def evidence(bins: Column, table: list[list[float]]) -> Column:
     parts = [F.get(F.array(*[F.lit(v) for v in row]), F.get(bins, F.lit(m))) for m, row in enumerate(table)]
-    return F.coalesce(F.greatest(F.least(sum(parts[1:], parts[0]), F.lit(MOST_ALL)), F.lit(-MOST_ALL)), F.lit(0.0))
+    return F.when(bins.isNull(), 0.0).otherwise(F.greatest(F.least(sum(parts[1:], parts[0]), F.lit(MOST_ALL)), F.lit(-MOST_ALL)))
 
 
 def _odds(p: Column) -> Column:

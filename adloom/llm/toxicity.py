@@ -7,7 +7,7 @@ into windows of whole words, and each window is compressed as ordinary text (ord
 (both). Dictionaries are loaded as plain content, so a literal costs a byte and a match shows in full.
 
 How many windows gain at least 1, 3, 5, 7 bytes is turned into a probability by a logistic model that was fitted on
-labelled texts that the dictionaries have not seen; 0.3 is the threshold of ``predicted``.
+labelled texts against dictionaries that have not seen them (two halves, crosswise); 0.3 is the threshold of ``predicted``.
 
 Labels only come from training rows; language, source and id are never inputs. At most ``max_toxic`` and ``max_ordinary``
 labelled texts, drawn by a hash of the text, are used for fitting; all texts are scored in full.
@@ -38,7 +38,7 @@ MIN_RATIO = 20.0
 GAINS = (1, 3, 4, 5, 6, 7)
 THRESHOLD = 0.3
 MAX_TOXIC = 3000
-MAX_ORDINARY = 6000
+MAX_ORDINARY = 4000
 #: Of a training text, so much is read for fitting; scoring reads all of it.
 FIT_BYTES = 1 << 16
 OUT = "doc_id long, held_out boolean, score double, predicted int, windows long, gain long"
@@ -132,23 +132,29 @@ def _distinct(rows: list[list[bytes]]) -> list[list[bytes]]:
 
 
 def fit(rows: pd.DataFrame) -> dict:
-    """Dictionaries and weights from (text, toxic); halves of each class train the dictionaries and the weights."""
+    """Dictionaries of all (text, toxic) rows; the weights come from each half's dictionaries on the other half."""
     texts = {1: [], 0: []}
     for text, toxic in zip(rows["text"], rows["toxic"]):
         texts[int(toxic)].append((text or "")[:FIT_BYTES])
     if not texts[1] or not texts[0]:
         return {}
-    parts = {k: (v[::2], v[1::2] or v) for k, v in texts.items()}
-    words = {k: _distinct([t.lower().encode("utf-8", "replace").split() for t in parts[k][0]]) for k in parts}
+    half = lambda side: {k: v[side::2] or v for k, v in texts.items()}
+    x, y = [], []
+    for side in (0, 1):
+        gains, other = Gains(*dictionaries(half(side))), half(1 - side)
+        x += [gains.features(t) for k in (1, 0) for t in other[k]]
+        y += [k for k in (1, 0) for _ in other[k]]
+    ordinary, toxic = dictionaries(texts)
+    return {"ordinary": ordinary, "toxic": toxic, "weights": _logistic(np.array(x), np.array(y, float))}
+
+
+def dictionaries(texts: dict[int, list[str]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of labelled texts."""
+    words = {k: _distinct([t.lower().encode("utf-8", "replace").split() for t in texts[k]]) for k in texts}
     chosen = contrast_words(words[1], words[0])
     toxic = [b" " + b" ".join(w for w in ws if w in chosen) + b" " for ws in words[1]]
-    ordinary = [w for t in parts[0][0] for w in text_windows(t)]
-    model = {"ordinary": _train(ordinary, ORDINARY_BYTES), "toxic": _train([s for s in toxic if len(s) > 8], TOXIC_BYTES)}
-    gains = Gains(model["ordinary"], model["toxic"])
-    x = np.array([gains.features(t) for k in (1, 0) for t in parts[k][1]])
-    y = np.array([k for k in (1, 0) for _ in parts[k][1]], float)
-    model["weights"] = _logistic(x, y)
-    return model
+    ordinary = [w for t in texts[0] for w in text_windows(t)]
+    return _train(ordinary, ORDINARY_BYTES), _train([s for s in toxic if len(s) > 8], TOXIC_BYTES)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> pd.DataFrame:

@@ -1,0 +1,145 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for every operator."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from adloom.llm import decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, secrets, toxicity, warc
+from adloom.llm.queries import QUERIES, SQL
+
+LONG = " ".join(f"w{i}" for i in range(30_000))
+ROWS = [
+    (1, "Alpha beta gamma", "en", "a"), (2, "alpha BETA gamma", "en", "a"), (3, None, None, None), (4, "", "en", "b"),
+    (None, "alpha beta gamma", "en", None), (5, LONG, "de", "b"), (6, "É é", "fr", "c"), (6, "É é", "fr", "c"), (7, "   \n\n ", "en", "c")]
+COLUMNS = "doc_id long, text string, lang string, source string"
+EXTRA = ("digest", "content", "key", "id", "n", "size", "row", "host", "path", "value", "hits", "component_id", "kept")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, COLUMNS).withColumns({c: F.lit("x") for c in EXTRA})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (3, "")], "item_id long, text string")
+
+
+def test_exact(docs, none):
+    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.duplicate_groups(docs).collect()}
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.values()} == {
+        (1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 2, True), (7, 7, 1, True)}
+    assert exact_dedup.duplicate_groups(docs).count() == len(ROWS)
+    short = exact_dedup.duplicate_groups(docs, digest_bytes=0)  # every digest collides
+    assert sorted(map(str, short.collect())) == sorted(map(str, exact_dedup.duplicate_groups(docs).collect()))
+    stay = exact_dedup.deduplicate(docs)
+    assert sorted(r.doc_id for r in stay.collect()) == [2, 4, 5, 6, 7] and stay.columns == docs.columns
+    assert exact_dedup.duplicate_groups(none).count() == exact_dedup.deduplicate(none).count() == 0
+
+
+def test_minhash(docs, none):
+    rows = minhash.near_duplicates(docs).collect()
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in rows}
+    assert len(rows) == len(ROWS)
+    assert got == {(1, 2): (1, True), (2, 2): (1, False), (3, 0): (3, True), (4, 0): (4, True), (None, 2): (None, True), (5, 29_999): (5, True),
+                   (6, 1): (6, True), (7, 0): (7, True)}
+    assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicate(docs).columns == docs.columns
+
+
+def test_mixing(docs, none):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(ROWS) and mixing.mix(none).count() == 0
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.BLOCK and own[0].target <= 2 * own[0].source_size
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_quality(docs, none, labels):
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.evidence == 0 for r in rows if r.doc_id in (3, 4, 7))
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.classify(none, labels).count() == 0
+    assert quality.classify(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_toxicity(docs, none, labels):
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert toxicity.toxicity(none, labels).count() == 0
+    assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_decontamination(docs, none, items):
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, items).collect()} == {(1, 1), (2, 1), (None, 1)}
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 6, 7]
+    assert decontaminate.contamination(none, items).count() == 0 and decontaminate.contamination(docs, items.limit(0)).count() == 0
+
+
+def test_template_slots(spark):
+    items = spark.createDataFrame([(1, "A train needs 12 hours for 12 km and then 30 hours more to reach Boston.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Now. A train needs 15 hours for 15 km and then 40 hours more to reach Berlin. End"),
+                                  (2, "Now. A train needs 15 hours for 16 km and then 40 hours more to reach Berlin. End"),
+                                  (3, "A TRAIN NEEDS 12 HOURS FOR 12 KM")], "doc_id long, text string")
+    found = {r.doc_id: r.slots for r in decontaminate.contamination(docs, items).collect()}
+    assert set(found) == {1} and found[1] >= 3
+
+
+def test_license(docs, none, spark):
+    rows = license.scan(docs).collect()
+    assert len(rows) == len(ROWS) and all(r.n_base == 0 and r.first_word is None and r.labels == "" and r.score == 0 for r in rows)
+    text = "x Licensed under the Apache License, Version 2.0. MIT-License cc by CC  BY"
+    one = license.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels) == (15, 4, 4, 13, "apache,cc-by,mit")
+    assert one.labels == "apache,apache-2,cc-by,mit" and one.score == 1.0
+    dropped = "licensed under gnu general public license version 3"  # a word is missing, so the diagonal moves
+    assert "gpl-3" in license.scan(spark.createDataFrame([(1, dropped)], "doc_id long, text string")).first().labels
+    assert license.scan(none).count() == 0
+
+
+def test_lines(docs, none):
+    rows = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    assert len(rows) == 8 and rows[3].n_lines == rows[4].n_lines == 0 and rows[7].n_lines == 0
+    assert line_dedup.drop_repeated_lines(docs).columns == docs.columns and line_dedup.line_report(none).count() == 0
+
+
+def test_secrets(docs, none):
+    assert secrets.scan(none).count() == 0
+    assert {r.is_secret for r in secrets.scan(docs).collect()} <= {False}
+
+
+def test_warc(spark):
+    big = "<p>é</p>" * 40
+    rows = [(3, "http://a/", big), (1, "http://b/", big), (2, None, None), (4, "u", ""), (None, "n", big), (1, "http://b/", big), (9, "long", "x" * 2_000_000),
+            (10, "quoted", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("key", F.lit(1))
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_digests(pages).collect()), key=str)
+    size = len(big.encode())
+    assert got == sorted([(3, size, "revisit", 1), (1, size, "response", None), (1, size, "response", None), (2, 0, "response", None), (4, 0, "response", None),
+                          (0, size, "revisit", 1), (9, 2_000_000, "response", None), (10, 190, "response", None)], key=str)
+    assert warc.archive_digests(pages.limit(0)).count() == 0
+
+
+def test_selected_records(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 30) for i in range(200)], "page_id long, url string, html string")
+    index = warc.write_archive(pages, f"file://{tmp_path}/w", file_bytes=4000)
+    chosen = warc.read_records(index.filter("page_id % 7 = 3"), f"file://{tmp_path}/w", max_gap=100, max_range=900)
+    assert {r.page_id: bytes(r.payload).decode() for r in chosen.collect()} == {i: f"page {i} " * 30 for i in range(200) if i % 7 == 3}
+
+
+def test_every_operator_is_registered():
+    for n in range(1, 11):
+        assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
+    assert {name.split("_")[0] for name in SQL} == {"op1", "op4", "op7", "op10"}
