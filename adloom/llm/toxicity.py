@@ -83,8 +83,8 @@ class Gains:
         return np.array([math.log1p((gains >= g).sum()) for g in GAINS] + [math.log1p(len(gains)), float(gains.max(initial=0))])
 
 
-def contrast_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], min_ratio: float = MIN_RATIO) -> set[bytes]:
-    """Words whose share of toxic texts is above that of ordinary texts by a log-likelihood ratio of ``min_ratio``."""
+def contrast_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], min_ratio: float = MIN_RATIO) -> dict[bytes, float]:
+    """Words, highest ratio first, whose share of toxic texts is above that of ordinary texts by a log-likelihood ratio of ``min_ratio``."""
     have, lack = Counter(), Counter()
     for words in toxic:
         have.update(set(words))
@@ -96,7 +96,8 @@ def contrast_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], min_ra
         a, b = have[word], lack[word]
         e, f = (a + b) * n / (n + m), (a + b) * m / (n + m)
         return 0.0 if a <= e or a < 4 * b else 2 * (a * math.log(a / e) + (b * math.log(b / f) if b else 0.0))
-    return {w for w in have if ratio(w) >= min_ratio}
+    found = {w: ratio(w) for w in have}
+    return dict(sorted(((w, r) for w, r in found.items() if r >= min_ratio), key=lambda x: (-x[1], x[0])))
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -152,9 +153,12 @@ def dictionaries(texts: dict[int, list[str]]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary of labelled texts."""
     words = {k: _distinct([t.lower().encode("utf-8", "replace").split() for t in texts[k]]) for k in texts}
     chosen = contrast_words(words[1], words[0])
-    toxic = [b" " + b" ".join(w for w in ws if w in chosen) + b" " for ws in words[1]]
+    toxic = [b" " + b" ".join(dict.fromkeys(w for w in ws if w in chosen)) + b" " for ws in words[1]]
     ordinary = [w for t in texts[0] for w in text_windows(t)]
-    return _train(ordinary, ORDINARY_BYTES), _train([s for s in toxic if len(s) > 8], TOXIC_BYTES)
+    trained = _train([s for s in toxic if len(s) > 8], TOXIC_BYTES)
+    # Training leaves words out when samples are few; they follow, most telling first.
+    left = b" " + b" ".join(w for w in chosen if b" " + w + b" " not in trained) + b" "
+    return _train(ordinary, ORDINARY_BYTES), trained + left[:TOXIC_BYTES]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> pd.DataFrame:
