@@ -43,8 +43,12 @@ def source_label(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in SOURCE_LABELS.items() for x in kv])[kind]
 
 
+#: Scheme, user info, host, port, path, as browsers read them: pipes, spaces and underscores are no errors in a path or query.
+URL = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::[0-9]*)?([^?#]*)"
+
+
 def _host(url: Column) -> Column:
-    return F.nullif(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    return F.nullif(F.regexp_extract(url, URL, 1), F.lit(""))
 
 
 def url_domain(url: Column) -> Column:
@@ -64,7 +68,7 @@ def longest_segment(segments: Column) -> Column:
 
 def guess_name(url: Column) -> Column:
     """Product name guessed from the URL path; empty when there is none."""
-    path = F.when(_host(url).isNotNull(), F.try_parse_url(url, F.lit("PATH")))
+    path = F.when(_host(url).isNotNull(), F.regexp_extract(url, URL, 2))
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     slug = F.coalesce(
         F.get(F.filter(parts, lambda s: (F.length(s) > 12) & s.contains("-")), F.lit(0)),

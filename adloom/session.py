@@ -30,8 +30,12 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "adloom") -> Spa
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's checkpoint folder; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="adloom-")
+    """New folder below the cluster's checkpoint folder. Only a local session may do without one and gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="adloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

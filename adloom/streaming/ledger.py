@@ -20,7 +20,7 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 class AccountLedger(StatefulProcessor):
-    """One value per account. Rows are handled chunk by chunk, so an account's batch is never held whole."""
+    """One value per account. An account's rows of one micro-batch are ordered together, whatever chunks they come in."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.account = handle.getValueState("account", STATE)
@@ -31,13 +31,12 @@ class AccountLedger(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.account.get()) if self.account.exists() else None
-        for chunk in rows:
-            out = []
-            for e in chunk.sort_values(["ts", "event_id"]).itertuples(index=False):
-                state, decision = decide(state, e.action, e.plan_id, e.ts.strftime("%Y-%m"))
-                if decision is not None:
-                    out.append((e.event_id, e.ts, key[0], e.action, *decision))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"credits": "Int32", "campaigns_this_month": "Int32"})
+        out = []
+        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            state, decision = decide(state, e.action, e.plan_id, e.ts.strftime("%Y-%m"))
+            if decision is not None:
+                out.append((e.event_id, e.ts, key[0], e.action, *decision))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"credits": "Int32", "campaigns_this_month": "Int32"})
         if state is not None:
             self.account.update(state)
 

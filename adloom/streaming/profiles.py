@@ -27,6 +27,13 @@ def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.schema(COLUMNS).parquet(version_path(folder, version))
 
 
+def latest_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version, after however many micro-batches."""
+    versions = spark.read.schema(f"{COLUMNS}, version int").parquet(folder)
+    newest = versions.agg({"version": "max"}).first()[0]
+    return versions.filter(versions["version"] == newest).drop("version")
+
+
 def upsert_profiles_stream(events: DataFrame, folder: str, prices: dict[str, str], checkpoint: str, initial: DataFrame | None = None, **trigger):
     """Start a query that applies billing events to the profile table; ``initial`` becomes version -1."""
     if initial is not None:
