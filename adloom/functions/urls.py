@@ -43,8 +43,8 @@ def source_label(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in SOURCE_LABELS.items() for x in kv])[kind]
 
 
-#: Scheme, user info, host, port, path, as browsers read them: pipes, spaces and underscores are no errors in a path or query.
-URL = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::[0-9]*)?([^?#]*)"
+#: Scheme, user info, host, port, path, as browsers read them: pipes, spaces and underscores are no errors in a path or query; a host has no space.
+URL = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::[0-9]*)?(?=[/?#]|\s*$)([^?#]*)"
 
 
 def _host(url: Column) -> Column:
