@@ -6,8 +6,10 @@ which lowers the variance, and the walk over ranks stops as soon as no place can
 bucket keys. Documents of equal sets are one class, which its smallest id stands for.
 
 No bucket is expanded into all its pairs. Every member is compared with the smallest id of its bucket first; members of
-different components of one bucket are then compared with each other, if the triangle inequality of the Jaccard distance
-and the shingles that they have alone among such documents leave a link possible. Links are confirmed on the full texts, never on signatures.
+different components of one bucket are then compared with each other, if a lower bound of what they do not share leaves a
+link possible: the parity bits of two sets differ in at most as many places as the sets have elements that only one of them
+holds. The bound and the triangle inequality of the Jaccard distance exclude no link; of sets far above 1,024 shingles the
+bits say less, and more pairs are verified. Links are confirmed on the full texts, never on signatures.
 
 With 32 bands of 5 places, a pair of similarity 0.8 shares no bucket with a probability of 3e-6; nothing else is lost.
 
@@ -33,7 +35,8 @@ BANDS = 32
 SEED = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x100000001B3)
-BROADCAST_ROWS = 1_000_000
+#: Longs of parity bits for each set.
+PARITY = 16
 #: Elements hashed at a time.
 CHUNK = 1 << 17
 
@@ -114,6 +117,14 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_bits(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x PARITY longs: bit b of a set tells whether an odd number of its elements falls on b."""
+    bits = np.zeros(n * PARITY, np.uint64)
+    at = owner * PARITY + ((elements >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)
+    np.bitwise_xor.at(bits, at, np.uint64(1) << (elements & np.uint64(63)))
+    return bits.view(np.int64).reshape(n, PARITY)
+
+
 def _sketcher(k: int, bands: int):
     def chunks(batch):
         """Lists of (id, set) of at most about CHUNK elements; a larger set comes alone."""
@@ -134,14 +145,16 @@ def _sketcher(k: int, bands: int):
             for held in chunks(batch):
                 sizes = np.array([len(s) for _, s in held])
                 elements = np.concatenate([s for _, s in held])
-                keys = band_keys(signatures(elements, np.repeat(np.arange(len(held)), sizes), len(held)), bands)
+                owner = np.repeat(np.arange(len(held)), sizes)
+                keys = band_keys(signatures(elements, owner, len(held)), bands)
                 one = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for _, s in held]
                 two = [int(np.bitwise_xor.reduce(mixed(s * M1 + SEED)).view(np.int64)) if len(s) else 0 for _, s in held]
-                yield pd.DataFrame({"doc_id": pd.array([i for i, _ in held], "Int64"), "n_shingles": sizes, "d1": one, "d2": two, "keys": list(keys)})
+                yield pd.DataFrame({"doc_id": pd.array([i for i, _ in held], "Int64"), "n_shingles": sizes, "d1": one, "d2": two, "keys": list(keys),
+                                    "bits": list(parity_bits(elements, owner, len(held)))})
     return sketch
 
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
+SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, bits array<long>"
 
 
 def _verifier(k: int):
@@ -169,23 +182,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(k), "a long, b long, inter long, whole long")
 
 
-def lone_shingles(docs: DataFrame, ids: DataFrame, k: int, folder: str) -> DataFrame:
-    """id, lone: how many shingles of each of the documents no other one of them has."""
-    wanted = staged(ids.select(F.col("id").alias("doc_id")), folder, "open-ids")
-    # Up to so many ids of 8 bytes are sent to the documents; of more, the documents go to the ids.
-    small = wanted.count() <= BROADCAST_ROWS
-
-    def spread(batches):
-        np.seterr(over="ignore")
-        for batch in batches:
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                s = shingle_set(text_words(text), k)
-                yield pd.DataFrame({"id": np.full(len(s), i, np.int64), "h": s.view(np.int64)})
-    rows = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").mapInPandas(spread, "id long, h long")
-    lone = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("z")).filter("id = z")
-    return lone.groupBy("id").agg(F.count("*").alias("lone"))
-
-
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that links reach), kept."""
     folder = shared_dir(docs.sparkSession, "minhash")
@@ -211,15 +207,17 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
                 .withColumn("d", F.when(F.col("id") == F.col("a"), 0.0).otherwise(1 - F.col("inter") / F.col("whole"))).select("key", "id", "n", "a", "c", "d"))
     mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     open_rows = staged(labelled.join(mixed_keys, "key", "left_semi"), folder, "open")
-    # Shingles that no other open document has cannot be shared; they bound the similarity of every pair from above.
-    own = lone_shingles(docs, open_rows.select("id").distinct(), k, folder)
-    ranked = open_rows.join(own, "id", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0))).filter(F.col("most") * 100 >= F.col("n") * percent)
+    # An id whose rows have different texts has no bits, and all its pairs are verified.
+    single = F.when(F.min(F.struct("d1", "d2")) == F.max(F.struct("d1", "d2")), F.first("bits"))
+    bits = (full.withColumnRenamed("doc_id", "id").join(open_rows.select("id").distinct(), "id", "left_semi")
+            .groupBy("id").agg(single.alias("bits")))
+    ranked = open_rows.join(bits, "id")
     x, y = ranked.alias("x"), ranked.alias("y")
-    common = F.least("x.most", "y.most")
-    possible = common * 100 >= (F.col("x.n") + F.col("y.n") - common) * percent
+    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, v: total + v)
+    possible = F.coalesce(apart, F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     far = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-                   & possible & ~far & (F.col("x.id") != F.col("x.a")))
+                   & (F.col("x.id") != F.col("x.a")) & fits(F.col("x.n"), F.col("y.n")) & ~far & possible)
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     second = staged(verified(rest, docs, k).filter(linked).select("a", "b"), folder, "second")
     links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second)
