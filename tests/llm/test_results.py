@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -142,3 +143,15 @@ def test_pipeline_stages(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in read(sf, "documents")}
     assert len({texts[r.doc_id].lower() for r in rows}) == len(rows) > 100
     assert abs(sum(r.taken for r in rows) - 1.5 * sum(r["size"] for r in rows)) < 0.02 * sum(r["size"] for r in rows)
+
+
+def test_parity_bits_exclude_no_link():
+    draw = np.random.default_rng(5)
+    for size in (1, 3, 40, 900, 5000):
+        base = draw.integers(0, 2**63, size, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[draw.random(size) < 0.9], draw.integers(0, 2**63, size // 10, dtype=np.uint64)]) for _ in range(6)]
+        bits = minhash.parity_bits(np.concatenate(sets), np.repeat(np.arange(6), [len(s) for s in sets]), 6)
+        for i in range(6):
+            for j in range(6):
+                apart = sum(int(v & (2**64 - 1)).bit_count() for v in (bits[i] ^ bits[j]).tolist())
+                assert apart <= len(np.setxor1d(sets[i], sets[j]))
