@@ -3,19 +3,20 @@
 Texts are canonicalised word by word: numbers, units (after a number) and names (capitalised inside a sentence) become typed
 placeholders; everything else is lower-cased and freed of punctuation. Windows of five template words of the benchmark
 items are joined by hash to those of the documents (a bit table of fixed size lets almost only true windows leave a
-document's row), checked word by word, and counted per document, item and diagonal. A document holds an item if windows
-near the best diagonal cover at least 0.8 of the item's words and the slots agree: equal values of the item have equal
+document's row), checked word by word, and gathered per document, item and diagonal. Every diagonal is tried as the begin of an
+occurrence, which further ones join that begin within three times the item's length (and 96 words) after it. A document holds an
+item if any occurrence covers at least 0.8 of the item's words and its slots agree: equal values of the item have equal
 values in the document and different ones different values, so a re-parameterised question is caught and an accidental
 run of placeholders is not.
 
 Defined results: null and empty texts have no words; items of fewer than five words make one window of all of them and need a
-whole match; windows need at least two words that are no placeholders. Repeated rows, null ids and very long texts are
+whole match anywhere in a document; windows need at least two words that are no placeholders. Repeated rows, null ids and very long texts are
 ordinary rows; ``decontaminate`` finds its rows by id and content. An empty table on either side finds nothing. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.functions.binding import let
@@ -23,7 +24,7 @@ from adloom.llm.common import SPACE, bit_table, may_hit, need
 
 WINDOW = 5
 COVER = 0.8
-SHIFT = 3
+STRETCH, SLACK = 3, 32
 BITS = 1 << 20
 UNITS = ("mm cm m km g mg kg t l ml s ms sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months "
          "year years meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents "
@@ -45,33 +46,79 @@ def template_columns(text: Column) -> tuple[Column, Column]:
     return _split(plain(template)), _split(plain(bare))
 
 
-def _windows(words: Column, w: int) -> Column:
-    """Hash of each run of w words; of fewer words, one hash of all of them. ``words`` is evaluated as often as named here: bind it."""
-    n = F.size(words) - (w - 1)
-    return (F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, w))))
-            .when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>")))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _gram(hashes: Column, pos: Column, w: int | Column) -> Column:
+    return F.xxhash64(F.slice(hashes, pos + 1, w))
 
 
 def item_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
-    """gram, item_id, t_pos, t_words, t_plain, n_item: the windows of all items."""
+    """gram, item_id, t_pos, t_words, t_plain, n_item: the windows of all items, as long as the item where it has fewer than ``w`` words."""
     template, plain = template_columns(F.col("text"))
-    rows = need(items, "item_id", "text").select("item_id", template.alias("t"), plain.alias("p"))
-    spread = rows.select("item_id", "t", "p", F.size("t").alias("n_item"), F.posexplode(let(F.col("t"), lambda t: _windows(t, w))).alias("t_pos", "gram"))
-    cut = spread.select("gram", "item_id", "t_pos", "n_item", F.slice("t", F.col("t_pos") + 1, w).alias("t_words"), F.slice("p", F.col("t_pos") + 1, w).alias("t_plain"))
+    rows = need(items, "item_id", "text").select("item_id", F.explode(F.array(F.struct(template.alias("t"), plain.alias("p")))).alias("x")).select("item_id", "x.*")
+    n, width = F.size("t"), F.least(F.lit(w), F.size("t"))
+    spread = rows.filter(n > 0).select("item_id", "t", "p", n.alias("n_item"), width.alias("width"), F.explode(F.sequence(F.lit(0), n - width)).alias("t_pos"))
+    cut = spread.select(_gram(_hashes(F.col("t")), F.col("t_pos"), F.col("width")).alias("gram"), "item_id", "t_pos", "n_item",
+                        F.slice("t", F.col("t_pos") + 1, F.col("width")).alias("t_words"), F.slice("p", F.col("t_pos") + 1, F.col("width")).alias("t_plain"))
     literal = F.size(F.filter("t_words", lambda x: ~x.startswith("\x01")))
     return cut.filter(literal >= F.least(F.lit(2), F.size("t_words")))
 
 
-def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover: float = COVER, shift: int = SHIFT) -> DataFrame:
-    """doc_id, item_id, cover, slots, first_word, last_word, text_key: one row per document and item that it holds."""
+def _occurrences(pieces: DataFrame, w: int, min_cover: float) -> DataFrame:
+    """Adds words, slots, first_word, last_word of each occurrence of an item that begins with a piece and passes.
+
+    Pieces are (row, item, diagonal) with the item positions ``at`` of their windows. Every piece is tried as the first one of an
+    occurrence; the others that begin within a stretch of STRETCH times the item's length (and SLACK words) after it join if
+    they add windows and agree with the slots so far, the nearest diagonals first or the largest pieces first.
+    """
+    width = F.least(F.lit(w), F.col("n_item"))
+    item = Window.partitionBy("row", "item_id", "n_item")
+    # Ranges are whole numbers: places count in 1/1024 of the item's length with its slack.
+    stretch = item.orderBy(F.floor(F.col("low").cast("long") * 1024 / (F.col("n_item") + SLACK))).rangeBetween(0, STRETCH * 1024)
+    piece = F.struct("diagonal", "at", "pairs", "low", "high")
+    enough = lambda over: F.sum(F.size("at")).over(over) * width >= min_cover * F.col("n_item")
+    near = pieces.filter(F.size("at") > 0).withColumn("able", enough(item)).filter("able").withColumn("able", enough(stretch)).withColumn("parts", F.collect_list(piece).over(stretch)).filter("able")
+    far = lambda x: F.abs(x["diagonal"] - F.col("diagonal"))
+    kept = lambda x: F.struct(x["at"].alias("at"), x["pairs"].alias("pairs"), x["low"].alias("low"), x["high"].alias("high"))
+    ordered = lambda key: F.array_sort(F.transform("parts", lambda x: F.struct(key(x).alias("key"), x["diagonal"].alias("tie"), kept(x).alias("x"))))
+
+    def join(so_far, x):
+        x = x["x"]
+        pairs = F.array_distinct(F.concat(so_far["pairs"], x["pairs"]))
+        both = F.struct(F.array_union(so_far["at"], x["at"]).alias("at"), pairs.alias("pairs"), F.least(so_far["low"], x["low"]).alias("low"), F.greatest(so_far["high"], x["high"]).alias("high"))
+        return F.when((F.size(F.array_except(x["at"], so_far["at"])) > 0) & agree(pairs), both).otherwise(so_far)
+
+    own = kept({c: F.col(c) for c in ("at", "pairs", "low", "high")})
+    tries = [F.aggregate(ordered(key), own, join) for key in (far, lambda x: -F.size(x["at"]))]
+    found = near.filter(agree(F.col("pairs"))).select("row", "doc_id", "text_key", "item_id", "n_item", F.explode(F.array(*tries)).alias("o"))
+    covered = F.array_distinct(F.flatten(F.transform("o.at", lambda p: F.sequence(p, p + width - 1))))
+    return found.select("row", "doc_id", "text_key", "item_id", "n_item", (F.size(covered) / F.col("n_item")).alias("cover"), F.size("o.pairs").alias("slots"),
+                        F.col("o.low").alias("first_word"), (F.col("o.high") + width - 1).alias("last_word")).filter(F.col("cover") >= min_cover)
+
+
+def agree(pairs: Column) -> Column:
+    """Whether the slots' values agree: equal ones of the item have equal ones in the document and different ones different ones."""
+    values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+    return (values("t") == F.size(pairs)) & (values("d") == F.size(pairs))
+
+
+def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover: float = COVER) -> DataFrame:
+    """doc_id, item_id, cover, slots, first_word, last_word, text_key: one row per document and item that it holds, with its best occurrence."""
     windows = item_windows(items, w)
     table = bit_table(windows, "gram", BITS)
+    # Of at most w values. Documents give windows of no other lengths.
+    lengths = sorted(r[0] for r in windows.select(F.size("t_words")).distinct().collect())
     template, plain = template_columns(F.col("text"))
-    hits = let(template, lambda t: F.filter(F.transform(_windows(t, w), lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))),
-                                            lambda x: may_hit(table, x["gram"], BITS)))
+
+    def hits(h):
+        one = lambda n: F.filter(F.transform(h, lambda _, i: F.struct(i.alias("pos"), F.lit(n).alias("width"), _gram(h, i, n).alias("gram"))),
+                                 lambda x: (x["pos"] <= F.size(h) - n) & may_hit(table, x["gram"], BITS))
+        return F.concat(*[one(n) for n in lengths or [w]])
     # The generator keeps the hits from being computed again for the filter and the columns that use them.
-    held = need(docs, "doc_id", "text").select("doc_id", "text", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
-    own = let(plain, lambda p: F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["gram"].alias("gram"), F.slice(p, h["pos"] + 1, w).alias("own"))))
+    held = need(docs, "doc_id", "text").select("doc_id", "text", F.explode(F.array(let(_hashes(template), hits))).alias("hits")).filter(F.size("hits") > 0)
+    own = let(plain, lambda p: F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["gram"].alias("gram"), F.slice(p, h["pos"] + 1, h["width"]).alias("own"))))
     with_words = held.select("doc_id", F.md5("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), own.alias("hits"))
     flat = with_words.select("doc_id", "text_key", "row", F.explode("hits").alias("h")).select("doc_id", "text_key", "row", "h.*")
     found = flat.join(windows, "gram")
@@ -81,21 +128,11 @@ def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover:
     pairs = F.transform(F.filter(places, slot), lambda i: F.struct(F.get("t_plain", i).alias("t"), F.get("own", i).alias("d")))
     checked = found.filter(same).select("row", "doc_id", "text_key", "item_id", "n_item", "pos", "t_pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"), pairs.alias("pairs"))
     # At most one window per item position on a diagonal, so the lists are as long as an item at most.
-    lines = checked.groupBy("row", "doc_id", "text_key", "item_id", "n_item", "diagonal").agg(
-        F.count("*").alias("votes"), F.collect_set("t_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-        F.min("pos").alias("low"), F.max("pos").alias("high"))
-    best = lines.groupBy("row", "doc_id", "text_key", "item_id", "n_item").agg(
-        F.max(F.struct("votes", -F.col("diagonal"))).alias("best"), F.collect_list(F.struct("diagonal", "at", "pairs", "low", "high")).alias("lines"))
-    near = F.filter("lines", lambda x: F.abs(x["diagonal"] + F.col("best")["col2"]) <= shift)
-    width = F.least(F.lit(w), F.col("n_item"))
-    merged = best.withColumn("near", near).withColumn(
-        "words", F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("near", lambda x: x["at"])), lambda p: F.sequence(p, p + width - 1)))))
-    merged = merged.withColumn("pairs", F.array_distinct(F.flatten(F.transform("near", lambda x: x["pairs"]))))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (values("t") == F.size("pairs")) & (values("d") == F.size("pairs"))
-    return (merged.withColumn("cover", F.size("words") / F.col("n_item")).filter((F.col("cover") >= min_cover) & consistent)
-            .select("doc_id", "item_id", "cover", F.size("pairs").alias("slots"), F.array_min(F.transform("near", lambda x: x["low"])).alias("first_word"),
-                    (F.array_max(F.transform("near", lambda x: x["high"])) + width - 1).alias("last_word"), "text_key"))
+    pieces = checked.groupBy("row", "doc_id", "text_key", "item_id", "n_item", "diagonal").agg(
+        F.collect_set("t_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    best = _occurrences(pieces, w, min_cover).groupBy("row", "doc_id", "text_key", "item_id", "n_item").agg(
+        F.max(F.struct("cover", (-F.col("first_word")).alias("early"), (-F.col("last_word")).alias("short"), "slots")).alias("o"))
+    return best.select("doc_id", "item_id", "o.cover", "o.slots", (-F.col("o.early")).alias("first_word"), (-F.col("o.short")).alias("last_word"), "text_key")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

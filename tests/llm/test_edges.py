@@ -97,6 +97,19 @@ def test_template_slots(spark):
     assert set(found) == {1} and found[1] >= 3
 
 
+def test_every_occurrence_of_an_item(spark):
+    item = "A train needs 12 hours for 12 km of the old mountain railway and then 30 hours more to reach the northern harbour"
+    words, pad = item.split(), "Nothing else stands here . " * 60
+    clash = item.replace("12 km", "17 km")
+    texts = {1: f"{clash} {pad} {item}", 2: f"{' '.join(words[:13])} {pad} {' '.join(words[:11])} really {' '.join(words[11:])}",
+             3: " ".join(words[:11] + "four more words here and some others".split() + words[11:]), 4: f"{clash} {item}", 5: f"{item} {clash}",
+             6: clash, 7: " ".join(words[:13]), 8: f"we say alpha beta gamma now {pad}", 9: f"alpha beta {pad} gamma", 10: " ".join(words[:11]) + pad + " ".join(words[11:])}
+    items = spark.createDataFrame([(1, item), (2, "alpha beta gamma"), (3, "beta")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), items).collect()}
+    assert set(found) == {(d, 1) for d in (1, 2, 3, 4, 5)} | {(8, 2), (8, 3), (9, 3)}
+    assert found[1, 1].cover == found[3, 1].cover == 1 and (found[4, 1].first_word, found[4, 1].last_word) == (23, 45) and (found[8, 2].first_word, found[8, 2].last_word) == (2, 4)
+
+
 def test_license(docs, none, spark):
     rows = license.scan(docs).collect()
     assert len(rows) == len(ROWS) and all(r.n_base == 0 and r.first_word is None and r.labels == "" and r.score == 0 for r in rows)
