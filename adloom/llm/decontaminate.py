@@ -1,13 +1,13 @@
 """Benchmark decontamination by templates.
 
 Texts are canonicalised word by word: numbers, units (after a number) and names (capitalised inside a sentence) become typed
-placeholders; everything else is lower-cased and freed of punctuation. Windows of five template words of the benchmark
+placeholders; everything else is lower-cased and freed of punctuation. A capitalised word that opens a sentence, other than
+common openers, may be a name or not: a second template has it as a placeholder, and windows of either may meet. Windows of five template words of the benchmark
 items are joined by hash to those of the documents (a bit table of fixed size lets almost only true windows leave a
 document's row), checked word by word, and gathered per document, item and diagonal. Every diagonal is tried as the begin of an
 occurrence, which further ones join that begin within three times the item's length (and 96 words) after it. A document holds an
 item if any occurrence covers at least 0.8 of the item's words and its slots agree: equal values of the item have equal
-values in the document and different ones different values, so a re-parameterised question is caught and an accidental
-run of placeholders is not.
+values in the document (different ones may have equal ones, as small numbers often do), so a re-parameterised question is caught.
 
 Defined results: null and empty texts have no words; items of fewer than five words make one window of all of them and need a
 whole match anywhere in a document; windows need at least two words that are no placeholders. Repeated rows, null ids and very long texts are
@@ -32,38 +32,48 @@ UNITS = ("mm cm m km g mg kg t l ml s ms sec min h hr hrs hour hours minute minu
 NUMBER = r"(?<!\S)[^\p{L}\p{N}\s]*[0-9][0-9.,:/]*[^\p{L}\p{N}\s]*(?!\S)"
 UNIT = r"(?i)(?<=[0-9][.,%]?[ \t])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 NAME = r"(?<=[\p{Ll}0-9,;][ \t])\p{Lu}[\p{Ll}'\-]+(?![\p{L}\p{N}])"
+#: Words that open sentences and are never taken for names there.
+OPENERS = ("a an the this that these those there here i he she it we you they his her its our your their my who whom whose which what when where "
+           "why how if in on at by for from to of with without and but or nor so then thus hence as is are was were do does did can could will would "
+           "shall should may might must has have had let each every all both some any no not one after before during while since until because").split()
+#: The remaining capitalised words are marked: literal words in one template, names in the other.
+MAYBE = r"(?<![\p{L}\p{N}\x01'\-])(?!(?i:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))(\p{Lu}[\p{Ll}'\-]+)(?![\p{L}\p{N}])"
 
 
 def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def template_columns(text: Column) -> tuple[Column, Column]:
-    """(template words, plain words), aligned: words without any letter or digit are left out of both."""
+def templates(text: Column) -> Column:
+    """Struct of strict, loose and plain words, aligned: words without any letter or digit are left out of all.
+
+    Capitalised words that open a sentence may be names: ``strict`` has them as words, ``loose`` as placeholders.
+    """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", "")
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s\x01]+", "")
-    template = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, UNIT, "\x01u"), NUMBER, "\x01n"), NAME, "\x01p")
-    return _split(plain(template)), _split(plain(bare))
+    marked = lambda c: plain(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, UNIT, "\x01u"), NUMBER, "\x01n"), NAME, "\x01p"), MAYBE, "\x01q$1"))
+    strict, loose = (lambda m: F.replace(m, F.lit("\x01q"), F.lit(""))), (lambda m: F.replace(F.regexp_replace(m, r"(?<!\S)\x01q\S*", "\x01p"), F.lit("\x01q"), F.lit("")))
+    return let(bare, lambda c: let(marked(c), lambda m: F.struct(_split(strict(m)).alias("strict"), _split(loose(m)).alias("loose"), _split(plain(c)).alias("plain"))))
 
 
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _gram(hashes: Column, pos: Column, w: int | Column) -> Column:
-    return F.xxhash64(F.slice(hashes, pos + 1, w))
-
-
 def item_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
-    """gram, item_id, t_pos, t_words, t_plain, n_item: the windows of all items, as long as the item where it has fewer than ``w`` words."""
-    template, plain = template_columns(F.col("text"))
-    rows = need(items, "item_id", "text").select("item_id", F.explode(F.array(F.struct(template.alias("t"), plain.alias("p")))).alias("x")).select("item_id", "x.*")
-    n, width = F.size("t"), F.least(F.lit(w), F.size("t"))
-    spread = rows.filter(n > 0).select("item_id", "t", "p", n.alias("n_item"), width.alias("width"), F.explode(F.sequence(F.lit(0), n - width)).alias("t_pos"))
-    cut = spread.select(_gram(_hashes(F.col("t")), F.col("t_pos"), F.col("width")).alias("gram"), "item_id", "t_pos", "n_item",
-                        F.slice("t", F.col("t_pos") + 1, F.col("width")).alias("t_words"), F.slice("p", F.col("t_pos") + 1, F.col("width")).alias("t_plain"))
+    """gram, item_id, t_pos, t_words, t_plain, n_item, loose: the windows of all items, as long as the item where it has fewer than ``w`` words.
+
+    ``loose`` windows are those of the loose template that the strict one has not.
+    """
+    rows = need(items, "item_id", "text").select("item_id", F.explode(F.array(templates(F.col("text")))).alias("x")).select("item_id", "x.*")
+    n, width = F.size("plain"), F.least(F.lit(w), F.size("plain"))
+    spread = rows.filter(n > 0).select("item_id", "strict", "loose", "plain", n.alias("n_item"), width.alias("width"), F.explode(F.sequence(F.lit(0), n - width)).alias("t_pos"))
+    cut = lambda c: F.slice(c, F.col("t_pos") + 1, F.col("width"))
+    kinds = F.array(F.struct(cut("strict").alias("t_words"), F.lit(False).alias("loose")), F.struct(cut("loose").alias("t_words"), F.lit(True).alias("loose")))
+    both = spread.select("item_id", "t_pos", "n_item", cut("plain").alias("t_plain"), F.explode(F.filter(kinds, lambda k: ~k["loose"] | (k["t_words"] != cut("strict")))).alias("k"))
     literal = F.size(F.filter("t_words", lambda x: ~x.startswith("\x01")))
-    return cut.filter(literal >= F.least(F.lit(2), F.size("t_words")))
+    return (both.select("item_id", "t_pos", "n_item", "t_plain", "k.*").withColumn("gram", F.xxhash64(_hashes(F.col("t_words"))))
+            .filter(literal >= F.least(F.lit(2), F.size("t_words"))))
 
 
 def _occurrences(pieces: DataFrame, w: int, min_cover: float) -> DataFrame:
@@ -74,7 +84,7 @@ def _occurrences(pieces: DataFrame, w: int, min_cover: float) -> DataFrame:
     they add windows and agree with the slots so far, the nearest diagonals first or the largest pieces first.
     """
     width = F.least(F.lit(w), F.col("n_item"))
-    item = Window.partitionBy("row", "item_id", "n_item")
+    item = Window.partitionBy("row", "item_id", "n_item", "loose")
     # Ranges are whole numbers: places count in 1/1024 of the item's length with its slack.
     stretch = item.orderBy(F.floor(F.col("low").cast("long") * 1024 / (F.col("n_item") + SLACK))).rangeBetween(0, STRETCH * 1024)
     piece = F.struct("diagonal", "at", "pairs", "low", "high")
@@ -99,9 +109,8 @@ def _occurrences(pieces: DataFrame, w: int, min_cover: float) -> DataFrame:
 
 
 def agree(pairs: Column) -> Column:
-    """Whether the slots' values agree: equal ones of the item have equal ones in the document and different ones different ones."""
-    values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
-    return (values("t") == F.size(pairs)) & (values("d") == F.size(pairs))
+    """Whether the slots' values agree: equal ones of the item, of one type, have equal ones in the document. Different ones may meet."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["t"])))) == F.size(pairs)
 
 
 def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover: float = COVER) -> DataFrame:
@@ -110,25 +119,29 @@ def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover:
     table = bit_table(windows, "gram", BITS)
     # Of at most w values. Documents give windows of no other lengths.
     lengths = sorted(r[0] for r in windows.select(F.size("t_words")).distinct().collect())
-    template, plain = template_columns(F.col("text"))
 
-    def hits(h):
-        one = lambda n: F.filter(F.transform(h, lambda _, i: F.struct(i.alias("pos"), F.lit(n).alias("width"), _gram(h, i, n).alias("gram"))),
-                                 lambda x: (x["pos"] <= F.size(h) - n) & may_hit(table, x["gram"], BITS))
-        return F.concat(*[one(n) for n in lengths or [w]])
+    def hits(t):
+        def of(strict, loose):
+            gram = lambda h, i, n: F.xxhash64(F.slice(h, i + 1, n))
+            one = lambda n: F.filter(
+                F.transform(strict, lambda _, i: F.struct(i.alias("pos"), gram(strict, i, n).alias("a"), gram(loose, i, n).alias("b"))),
+                lambda x: (x["pos"] <= F.size(strict) - n) & (may_hit(table, x["a"], BITS) | may_hit(table, x["b"], BITS)))
+            own = lambda n: F.transform(one(n), lambda x: F.struct(x["pos"].alias("pos"), F.array_distinct(F.array(x["a"], x["b"])).alias("grams"), F.slice(t["plain"], x["pos"] + 1, n).alias("own")))
+            return F.concat(*[own(n) for n in lengths or [w]])
+        return let(_hashes(t["strict"]), lambda strict: let(_hashes(t["loose"]), lambda loose: of(strict, loose)))
     # The generator keeps the hits from being computed again for the filter and the columns that use them.
-    held = need(docs, "doc_id", "text").select("doc_id", "text", F.explode(F.array(let(_hashes(template), hits))).alias("hits")).filter(F.size("hits") > 0)
-    own = let(plain, lambda p: F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["gram"].alias("gram"), F.slice(p, h["pos"] + 1, h["width"]).alias("own"))))
-    with_words = held.select("doc_id", F.md5("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), own.alias("hits"))
-    flat = with_words.select("doc_id", "text_key", "row", F.explode("hits").alias("h")).select("doc_id", "text_key", "row", "h.*")
+    held = need(docs, "doc_id", "text").select("doc_id", "text", F.explode(F.array(let(templates(F.col("text")), hits))).alias("hits")).filter(F.size("hits") > 0)
+    with_words = held.select("doc_id", F.md5("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), "hits")
+    flat = with_words.select("doc_id", "text_key", "row", F.explode("hits").alias("h")).select("doc_id", "text_key", "row", "h.pos", "h.own", F.explode("h.grams").alias("gram"))
     found = flat.join(windows, "gram")
     slot = lambda i: F.get("t_words", i).startswith("\x01")
     places = F.sequence(F.lit(0), F.size("t_words") - 1)
     same = (F.size("own") == F.size("t_words")) & F.forall(places, lambda i: slot(i) | (F.get("own", i) == F.get("t_words", i)))
-    pairs = F.transform(F.filter(places, slot), lambda i: F.struct(F.get("t_plain", i).alias("t"), F.get("own", i).alias("d")))
-    checked = found.filter(same).select("row", "doc_id", "text_key", "item_id", "n_item", "pos", "t_pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"), pairs.alias("pairs"))
+    pairs = F.transform(F.filter(places, slot), lambda i: F.struct(F.get("t_words", i).alias("kind"), F.get("t_plain", i).alias("t"), F.get("own", i).alias("d")))
+    # Judged twice: by the strict windows, and by all of them.
+    checked = found.filter(same).select("row", "doc_id", "text_key", "item_id", "n_item", F.when(F.col("loose"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True))).alias("ways"), "pos", "t_pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"), pairs.alias("pairs")).withColumn("loose", F.explode("ways"))
     # At most one window per item position on a diagonal, so the lists are as long as an item at most.
-    pieces = checked.groupBy("row", "doc_id", "text_key", "item_id", "n_item", "diagonal").agg(
+    pieces = checked.groupBy("row", "doc_id", "text_key", "item_id", "n_item", "loose", "diagonal").agg(
         F.collect_set("t_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     best = _occurrences(pieces, w, min_cover).groupBy("row", "doc_id", "text_key", "item_id", "n_item").agg(
         F.max(F.struct("cover", (-F.col("first_word")).alias("early"), (-F.col("last_word")).alias("short"), "slots")).alias("o"))

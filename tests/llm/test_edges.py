@@ -110,6 +110,22 @@ def test_every_occurrence_of_an_item(spark):
     assert found[1, 1].cover == found[3, 1].cover == 1 and (found[4, 1].first_word, found[4, 1].last_word) == (23, 45) and (found[8, 2].first_word, found[8, 2].last_word) == (2, 4)
 
 
+def test_changed_names_and_numbers(spark):
+    """Against brute force over the slots of a pattern: other names, also at sentence starts, and numbers that may coincide."""
+    pattern = "{a} has {x} apples. {a} buys {y} more apples. {b} gives {z} away. How many apples does {a} have?"
+    values = {"a": "Tom", "b": "Mary", "x": 3, "y": 5, "z": 3}
+    texts, want = {}, set()
+    for i, (a, a2, b, x, y, z) in enumerate([("Tom", "Tom", "Mary", 3, 5, 3), ("Sam", "Sam", "Eve", 4, 4, 4), ("Sam", "Sam", "Sam", 4, 7, 4), ("Sam", "Sam", "Eve", 4, 7, 9),
+                                             ("Sam", "Bob", "Eve", 4, 7, 4), ("Mary", "Mary", "Tom", 12, 11, 12)]):
+        texts[i] = "So it goes. " + pattern.replace("{a} buys", "{a2} buys").format(a=a, a2=a2, b=b, x=x, y=y, z=z) + " Well."
+        if a == a2 and x == z:
+            want.add(i)
+    texts[9] = pattern.format(**values).lower().replace("mary", "Mary").replace("tom", "Tom")
+    items = spark.createDataFrame([(1, pattern.format(**values))], "item_id long, text string")
+    found = decontaminate.contamination(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), items)
+    assert {r.doc_id for r in found.collect()} == want | {9}
+
+
 def test_license(docs, none, spark):
     rows = license.scan(docs).collect()
     assert len(rows) == len(ROWS) and all(r.n_base == 0 and r.first_word is None and r.labels == "" and r.score == 0 for r in rows)
