@@ -1,7 +1,8 @@
 """Secret scan: candidate words of a text, sorted into secrets and false positives by a random forest.
 
-Candidates are words of at least 12 characters that hold a digit or a change of case, or follow a key and an equals sign or
-colon. Features: length, character transitions and shares, dictionary coverage (the most frequent words of the whole
+Candidates are values of at least 12 characters that hold a digit or a change of case, and values of any length that follow a key
+and an equals sign or colon. Words are split at quotes, commas, equals signs and colons; URLs and words with signs inside
+are candidates as a whole too, so a word may give several. Features: length, character transitions and shares, dictionary coverage (the most frequent words of the whole
 corpus), the path of the document, and the words before and after. The forest is trained on labelled findings: by default
 a bounded draw of the corpus's own candidates, labelled by strict formats (``label_by_format``); the forest itself never sees
 a format, prefix or value, so it judges findings of any format. Everything runs as DataFrame operations and the library's
@@ -30,30 +31,69 @@ DICTIONARY = 400
 TREES, DEPTH, SEED = 40, 8, 7
 THRESHOLD = 0.5
 KEYS = r"(?i)pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|credential|bearer"
+#: Words are split at these; a URL stays whole besides its pieces, and so does the padding of base64.
+SPLIT = "[,=:\"'`]"
+URL = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s\"'`,]+"
+PIECE = "[\"'`]?[A-Za-z0-9+/_\\-]{16,}={1,2}(?=$|[\"'`,;])|[=:]>?|[\"'`]?[^\"'`,=:]+"
+SIGN = "^[=:]>?$"
+KEY_END = r"(^|[{(\[<?&;/.])[A-Za-z_][A-Za-z0-9_.\-]*$"
+JOINED = "^[\"'`{(\\[]*([A-Za-z_][A-Za-z0-9_.\\-]*)[=:]+>?(.+)$"
+EDGES = r"^[\"'`(\[{<]+|[\"'`,;.)\]}>]+$"
 FAKES = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|test"
 TRANSITIONS = r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[^a-z0-9])|(?<=[A-Z])(?=[^A-Z0-9])"
 FEATURES = ["length", "transitions", "digits", "upper", "lower", "other", "distinct", "vowels", "coverage", "depth", "path_test", "path_config",
             "key", "fake", "assigned", "quoted", "next_key", "next_fake"]
 
 
+def _tokens(w: Column) -> Column:
+    """(word_no, s, quoted) of all words: URLs as a whole, then the pieces between quotes, commas and signs, and each sign."""
+    def of(x, i):
+        parts = F.when(x.rlike(SPLIT), F.concat(F.regexp_extract_all(x, F.lit(URL), 0), F.regexp_extract_all(x, F.lit(PIECE), 0))).otherwise(F.array(x))
+        return F.transform(parts, lambda s: F.struct(i.alias("word_no"), F.regexp_replace(s, "^[\"'`]+", "").alias("s"), s.rlike("^[\"'`]").alias("quoted")))
+    return F.filter(F.flatten(F.transform(w, of)), lambda t: t["s"] != "")
+
+
+def _likely(x: Column) -> Column:
+    return (F.char_length(x) >= MIN_LENGTH) & x.rlike("[0-9]|[a-z][A-Z]")
+
+
+def _pieces(t: Column) -> Column:
+    """Candidates among the tokens: likely ones, and what follows a key and a sign."""
+    at = lambda i, k: F.when(i >= k, F.get(t, F.greatest(i - k, F.lit(0)))["s"])
+    sign = lambda c: F.coalesce(c.rlike(SIGN), F.lit(False))
+    # Up to two signs, as in := and ==.
+    key = lambda i: F.when(sign(at(i, 1)), F.when(sign(at(i, 2)), at(i, 3)).otherwise(at(i, 2)))
+    follows = lambda i: F.coalesce(key(i).rlike(KEY_END), F.lit(False))
+    marked = F.filter(F.transform(t, lambda x, i: F.when(~sign(x["s"]) & ~x["s"].startswith("//") & (_likely(x["s"]) | follows(i)), i)), lambda i: i.isNotNull())
+    return F.transform(marked, lambda i: F.struct(
+        F.get(t, i)["word_no"].alias("word_no"), F.get(t, i)["s"].alias("inside"), F.get(t, i)["quoted"].alias("quoted"), follows(i).alias("assigned"),
+        F.concat_ws(" ", key(i), at(i, 1)).alias("before"), F.get(t, i + 1)["s"].alias("after")))
+
+
+def _whole(w: Column) -> Column:
+    """Candidates among the words as they stand, without the key in front of a sign: values may hold signs and commas themselves."""
+    p = lambda i, k: F.when(i >= k, F.get(w, F.greatest(i - k, F.lit(0))))
+    joined = lambda x: F.regexp_extract(x, JOINED, 1)
+    sign = lambda c: F.coalesce(c.rlike(SIGN), F.lit(False))
+    after_sign = lambda i: F.coalesce(p(i, 1).rlike("[=:]>?$") & (~sign(p(i, 1)) | p(i, 2).rlike("[A-Za-z0-9_][\"'`]*$")), F.lit(False))
+    inside = lambda x: F.when(joined(x) != "", F.regexp_extract(x, JOINED, 2)).otherwise(x)
+    # Others are pieces or URLs already; what holds a quote inside is several values.
+    several = lambda v: v.rlike("[^,=:][,=:]+[^,=:]") & ~v.rlike("[\"'`]") & ~v.startswith("//") & ~v.rlike(f"^{URL}$")
+    wanted = lambda x, i: x.rlike("[,=:]") & (_likely(x) | (joined(x) != "") | after_sign(i)) & several(F.regexp_replace(inside(x), EDGES, ""))
+    marked = F.filter(F.transform(w, lambda x, i: F.when(wanted(x, i), i)), lambda i: i.isNotNull())
+    one = lambda i, x: F.struct(i.alias("word_no"), inside(x).alias("inside"), inside(x).rlike("^[\"'`]").alias("quoted"),
+                                ((joined(x) != "") | after_sign(i)).alias("assigned"), F.concat_ws(" ", joined(x), F.when(sign(p(i, 1)), p(i, 2)), p(i, 1)).alias("before"), F.get(w, i + 1).alias("after"))
+    return F.transform(marked, lambda i: one(i, F.get(w, i)))
+
+
 def candidates(docs: DataFrame, path: Column) -> DataFrame:
-    """doc_id, path, word_no, key, value, before, after, assigned, quoted: one row per candidate word."""
-    def found(w):
-        likely = lambda x: (F.char_length(x) >= MIN_LENGTH) & x.rlike("[0-9]|[a-z][A-Z]")
-        marked = F.filter(F.transform(w, lambda x, i: F.when(likely(x), i)), lambda i: i.isNotNull())
-        return F.transform(marked, lambda i: F.struct(
-            i.alias("word_no"), F.get(w, i).alias("word"), F.when(i > 0, F.get(w, F.greatest(i - 1, F.lit(0)))).alias("p1"),
-            F.when(i > 1, F.get(w, F.greatest(i - 2, F.lit(0)))).alias("p2"), F.get(w, i + 1).alias("after")))
-    rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), F.explode(let(words(F.col("text")), found)).alias("c"))
-    joined = F.regexp_extract("c.word", r"^([A-Za-z_.\-]+)[=:](.+)$", 1)
-    inside = F.when(joined != "", F.regexp_extract("c.word", r"^([A-Za-z_.\-]+)[=:](.+)$", 2)).otherwise(F.col("c.word"))
-    sign = F.coalesce(F.col("c.p1").isin("=", ":"), F.lit(False))
-    value = F.regexp_replace(inside, r"^[^A-Za-z0-9+/_\-]+|[^A-Za-z0-9+/=_\-]+$", "")
-    return rows.select(
-        "doc_id", "path", F.col("c.word_no").alias("word_no"), value.alias("value"), (inside.rlike("^[\"']")).alias("quoted"),
-        (sign | (joined != "") | F.coalesce(F.col("c.p1").rlike("[=:]$"), F.lit(False))).alias("assigned"),
-        F.concat_ws(" ", joined, F.when(sign, F.col("c.p2")), "c.p1").alias("before"), F.coalesce("c.after", F.lit("")).alias("after"),
-    ).filter(F.char_length("value") >= MIN_LENGTH)
+    """doc_id, path, word_no, value, before, after, assigned, quoted: one row per candidate value of a word."""
+    rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), F.explode(let(words(F.col("text")), lambda w: F.concat(_whole(w), let(_tokens(w), _pieces)))).alias("c"))
+    # A value after a sign keeps all marks that passwords have.
+    value = F.when(F.col("c.assigned"), F.regexp_replace("c.inside", EDGES, "")).otherwise(F.regexp_replace("c.inside", r"^[^A-Za-z0-9+/_\-]+|[^A-Za-z0-9+/=_\-]+$", ""))
+    found = rows.select("doc_id", "path", F.col("c.word_no").alias("word_no"), value.alias("value"), F.col("c.quoted").alias("quoted"), F.col("c.assigned").alias("assigned"),
+                        F.col("c.before").alias("before"), F.coalesce("c.after", F.lit("")).alias("after"))
+    return found.filter((F.char_length("value") >= MIN_LENGTH) | (F.col("assigned") & (F.col("value") != "")))
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
