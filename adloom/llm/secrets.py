@@ -25,7 +25,7 @@ from adloom.llm.common import words
 from adloom.session import shared_dir, staged
 
 MIN_LENGTH = 12
-#: So many findings at most are used for training; candidates and scores have no limit.
+#: So many findings of each class at most are used for training; candidates and scores have no limit.
 MAX_FINDINGS = 20_000
 DICTIONARY = 400
 TREES, DEPTH, SEED = 40, 8, 7
@@ -133,9 +133,10 @@ def label_by_format(found: DataFrame) -> DataFrame:
 
 
 def drawn(labelled: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
-    """At most ``most`` labelled findings of different values, drawn by a hash of the value."""
-    one = labelled.groupBy("value").agg(F.max_by(F.struct("path", "before", "after", "assigned", "quoted", "is_secret"), F.xxhash64("before", "after")).alias("f"))
-    return one.select("value", "f.*").orderBy(F.xxhash64("value"), "value").limit(most)
+    """At most ``most`` labelled findings of different values of each class, drawn by a hash of the value: a rare class is never crowded out."""
+    one = labelled.groupBy("value", "is_secret").agg(F.max_by(F.struct("path", "before", "after", "assigned", "quoted"), F.xxhash64("before", "after")).alias("f"))
+    part = lambda k: one.filter(F.col("is_secret") == k).select("value", "f.*", "is_secret").orderBy(F.xxhash64("value"), "value").limit(most)
+    return part(1).unionByName(part(0))
 
 
 def train(labelled: DataFrame, known_words: list[str]):

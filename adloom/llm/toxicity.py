@@ -10,7 +10,7 @@ How many windows gain at least 1, 3, 5, 7 bytes is turned into a probability by
 labelled texts against dictionaries that have not seen them (two halves, crosswise); 0.3 is the threshold of ``predicted``.
 
 Labels only come from training rows; language, source and id are never inputs. At most ``max_toxic`` and ``max_ordinary``
-labelled texts, drawn by a hash of the text, are used for fitting; all texts are scored in full.
+different labelled texts, drawn by a hash of the text, are used in full for fitting; all texts are scored in full.
 
 Defined results: null and empty texts have no window and get the score of a text without any gain. Repeated rows get equal
 scores. Without labelled rows of both classes nothing can be learned and every score is 0. Other columns are not read.
@@ -39,8 +39,6 @@ GAINS = (1, 3, 4, 5, 6, 7)
 THRESHOLD = 0.3
 MAX_TOXIC = 3000
 MAX_ORDINARY = 4000
-#: Of a training text, so much is read for fitting; scoring reads all of it.
-FIT_BYTES = 1 << 16
 OUT = "doc_id long, held_out boolean, score double, predicted int, windows long, gain long"
 
 
@@ -136,7 +134,7 @@ def fit(rows: pd.DataFrame) -> dict:
     """Dictionaries of all (text, toxic) rows; the weights come from each half's dictionaries on the other half."""
     texts = {1: [], 0: []}
     for text, toxic in zip(rows["text"], rows["toxic"]):
-        texts[int(toxic)].append((text or "")[:FIT_BYTES])
+        texts[int(toxic)].append(text or "")
     if not texts[1] or not texts[0]:
         return {}
     half = lambda side: {k: v[side::2] or v for k, v in texts.items()}
@@ -162,14 +160,16 @@ def dictionaries(texts: dict[int, list[str]]) -> tuple[bytes, bytes]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> pd.DataFrame:
-    """The labelled texts of the fit, in hash order. Rows whose crc32(id) mod 4 is 2 are held out."""
+    """The labelled texts of the fit, in hash order: whole texts, each once. Rows whose crc32(id) mod 4 is 2 are held out."""
     known = need(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = need(docs, "doc_id", "text").filter("text IS NOT NULL").join(known, "doc_id").withColumn("at", F.xxhash64("text"))
+    texts = need(docs, "doc_id", "text").filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("at"), F.md5("text").alias("key"))
+    rows = texts.select("doc_id", "at", "key").join(known, "doc_id").select("toxic", "at", "key").distinct()
     drawn = None
     for toxic, bound in ((1, max_toxic), (0, max_ordinary)):
-        part = rows.filter(F.col("toxic") == toxic).select(F.substring("text", 1, FIT_BYTES).alias("text"), "toxic", "at").orderBy("at", "text").limit(bound)
+        part = rows.filter(F.col("toxic") == toxic).orderBy("at", "key").limit(bound)
         drawn = part if drawn is None else drawn.unionByName(part)
-    return drawn.toPandas().sort_values(["toxic", "at", "text"], ignore_index=True)
+    found = texts.select("at", "key", "text").join(F.broadcast(drawn.select("toxic", "key")), "key")  # at most both bounds
+    return found.groupBy("toxic", "at", "key").agg(F.first("text").alias("text")).select("text", "toxic", "at").toPandas().sort_values(["toxic", "at", "text"], ignore_index=True)
 
 
 def held_out(column: str = "doc_id"):

@@ -161,6 +161,21 @@ def test_secret_candidates(spark):
     assert not {v for v, _ in got} & {"plainlowercasewordonly", "end", "then", "token", "key", "password"} and not any('"' in v for v, _ in got)
 
 
+def test_draws_keep_both_classes(spark):
+    found = spark.createDataFrame([(f"harmless{i}", "", "", "", False, False, 0) for i in range(200)] + [("key0", "", "", "", True, False, 1), ("harmless3", "", "", "", True, False, 1)],
+                                  "value string, path string, before string, after string, assigned boolean, quoted boolean, is_secret int")
+    assert sorted(r.is_secret for r in secrets.drawn(found, 5).collect()) == [0] * 5 + [1] * 2
+
+
+def test_training_texts_are_whole_and_distinct(spark):
+    long = "calm word " * 10_000 + "vile"
+    texts = ["hot copy"] * 300 + ["cold one", "cold two", long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = toxicity.training_rows(docs, docs.select("doc_id", F.lit(1).alias("toxic")).unionByName(spark.createDataFrame([(999, 0)], "doc_id long, toxic int")), 4, 4)
+    kept = {texts[r.doc_id] for r in docs.filter(~toxicity.held_out()).select("doc_id").collect()}
+    assert sorted(rows["text"]) == sorted(kept) and {"hot copy", long} <= kept
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 40
     rows = [(3, "http://a/", big), (1, "http://b/", big), (2, None, None), (4, "u", ""), (None, "n", big), (1, "http://b/", big), (9, "long", "x" * 2_000_000),
