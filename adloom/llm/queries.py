@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from adloom.llm import decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, secrets, toxicity, warc
+from adloom.llm import (conversations, decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, secrets, spelling, toxicity,
+                        warc)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,3 +138,91 @@ def op9_line_dedup(spark, sf):
 @query("op2_secrets")
 def op2_secrets(spark, sf):
     return secrets.scan(table(spark, sf, "documents"))
+
+
+#: DuckDB has no crc32: its table by rule, and the checksum of a text column over that table (``tab``).
+CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab)"""
+
+
+def crc32_sql(text: str) -> str:
+    data = f"list_transform(range(1, strlen({text}) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {data}), lambda a, b: xor(a >> 8, tab[xor(a, b) % 256 + 1])), 4294967295)"
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({LOWER.format("text")}, '[a-zA-Z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+h AS (SELECT run, {crc32_sql("(id || ':' || run)")} AS h FROM r, {CRC_TABLE} WHERE length(run) >= 7),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(CAST(length(word) AS INT)))::INT AS i FROM v)),
+p AS (SELECT a.word AS one, b.word AS two FROM d a JOIN d b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.cut = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word),
+b AS (SELECT one AS word, count(*) AS n_near, arg_min(struct_pack(w := two, n := v.n), struct_pack(a := -v.n, b := two)) AS best FROM p JOIN v ON p.two = v.word GROUP BY one),
+f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best.n >= 10 * v.n THEN best.w END AS form, CASE WHEN best.n >= 10 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root, 0 AS hops FROM f UNION ALL SELECT c.word, f.form, hops + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, arg_max(root, hops) AS root FROM c GROUP BY word) USING (word)"""
+
+
+@query("op12_spelling", SPELLING_SQL)
+def op12_spelling(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {crc32_sql("key")} % 20 AS h FROM k, {CRC_TABLE}),
+e AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS repeated,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+w AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before,
+    CASE WHEN bare = '' THEN 'blank' WHEN repeated THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+s AS (SELECT conv_id, max(place) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id),
+-- Nodes: 0 nothing, 1 system, 2 user, 3 assistant was written last. The value is the cost nr a fixed width, then the audit.
+edges AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) v(node, next)),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, 0 AS node, '00000000' AS value FROM s
+  UNION ALL
+  SELECT conv_id, any_value(place) AS place, node, min(value) AS value FROM (
+    SELECT i.conv_id, w.place, t.node, lpad(CAST(CAST(left(i.value, 8) AS INT) + t.cost AS VARCHAR), 8, '0') || substr(i.value, 9) || t.letter AS value
+    FROM (
+      SELECT conv_id, place, node, value FROM paths
+      UNION ALL
+      SELECT conv_id, place, next, lpad(CAST(CAST(left(value, 8) AS INT) + 3 AS VARCHAR), 8, '0') || substr(value, 9) || 'I' FROM paths JOIN edges USING (node)) i
+    JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id AND w.place = i.place + 1
+    JOIN edges g ON g.node = i.node,
+    LATERAL (SELECT unnest([
+      {{'node': i.node, 'cost': 4, 'letter': 'D', 'able': true}},
+      {{'node': 1, 'cost': CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'letter': 'K', 'able': fault IN ('', 'truncated') AND i.node = 0 AND initial = 's'}},
+      {{'node': g.next, 'cost': CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN initial = substr('ua', g.next - 1, 1) THEN 0 ELSE 3 END,
+        'letter': CASE WHEN initial = substr('ua', g.next - 1, 1) THEN 'K' ELSE 'R' END, 'able': fault IN ('', 'truncated')}}], recursive := true)) t
+    WHERE t.able) GROUP BY conv_id, node),
+last AS (SELECT s.conv_id, min(CASE WHEN node IN (0, 3) THEN value WHEN node = 2 THEN lpad(CAST(CAST(left(value, 8) AS INT) + 3 AS VARCHAR), 8, '0') || substr(value, 9) || 'I' END) AS value
+  FROM paths JOIN s ON s.conv_id IS NOT DISTINCT FROM paths.conv_id AND s.n = paths.place GROUP BY s.conv_id),
+a AS (SELECT conv_id, substr(value, 9) AS audit, CAST(left(value, 8) AS BIGINT) AS cost FROM last),
+l AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS nr, audit FROM a),
+m AS (SELECT conv_id, nr, audit[nr] AS letter, sum(CASE WHEN audit[nr] <> 'I' THEN 1 ELSE 0 END) OVER o AS place, sum(CASE WHEN audit[nr] <> 'D' THEN 1 ELSE 0 END) OVER o AS written
+  FROM l WINDOW o AS (PARTITION BY conv_id ORDER BY nr)),
+q AS (SELECT m.conv_id, m.nr, m.letter, m.written, CASE WHEN m.letter = 'I' THEN '' ELSE w.role END AS role, CASE WHEN m.letter = 'I' THEN '' ELSE w.text END AS text
+  FROM m LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND w.place = m.place WHERE m.letter <> 'D'),
+z AS (SELECT conv_id, max(CASE WHEN written = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) AS system FROM q GROUP BY conv_id),
+t AS (SELECT q.conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (written - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY nr)) AS sha
+  FROM q JOIN z ON q.conv_id IS NOT DISTINCT FROM z.conv_id GROUP BY q.conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op13_conversations", REPAIR_SQL)
+def op13_conversations(spark, sf):
+    return conversations.damage_report(table(spark, sf, "conversations"))
