@@ -37,8 +37,8 @@ LOSES = 31
 TILE = 2048
 #: Rows of a dense block; single rows for words beyond LONG code points.
 BLOCK, LONG = 32, 256
-#: Cells that are compared at a time.
-CELLS = 1 << 22
+#: Pairs that are compared at a time.
+CELLS = 1 << 18
 #: Rows that a task compares at a time.
 ROWS = 1 << 17
 NEAR = "word string, n_near long, less long, form string"
@@ -86,14 +86,19 @@ def padded(encoded: list[bytes], width: int, right: bool) -> np.ndarray:
 
 
 def _pairs(group: np.ndarray, block: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, half: int, side: int, crossed: np.ndarray):
-    """Index pairs (i < j) of near words in the same group. All rows are keyed under one longer length, the width of the matrices."""
+    """Index pairs (i < j) of near words in the same group. All rows are keyed under one longer length, the width of the matrices.
+
+    Words of a group have the key in common, so the columns of the key count without being looked at.
+    """
     n, width = head.shape
     rows = BLOCK if width <= LONG else 1
     fill = -n % rows
     blocks = (n + fill) // rows
     lay = lambda x, empty: np.concatenate([x, np.full((fill, *x.shape[1:]), empty, x.dtype)]).reshape(blocks, rows, *x.shape[1:])
-    g, b, h, t, s, c, place = lay(group, -1), lay(block, 0), lay(head, 0), lay(tail, 0), lay(size, 0), lay(crossed, False), lay(np.arange(n), -1)
-    step = max(CELLS // (rows * rows * width), 1)
+    g, b, h, t, full, c = lay(group.astype(np.int32), -1), lay(block, 0), lay(head, 0), lay(tail, 0), lay(size == width, False), lay(crossed, False)
+    step = max(CELLS // (rows * rows), 1)
+    one, two = (lambda v: v[:, :, None]), (lambda v: v[:, None, :])
+    ordered = np.triu(np.ones((rows, rows), bool), 1)
     for apart in range(blocks):
         # Blocks that lie ``apart`` share a group if the last row of the first is in the group of the first row of the second.
         first = np.arange(blocks - apart)
@@ -103,20 +108,28 @@ def _pairs(group: np.ndarray, block: np.ndarray, head: np.ndarray, tail: np.ndar
             break
         for at in range(0, len(first), step):
             x, y = first[at: at + step], first[at: at + step] + apart
-            same = (g[x][:, :, None] == g[y][:, None, :]) & (g[x][:, :, None] >= 0) & (place[x][:, :, None] < place[y][:, None, :])
-            same &= ~c[x][:, :, None] | (b[x][:, :, None] != b[y][:, None, :])
-            longest = np.maximum(s[x][:, :, None], s[y][:, None, :])
-            same &= longest == width  # a pair belongs to its longer length
-            ahead = (h[x][:, :, None, :] != h[y][:, None, :, :])
-            prefix = np.where(ahead.any(-1), ahead.argmax(-1), width)
-            behind = (t[x][:, :, None, ::-1] != t[y][:, None, :, ::-1])
-            suffix = np.where(behind.any(-1), behind.argmax(-1), width)
-            near = same & (prefix + suffix >= longest - 1)
+            same = (one(g[x]) == two(g[y])) & (one(full[x]) | two(full[y]))  # a pair belongs to its longer length
+            same &= one(g[x] >= 0)
+            if not apart:
+                same &= ordered
+            if c[x].any():
+                same &= ~one(c[x]) | (one(b[x]) != two(b[y]))
+            common = np.zeros(same.shape, np.uint8 if width < 255 else np.int32)
+            alive = same.copy()
+            for k in range(half if not side else 0, width if not side else half):
+                alive &= one(h[x, :, k]) == two(h[y, :, k])
+                common += alive
             if side:
-                near &= prefix < half  # a longer common prefix: the pair is counted under that
+                same &= ~alive  # the whole prefix is common: the pair is counted under that
+            alive = same.copy()
+            for k in range(1, width - half + 1) if not side else range(width - half + 1, width + 1):
+                alive &= one(t[x, :, width - k]) == two(t[y, :, width - k])
+                common += alive
+            longest = width - (half if not side else width - half) - 1
+            near = same & (common >= longest)
             k, i, j = np.nonzero(near)
             if len(k):
-                yield place[x][k, i], place[y][k, j]
+                yield x[k] * rows + i, y[k] * rows + j
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +150,7 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
             continue
         one, two = (np.concatenate(x) for x in zip(*found))
         me, other = np.r_[one, two], np.r_[two, one]
-        counts, names = part["n"].to_numpy(), part["word"].to_numpy()
+        counts, names = part["n"].to_numpy(), part["word"].to_numpy(object)
         links = np.bincount(me, minlength=len(part))
         # The most frequent near word first; code-point order is that of Latin-1 bytes.
         rank = np.empty(len(part), np.int64)
@@ -147,8 +160,10 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(rank)
         have = np.flatnonzero(links)
         top = order[best[have]]
-        out.append(pd.DataFrame({"word": names[have], "n_near": links[have], "less": -counts[top], "form": names[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"word": [], "n_near": [], "less": [], "form": []})
+        out.append((names[have], links[have], -counts[top], names[top]))
+    joined = lambda k, kind: np.concatenate([x[k] for x in out] or [np.empty(0)]).astype(kind)
+    text = lambda k: pd.Series(joined(k, object), dtype=object)
+    return pd.DataFrame({"word": text(0), "n_near": joined(1, np.int64), "less": joined(2, np.int64), "form": text(3)})
 
 
 def _compared(batches):
