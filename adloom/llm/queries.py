@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from adloom.llm import (conversations, decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, secrets, spelling, toxicity,
-                        warc)
+from adloom.llm import (conversations, decontaminate, exact_dedup, license, line_dedup, minhash, mixing, quality, secrets, spelling, suffixes,
+                        toxicity, warc)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -226,3 +226,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS
 @query("op13_conversations", REPAIR_SQL)
 def op13_conversations(spark, sf):
     return conversations.damage_report(table(spark, sf, "conversations"))
+
+
+REPEATS_SQL = """
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT row, doc_id, s, substr(x, 2 * s + 1, 100) AS g FROM (SELECT *, unnest(range(greatest(length(x) // 2 - 49, 0))) AS s FROM t WHERE doc_id IS NOT NULL)),
+m AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT row, s, max(s + 50) OVER (PARTITION BY row ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g JOIN m USING (g) WHERE doc_id > low),
+i AS (SELECT row, s, sum(CASE WHEN reach >= s THEN 0 ELSE 1 END) OVER (PARTITION BY row ORDER BY s) AS span FROM c),
+b AS (SELECT row, min(s) AS low, max(s) + 50 AS high FROM i GROUP BY row, span),
+k AS (SELECT row, coalesce(lag(high) OVER (PARTITION BY row ORDER BY low), 0) AS low, low AS high FROM b
+  UNION ALL SELECT t.row, coalesce(max(high), 0), any_value(length(x) // 2) FROM t LEFT JOIN b USING (row) GROUP BY t.row),
+r AS (SELECT row, string_agg(substr(x, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS kept FROM k JOIN t USING (row) GROUP BY row),
+n AS (SELECT row, sum(high - low) AS n_removed, count(*) AS n_spans FROM b GROUP BY row)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(kept)) AS kept_sha256 FROM t JOIN r USING (row) LEFT JOIN n USING (row)"""
+
+
+@query("op11_suffix_array", REPEATS_SQL)
+def op11_suffix_array(spark, sf):
+    return suffixes.digests(table(spark, sf, "documents"))
