@@ -17,7 +17,7 @@ transforms of its shards:
 
 A key of more than ``HEAVY`` pieces (the end of a passage that very many documents go on from differently) is dealt out by its single
 windows instead, whose smallest documents are found by grouping. Long texts are cut into overlapping stretches. Pieces are
-compared by 128 bits of hashes of their bytes, everything after that by the bytes.
+compared by 96 bits of hashes of their bytes, everything after that by the bytes.
 
 Defined results: null texts are empty; texts shorter than ``match`` have no window. Rows of null ids neither lose bytes nor make others lose
 any. Rows of equal ids are copies of one document and take nothing from each other. An empty table gives an empty
@@ -37,7 +37,7 @@ from adloom.llm.minhash import M1, SEED, mixed
 from adloom.session import shared_dir, staged
 
 MATCH = 50
-GRAM = 16
+GRAM = 12
 #: Bytes of text that are hashed at a time; longer texts are cut into stretches of as many windows.
 STRETCH = 1 << 21
 #: Rows that a task groups at a time, bytes whose transforms it merges at a time, pieces of a key that are merged.
@@ -45,10 +45,12 @@ ROWS, MERGED, HEAVY = 1 << 17, 1 << 20, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * SEED) | np.uint64(1)
 
-PIECE = pa.schema([("h", pa.int64()), ("x", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("lead", pa.int32())])
-FOUND = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("alone", pa.bool_())])
-PART = pa.schema([("g", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
-SPAN = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+#: Rows are narrow, since there is one for about every 20 bytes of text. ``at`` packs where a piece is: its first window, then 7 bits each for
+#: the number of windows and the anchor's distance. Runs of repeated windows have no anchor: ``x`` is their length, ``at`` is negative.
+PIECE = pa.schema([("h", pa.int32()), ("x", pa.int64()), ("at", pa.int64()), ("d", pa.int64()), ("t", pa.int32())])
+FOUND = pa.schema([("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("alone", pa.bool_())])
+PART = pa.schema([("g", pa.int64()), ("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+SPAN = pa.schema([("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32())])
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,last:long>>, kept binary"
 
 
@@ -101,7 +103,7 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
 def pieces(data: np.ndarray, begin: np.ndarray, end: np.ndarray, match: int):
     """h, x, owner, start, n, anchor of the pieces of all texts data[begin:end], which follow each other. Starts count from the begin of ``data``.
 
-    ``h`` is the anchor's hash. ``x`` has 16 bits each for the half of the window before and behind the anchor (0: the piece has no such
+    ``h`` has 32 bits of the anchor's hash. ``x`` has 16 bits each for the half of the window before and behind the anchor (0: the piece has no such
     windows), then 32 bits of all its bytes.
     """
     empty = tuple(np.empty(0, np.int64) for _ in range(6))
@@ -128,7 +130,7 @@ def pieces(data: np.ndarray, begin: np.ndarray, end: np.ndarray, match: int):
     short = lambda v, have: np.where(have, (v >> np.uint64(48)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     whole = mixed(hashes.of(start, n + match - 1) + n.astype(np.uint64) * SEED) >> np.uint64(32)
     x = (short(left, before) << np.uint64(48)) | (short(right, behind) << np.uint64(32)) | whole
-    return h.view(np.int64), x.view(np.int64), owner, start, n, anchor
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32), x.view(np.int64), owner, start, n, anchor
 
 
 def _merged_runs(owner, start, n):
@@ -145,19 +147,21 @@ def _merged_runs(owner, start, n):
 def _cut_up(match: int):
     """Pieces of whole texts: those that a smaller document in the same stretch repeats come as spans (n < 0)."""
     def stretch(data, begin, end, d, t, base):
-        h, x, owner, start, n, anchor = pieces(data, begin, end, match)
+        found = pieces(data, begin, end, match)
+        order = np.lexsort((d[found[2]], found[1], found[0]))
+        h, x, owner, start, n, anchor = (v[order] for v in found)
         ids = d[owner]
-        order = np.lexsort((ids, x, h))
-        h, x, owner, start, n, anchor, ids = (v[order] for v in (h, x, owner, start, n, anchor, ids))
         fresh = np.r_[np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
         low = ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(h) else ids
         again = ids > low
-        keep = ~again
+        keep = np.sort(order[~again])  # in the order of the texts, where neighbouring rows resemble each other
         # Places are counted from the begin of the text.
         place = lambda o, s: s - begin[o] + base[o]
-        yield _batch(PIECE, h[keep], x[keep], ids[keep], t[owner[keep]], place(owner[keep], start[keep]), n[keep].astype(np.int32), (anchor - start)[keep].astype(np.int32))
         o, s, k = _merged_runs(owner[again], start[again], n[again])
-        yield _batch(PIECE, t[o], np.zeros(len(o), np.int64), d[o], t[o], place(o, s), (-k).astype(np.int32), np.zeros(len(o), np.int32))
+        h, x, owner, start, n, anchor = found
+        at = (place(owner, start) << 14) | (n << 7) | (anchor - start)
+        yield _batch(PIECE, h[keep], x[keep], at[keep], d[owner[keep]], t[owner[keep]])
+        yield _batch(PIECE, t[o], k, -1 - place(o, s), d[o], t[o])
 
     def run(batches):
         np.seterr(over="ignore")  # hashing is arithmetic modulo 2 ** 64
@@ -186,7 +190,8 @@ def _groups():
     """Over rows sorted by h, x, d: spans of pieces that a smaller document repeats, and single copies of pieces that may share windows with others."""
     def decide(rows, run, wide):
         """rows: columns of whole groups, or of a part of a wide group. run: (h, x, low) of the run that the rows may go on with."""
-        h, x, d, t, start, n, lead = rows
+        h, x, at, d, t = rows
+        start, n, lead = at >> 14, ((at >> 7) & 127).astype(np.int32), (at & 127).astype(np.int32)
         fresh = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
         first = np.flatnonzero(fresh)
         lows = d[first].copy()
@@ -219,11 +224,11 @@ def _groups():
         held, size, run, wide = [], 0, None, None
         for batch in batches:
             rows = tuple(_column(batch, f.name) for f in PIECE)
-            spans = rows[5] < 0
-            if spans.any():
-                s = take(rows, spans)
-                yield _batch(FOUND, s[2], s[3], s[4], -s[5], s[6], np.zeros(len(s[0]), bool))
-                rows = take(rows, ~spans)
+            runs = rows[2] < 0
+            if runs.any():
+                _, k, at, d, t = take(rows, runs)
+                yield _batch(FOUND, d, t, -1 - at, k.astype(np.int32), np.zeros(len(k), np.int32), np.zeros(len(k), bool))
+                rows = take(rows, ~runs)
             held.append(rows)
             size += len(rows[0])
             if size < ROWS:
@@ -266,8 +271,8 @@ def _parts(match: int):
         for batch in batches:
             out = []
             for d, t, text, found in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                for piece in found:
+                data = text.encode("utf-8", "surrogatepass") if found else b""
+                for piece in found or []:
                     start, n, anchor = piece["start"], piece["n"], piece["start"] + piece["lead"]
                     middle = min(max(anchor - half + 1, start), start + n)  # first window of the second part
                     for side, low, high in ((0, start, middle), (1, middle, start + n)):
@@ -390,11 +395,11 @@ def _merge(match: int):
 
 def _spans(docs: DataFrame, match: int, folder: str, heavy: int) -> DataFrame:
     """d, t, start, n: runs of repeated windows. Documents are (id, hash of the text), so rows of one id with different texts keep apart."""
-    texts = docs.filter("d IS NOT NULL AND text IS NOT NULL")
-    dealt = texts.mapInArrow(_cut_up(match), _ddl(PIECE)).repartition("h").sortWithinPartitions("h", "x", "d")
+    dealt = docs.filter("d IS NOT NULL AND text IS NOT NULL").mapInArrow(_cut_up(match), _ddl(PIECE)).repartition("h").sortWithinPartitions("h", "x", "d")
     found = staged(dealt.mapInArrow(_groups(), _ddl(FOUND)), folder, "found")
-    opened = found.filter("alone").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "lead")).alias("found"))  # of one text
-    parts = staged(texts.join(opened, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_parts(match), _ddl(PART)), folder, "parts")
+    opened = found.filter("alone").repartition("d", "t").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "lead")).alias("found"))  # of one text
+    # The outer join lets the texts be dealt out once for this and for the removal.
+    parts = docs.join(opened, ["d", "t"], "left").select("d", "t", "text", "found").mapInArrow(_parts(match), _ddl(PART))
     large = parts.groupBy("g").count().filter(F.col("count") > heavy).select("g")
     merged = parts.join(large, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(_merge(match), _ddl(SPAN))
     single = parts.join(large, "g").select("d", "t", "start", F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.substring("data", i, F.lit(match)))).alias("at", "w"))
@@ -428,9 +433,9 @@ def _remove(match: int):
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (first byte, byte behind the last), kept (the remaining bytes): one row per document."""
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
+    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("d"), F.hash("text").alias("t"), "text")
     spans = _spans(rows, match, shared_dir(docs.sparkSession, "suffixes"), heavy)
-    found = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("found"))  # of one text
+    found = spans.repartition("d", "t").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("found"))  # of one text
     return rows.join(found, ["d", "t"], "left").select("d", "text", "found").mapInArrow(_remove(match), CUT)
 
 

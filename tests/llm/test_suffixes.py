@@ -74,7 +74,7 @@ def spans_in_process(docs, match=50, stretch=1 << 21, rows=1 << 17, merged=1 <<
     suffixes.STRETCH, suffixes.ROWS, suffixes.MERGED = stretch, rows, merged
     try:
         batches = [pa.RecordBatch.from_pydict({"d": [d for d, _ in docs[i:i + size]], "t": list(range(i, min(i + size, len(docs)))), "text": [t for _, t in docs[i:i + size]]},
-                                              pa.schema([("d", pa.int64()), ("t", pa.int64()), ("text", pa.string())])) for i in range(0, len(docs), size)]
+                                              pa.schema([("d", pa.int64()), ("t", pa.int32()), ("text", pa.string())])) for i in range(0, len(docs), size)]
         chunk = lambda table: table.combine_chunks().to_batches(max_chunksize=size)
         pieces = pa.Table.from_batches(list(suffixes._cut_up(match)(batches)), suffixes.PIECE).sort_by([("h", "ascending"), ("x", "ascending"), ("d", "ascending")])
         got = pa.Table.from_batches(list(suffixes._groups()(chunk(pieces))), suffixes.FOUND).to_pylist()
