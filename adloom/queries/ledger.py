@@ -21,67 +21,75 @@ def action_of(event_type):
     return F.coalesce(F.try_element_at(names, event_type), event_type)
 
 
-def spends(spark, sf, months: int = 1):
-    """Spend events; with months > 1 they are spread over so many months."""
+def spends(spark, sf, months: int = 1, signups: bool = True):
+    """All events as spends; with months > 1 they are spread over so many months. One in 29 comes from nobody with a profile.
+
+    ``signups`` leaves sign-ups in, as an action that nobody knows; with plan changes they are those.
+    """
     ts = c("ts") + F.make_interval(months=F.pmod(c("event_id"), F.lit(months)).cast("int"))
-    events = table(spark, sf, "events").filter(c("event_type") != "signup")
-    return events.select("event_id", ts.alias("ts"), "user_id", action_of(c("event_type")).alias("action"))
+    events = table(spark, sf, "events") if signups else table(spark, sf, "events").filter(c("event_type") != "signup")
+    return events.select("event_id", ts.alias("ts"), user_of().alias("user_id"), action_of(c("event_type")).alias("action"))
+
+
+def user_of():
+    return F.when(c("event_id") % 29 == 0, -c("user_id") - 1).otherwise(c("user_id"))
 
 
 def profiles(spark, sf):
-    """Stored profiles; accounts of one nation have none, some hold a balance of January 2024."""
-    known = account_rows(spark, sf, "c_nationkey").filter(c("c_nationkey") != 7).withColumn("plan_id", accounts.known_plan(c("plan_id")))
+    """Stored profiles of all accounts; half hold a balance of January 2024, some of a month after most of their events."""
+    known = account_rows(spark, sf).withColumn("plan_id", accounts.known_plan(c("plan_id")))
     january = c("user_id") % 2 == 0
+    period = F.when(c("user_id") % 7 == 3, "2024-02").when(january, "2024-01").otherwise("2023-12")
     return known.select(
         "user_id", "plan_id", (accounts.plan_quota(c("plan_id")) - F.when(january, 5).otherwise(0)).alias("credits"),
-        F.when(january, "2024-01").otherwise("2023-12").alias("period"), F.when(c("user_id") % 6 == 0, 1).otherwise(0).alias("campaigns_this_month"))
+        period.alias("period"), F.when(c("user_id") % 6 == 0, 1).otherwise(0).alias("campaigns_this_month"))
 
 
 def plan_changes(spark, sf, months: int = 1):
     ts = c("ts") + F.make_interval(months=F.pmod(c("event_id"), F.lit(months)).cast("int"))
     plan = F.element_at(F.array(F.lit("free"), F.lit("premium"), F.lit("max")), (c("event_id") % 3 + 1).cast("int"))
     return table(spark, sf, "events").filter(c("event_type") == "signup").select(
-        "event_id", ts.alias("ts"), "user_id", plan.alias("plan_id"), (c("event_id") % 2 == 1).alias("keeps_counter"))
+        "event_id", ts.alias("ts"), user_of().alias("user_id"), plan.alias("plan_id"), (c("event_id") % 2 == 1).alias("keeps_counter"))
 
 
 PROFILE_SQL = """
 profiles AS (
   SELECT c_custkey AS user_id, plan_id, CASE plan_id WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END - CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 0 END AS credits,
-    CASE WHEN c_custkey % 2 = 0 THEN '2024-01' ELSE '2023-12' END AS period, CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS campaigns
-  FROM (SELECT c_custkey, CASE WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'premium' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'max' ELSE 'free' END AS plan_id FROM customer WHERE c_nationkey <> 7))"""
+    CASE WHEN c_custkey % 7 = 3 THEN '2024-02' WHEN c_custkey % 2 = 0 THEN '2024-01' ELSE '2023-12' END AS period, CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS campaigns
+  FROM (SELECT c_custkey, CASE WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'premium' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'max' ELSE 'free' END AS plan_id FROM customer))"""
 
 
 def ledger_ctes(months: int, with_changes: bool) -> str:
     """A step-by-step run per account as a recursive query, ending in decisions."""
-    changes = "" if with_changes else "WHERE event_type <> 'signup'"
+    change = "event_type = 'signup'" if with_changes else "FALSE"
     return f"""
 ev AS (
-  SELECT event_id, ts + to_months((event_id % {months})::INTEGER) AS ts, user_id,
+  SELECT event_id, ts + to_months((event_id % {months})::INTEGER) AS ts, CASE WHEN event_id % 29 = 0 THEN -user_id - 1 ELSE user_id END AS user_id,
     CASE event_type WHEN 'purchase' THEN 'campaign' WHEN 'click' THEN 'competitor' WHEN 'view' THEN 'iteration' ELSE event_type END AS action,
     CASE event_type WHEN 'purchase' THEN 10 WHEN 'click' THEN 5 WHEN 'view' THEN 5 END AS cost,
-    CASE WHEN event_type = 'signup' THEN ['free', 'premium', 'max'][event_id % 3 + 1] END AS new_plan, event_id % 2 = 1 AS keeps
-  FROM events {changes}),
+    CASE WHEN {change} THEN ['free', 'premium', 'max'][event_id % 3 + 1] END AS new_plan, event_id % 2 = 1 AS keeps
+  FROM events),
 seq AS (SELECT *, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev),
 {PROFILE_SQL.strip()},
 run AS (
   SELECT p.user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, '' AS reason, p.plan_id, p.credits::INTEGER AS credits, p.period, p.campaigns::INTEGER AS campaigns FROM profiles p
   UNION ALL
   SELECT user_id, n, event_id, reason,
-    coalesce(new_plan, plan_id),
+    CASE WHEN reason = 'change' THEN new_plan ELSE plan_id END,
     CASE WHEN reason = 'change' THEN CASE new_plan WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END
       WHEN reason = '' THEN credits - cost ELSE credits END::INTEGER,
     period,
     CASE WHEN reason = 'change' AND NOT keeps THEN 0 WHEN reason = '' AND action = 'campaign' THEN campaigns + 1 ELSE campaigns END::INTEGER
   FROM (
-    SELECT *, CASE WHEN new_plan IS NOT NULL THEN 'change' WHEN cost IS NULL THEN 'bad_action'
+    SELECT *, CASE WHEN new_plan IS NOT NULL THEN CASE WHEN late THEN 'late_change' ELSE 'change' END WHEN cost IS NULL THEN 'bad_action' WHEN late THEN 'late'
         WHEN action = 'campaign' AND campaigns >= CASE plan_id WHEN 'premium' THEN 10 WHEN 'max' THEN 50 ELSE 1 END THEN 'limit'
         WHEN credits < cost THEN 'credits' ELSE '' END AS reason
     FROM (
-      SELECT s.user_id, s.n, s.event_id, s.action, s.cost, s.new_plan, s.keeps, r.plan_id,
-        CASE WHEN s.cost IS NULL AND s.new_plan IS NULL THEN r.period ELSE s.month END AS period,
-        CASE WHEN (s.cost IS NOT NULL OR s.new_plan IS NOT NULL) AND r.period <> s.month
+      SELECT s.user_id, s.n, s.event_id, s.action, s.cost, s.new_plan, s.keeps, r.plan_id, s.month < r.period AS late,
+        CASE WHEN s.cost IS NULL AND s.new_plan IS NULL THEN r.period ELSE greatest(s.month, r.period) END AS period,
+        CASE WHEN (s.cost IS NOT NULL OR s.new_plan IS NOT NULL) AND r.period < s.month
           THEN CASE r.plan_id WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END ELSE r.credits END AS credits,
-        CASE WHEN (s.cost IS NOT NULL OR s.new_plan IS NOT NULL) AND r.period <> s.month THEN 0 ELSE r.campaigns END AS campaigns
+        CASE WHEN (s.cost IS NOT NULL OR s.new_plan IS NOT NULL) AND r.period < s.month THEN 0 ELSE r.campaigns END AS campaigns
       FROM run r JOIN seq s ON s.user_id = r.user_id AND s.n = r.n + 1))),
 decisions AS (
   SELECT s.event_id, s.ts, s.user_id, s.action, coalesce(r.reason = '', FALSE) AS ok,
@@ -107,15 +115,15 @@ def _(spark, sf):
 
 @query("ledger_with_plan_changes", ledger_sql(3, True, "SELECT * FROM decisions"))
 def _(spark, sf):
-    return ledger.credit_ledger(spends(spark, sf, 3), profiles(spark, sf), plan_changes(spark, sf, 3))
+    return ledger.credit_ledger(spends(spark, sf, 3, False), profiles(spark, sf), plan_changes(spark, sf, 3))
 
 
-@query("running_balance", ledger_sql(1, False, "SELECT user_id, event_id, credits FROM decisions WHERE reason IN ('', 'limit', 'credits')"))
+@query("running_balance", ledger_sql(1, False, "SELECT user_id, event_id, credits FROM decisions WHERE credits IS NOT NULL"))
 def _(spark, sf):
     return ledger.credit_ledger(spends(spark, sf), profiles(spark, sf)).filter(c("credits").isNotNull()).select("user_id", "event_id", "credits")
 
 
-@query("denials_report", ledger_sql(3, False, "SELECT strftime(ts, '%Y-%m') AS period, reason, count(*) AS events, count(*) FILTER (ok) AS accepted FROM decisions GROUP BY 1, 2"))
+@query("denials_report", ledger_sql(3, False, "SELECT strftime(ts, '%Y-%m') AS period, user_id, reason, count(*) AS events, count(*) FILTER (ok) AS accepted FROM decisions GROUP BY 1, 2, 3"))
 def _(spark, sf):
     return ledger.denials_report(ledger.credit_ledger(spends(spark, sf, 3), profiles(spark, sf)))
 
@@ -126,11 +134,38 @@ final AS (SELECT p.user_id, p.plan_id, coalesce(f.credits, p.credits) AS credits
 
 
 @query("current_profile", ledger_sql(3, False, "").rstrip() + LATEST + """
-SELECT user_id, plan_id, '2024-03' AS period, CASE WHEN period <> '2024-03' THEN CASE plan_id WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END ELSE credits END AS credits,
-  CASE WHEN period <> '2024-03' THEN 0 ELSE campaigns END AS campaigns_this_month FROM final""")
+SELECT user_id, plan_id, greatest(period, '2024-02') AS period, CASE WHEN period < '2024-02' THEN CASE plan_id WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END ELSE credits END AS credits,
+  CASE WHEN period < '2024-02' THEN 0 ELSE campaigns END AS campaigns_this_month FROM final""")
 def _(spark, sf):
+    # Some states are of March already and stay as they are.
     states = ledger.account_states(spends(spark, sf, 3), profiles(spark, sf))
-    return ledger.current_profile(states, F.lit("2024-03-15 00:00:00").cast("timestamp"))
+    return ledger.current_profile(states, F.lit("2024-02-15 00:00:00").cast("timestamp"))
+
+
+PROBES = 45
+
+
+@query("profile_as_of", ledger_sql(3, True, "").rstrip() + f""",
+history AS (SELECT user_id, since, arg_max(plan_id, n) AS plan_id, arg_max(credits, n) AS credits, arg_max(period, n) AS period, arg_max(campaigns, n) AS campaigns
+  FROM (SELECT r.*, coalesce(s.ts, TIMESTAMP '0001-01-01') AS since FROM run r LEFT JOIN seq s ON s.user_id = r.user_id AND s.n = r.n) GROUP BY ALL),
+probes AS (SELECT event_id, user_id, ts + to_days((event_id % {PROBES})::INTEGER) AS at FROM events)
+SELECT event_id, p.user_id, at, plan_id, CASE WHEN period < strftime(at, '%Y-%m') THEN CASE plan_id WHEN 'premium' THEN 100 WHEN 'max' THEN 500 ELSE 10 END ELSE credits END AS credits,
+  greatest(period, CASE WHEN period IS NOT NULL THEN strftime(at, '%Y-%m') END) AS period, CASE WHEN period < strftime(at, '%Y-%m') THEN 0 ELSE campaigns END AS campaigns_this_month
+FROM probes p ASOF LEFT JOIN history h ON p.user_id = h.user_id AND p.at >= h.since""".replace(" at,", " asked,").replace(" at >", " asked >").replace(" AS at ", " AS asked ").replace("(at,", "(asked,").replace("p.at ", "p.asked "))
+def _(spark, sf):
+    asked = c("ts") + F.make_interval(days=(c("event_id") % PROBES).cast("int"))
+    probes = table(spark, sf, "events").select("event_id", "user_id", asked.alias("asked"))
+    history = ledger.account_history(spends(spark, sf, 3, False), profiles(spark, sf), plan_changes(spark, sf, 3))
+    return ledger.profile_as_of(history, probes, "asked")
+
+
+@query("late_events", "WITH " + PROFILE_SQL.strip() + """,
+ev AS (SELECT event_id, ts + to_months((event_id % 3)::INTEGER) AS ts, CASE WHEN event_id % 29 = 0 THEN -user_id - 1 ELSE user_id END AS user_id, event_type,
+  CASE event_type WHEN 'purchase' THEN 'campaign' WHEN 'click' THEN 'competitor' WHEN 'view' THEN 'iteration' ELSE event_type END AS action FROM events)
+SELECT event_id, ts, user_id, CASE WHEN event_type <> 'signup' THEN action END AS action, CASE WHEN event_type = 'signup' THEN ['free', 'premium', 'max'][event_id % 3 + 1] END AS plan_id, period AS held_in
+FROM ev JOIN profiles USING (user_id) WHERE strftime(ts, '%Y-%m') < period""")
+def _(spark, sf):
+    return ledger.late_events(spends(spark, sf, 3, False), profiles(spark, sf), plan_changes(spark, sf, 3))
 
 
 @query("usage_summary", ledger_sql(1, False, "").rstrip() + LATEST + """
@@ -144,14 +179,15 @@ def _(spark, sf):
 final AS (SELECT user_id, arg_max(plan_id, n) AS plan_id, arg_max(credits, n) AS credits, arg_max(period, n) AS period, arg_max(campaigns, n) AS campaigns_this_month FROM run GROUP BY 1)
 SELECT * FROM final""")
 def _(spark, sf):
-    return ledger.account_states(spends(spark, sf, 3), profiles(spark, sf), plan_changes(spark, sf, 3))
+    return ledger.account_states(spends(spark, sf, 3, False), profiles(spark, sf), plan_changes(spark, sf, 3))
 
 
 @query("provision_profiles", "WITH " + PROFILE_SQL.strip() + """
 SELECT user_id, plan_id, credits, period, campaigns AS campaigns_this_month FROM profiles
-UNION ALL SELECT c_custkey, 'free', 10, '2024-02', 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM profiles)""")
+UNION ALL SELECT DISTINCT -user_id - 1, 'free', 10, '2024-02', 0 FROM events WHERE event_id % 29 = 0""")
 def _(spark, sf):
-    return ledger.provision_profiles(profiles(spark, sf), account_rows(spark, sf), F.lit("2024-02-01").cast("timestamp"))
+    users = account_rows(spark, sf).select("user_id").unionByName(spends(spark, sf).select("user_id"))
+    return ledger.provision_profiles(profiles(spark, sf), users, F.lit("2024-02-01").cast("timestamp"))
 
 
 def subscription_events(spark, sf):
