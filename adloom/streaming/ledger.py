@@ -9,49 +9,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from adloom.functions.numbers import billing_period
 from adloom.knowledge.subscriptions import ACTION_COSTS, CAMPAIGN_LIMIT, CREDITS
 from adloom.operators import ledger
 from adloom.streaming.profiles import read_version, write_version
 
 STATE = "plan_id string, credits int, period string, campaigns int"
+WAITING = "at long, event_id long, action string, plan_id string, keeps boolean, month string"
 OUTPUT = ("event_id long, ts timestamp, user_id long, action string, ok boolean, reason string, credits int, "
           "campaigns_this_month int, plan_id string, period string")
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Reason of rows that came after their slice of time was decided.
+TOO_LATE = "too_late"
+#: Lists that the slices of an account are dealt to in turn; a timer reads one of them.
+LISTS = 16
 
 
 class AccountLedger(StatefulProcessor):
-    """One value per account. An account's rows of one micro-batch are ordered together, whatever chunks they come in."""
+    """Rows wait in list state until the watermark has passed their slice of time; a timer then decides the slice in order.
+
+    So neither the order of rows in a micro-batch nor the chunks that they come in matter, and a worker holds the rows of one
+    slice (and those that share its list), not an account's whole batch. Rows of a slice that is decided already come out as
+    ``too_late`` and change nothing.
+    """
+
+    def __init__(self, slice_ms: int):
+        self.slice_ms = slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.account = handle.getValueState("account", STATE)
+        self.waiting = [handle.getListState(f"waiting{i}", WAITING) for i in range(LISTS)]
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         row = initialState.iloc[0]
         self.account.update((row["plan_id"], int(row["credits"]), row["period"], int(row["campaigns_this_month"])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.account.get()) if self.account.exists() else None
-        out = []
-        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            state, decision = decide(state, e.action, e.plan_id, e.ts.strftime("%Y-%m"))
+        now = timerValues.getCurrentWatermarkInMs()
+        for chunk in rows:
+            ends = (chunk["at"] // 1000 // self.slice_ms + 1) * self.slice_ms
+            late = ends <= now
+            for end, part in chunk[~late].groupby(ends[~late]):
+                self.waiting[int(end) // self.slice_ms % LISTS].appendList([
+                    (int(e.at), int(e.event_id), _text(e.action), _text(e.plan_id), bool(e.keeps), e.month) for e in part.itertuples(index=False)])
+                self.handle.registerTimer(int(end))
+            if late.any():
+                yield _frame([(e.event_id, e.at, key[0], _text(e.action), False, TOO_LATE, None, None, _text(e.plan_id), e.month) for e in chunk[late].itertuples(index=False)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.waiting[end // self.slice_ms % LISTS]
+        due, rest = [], []
+        for row in held.get():
+            (due if row[0] // 1000 < end else rest).append(tuple(row))
+        if rest:
+            held.put(rest)
+        else:
+            held.clear()
+        state, out = tuple(self.account.get()) if self.account.exists() else None, []
+        for at, event_id, action, plan_id, keeps, month in sorted(due, key=lambda r: r[:2]):
+            state, decision = decide(state, action, plan_id, month, keeps)
             if decision is not None:
-                out.append((e.event_id, e.ts, key[0], e.action, *decision))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"credits": "Int32", "campaigns_this_month": "Int32"})
+                out.append((event_id, at, key[0], action, *decision))
         if state is not None:
             self.account.update(state)
+        yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
-def decide(state, action: str, new_plan, month: str):
+def _text(value) -> str | None:
+    return None if value is None or pd.isna(value) else value
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    frame["ts"] = pd.to_datetime(frame["ts"].astype("int64"), unit="us")
+    return frame.astype({"event_id": "int64", "user_id": "int64", "ok": bool, "credits": "Int32", "campaigns_this_month": "Int32"})
+
+
+def decide(state, action: str, new_plan, month: str, keeps: bool = False):
     """Next state and (ok, reason, credits, campaigns, plan, period); plan changes give no decision.
 
-    An event of a month before the state's month is refused as late and changes nothing.
+    An event of a month before the state's month is refused as late and changes nothing. A plan change refills the credits
+    and starts the campaign count anew, unless it ``keeps`` the count of its month.
     """
     if new_plan is not None and not pd.isna(new_plan):
-        late = state is None or month < state[2]
-        return (state if late else (new_plan, CREDITS[new_plan], month, 0)), None
+        if state is None or month < state[2]:
+            return state, None
+        return (new_plan, CREDITS[new_plan], month, state[3] if keeps and month == state[2] else 0), None
     cost = ACTION_COSTS.get(action)
     if cost is None:
         return state, (False, "bad_action", None, None, None, None)
@@ -72,35 +120,44 @@ def decide(state, action: str, new_plan, month: str):
     return (plan, credits, period, campaigns), (reason == "", reason, credits, campaigns, plan, period)
 
 
-def credit_ledger_stream(events: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Decisions with keyed state. ``events`` has event_id, ts, user_id, action and plan_id (set for plan changes).
+def credit_ledger_stream(events: DataFrame, profiles: DataFrame, delay: str = "1 day", slice_ms: int = 3_600_000) -> DataFrame:
+    """Decisions with keyed state, in the order of event times.
 
-    Needs the RocksDB state store (see STATE_STORE). Where single accounts dominate a stream, use
-    ``ledger_by_batch``, which splits them.
+    ``events`` has event_id, ts, user_id, action, plan_id (set for plan changes) and keeps_counter (optional). A row may come as
+    much as ``delay`` after later ones; what comes later still is in the output as ``too_late`` (see ``on_time``). Needs the
+    RocksDB state store (see STATE_STORE). Where single accounts dominate a stream, use ``ledger_by_batch``, which splits them.
     """
-    return events.groupBy("user_id").transformWithStateInPandas(
-        AccountLedger(), OUTPUT, "Append", "None", initialState=profiles.groupBy("user_id"))
+    keeps = F.coalesce("keeps_counter", F.lit(False)) if "keeps_counter" in events.columns else F.lit(False)
+    # Times as plain numbers: a watermarked column would make the engine drop late rows unseen.
+    rows = events.withWatermark("ts", delay).select(
+        "user_id", F.unix_micros("ts").alias("at"), "event_id", "action", "plan_id", keeps.alias("keeps"), billing_period(F.col("ts")).alias("month"))
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        AccountLedger(slice_ms), OUTPUT, "Append", "EventTime", initialState=profiles.groupBy("user_id"))
+
+
+def on_time(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions, and the side output of rows that came too late to be decided."""
+    late = F.col("reason") == TOO_LATE
+    return decisions.filter(~late), decisions.filter(late).select("event_id", "ts", "user_id", "action", "plan_id")
 
 
 def ledger_by_batch(events: DataFrame, state_dir: str, out_dir: str, checkpoint: str, initial: DataFrame | None = None, **trigger):
     """Start the ledger by micro-batch: each batch is one run of the batch ledger over versioned profiles.
 
-    Accounts are not keys of a task here, so one that sends most of a batch is split like in the batch
-    job. Replaying a batch rewrites its own folders.
+    Accounts are not keys of a task here, so one that sends most of a batch is split like in the batch job. Events of a month
+    before the stored state's are refused as late, and also listed in the folder ``late``. Replaying a batch rewrites its own folders.
     """
     if initial is not None:
         write_version(initial, state_dir, -1)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         profiles = read_version(batch.sparkSession, state_dir, batch_id - 1)
-        own = batch.join(profiles.select("user_id", F.col("period").alias("_p")), "user_id", "left")
-        late = F.date_format("ts", "yyyy-MM") < F.col("_p")
-        spends = own.filter("plan_id IS NULL").filter(~F.coalesce(late, F.lit(False))).select("event_id", "ts", "user_id", "action")
-        changes = own.filter("plan_id IS NOT NULL").filter(~F.coalesce(late, F.lit(False))).select(
-            "event_id", "ts", "user_id", "plan_id", F.lit(False).alias("keeps_counter"))
+        spends = batch.filter("plan_id IS NULL").select("event_id", "ts", "user_id", "action")
+        keeps = F.coalesce("keeps_counter", F.lit(False)) if "keeps_counter" in batch.columns else F.lit(False)
+        changes = batch.filter("plan_id IS NOT NULL").select("event_id", "ts", "user_id", "plan_id", keeps.alias("keeps_counter"))
         decisions, states = ledger.run_ledger(spends, profiles, changes)
         decisions.write.mode("overwrite").parquet(f"{out_dir}/decisions/batch={batch_id}")
-        own.filter(F.coalesce(late, F.lit(False))).drop("_p").write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
+        ledger.late_events(spends, profiles, changes).write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
         write_version(states, state_dir, batch_id)
 
     return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
