@@ -15,8 +15,8 @@ transforms of its shards:
    so the refinement yields the common prefixes as it goes; runs of rows with a common prefix of ``match`` are the repeated intervals.
 4. A window is repeated if its interval holds a document of smaller id. Windows become spans of their document, which are cut out.
 
-A key of more than ``HEAVY`` pieces (the end of a passage that very many documents go on from differently) is dealt out by its single
-windows instead, whose smallest documents are found by grouping. Long texts are cut into overlapping stretches. Pieces are
+A key whose pieces do not fit (more than ``HEAVY``: the end of a passage that very many documents go on from differently) is dealt out by
+its single windows instead, whose smallest documents are found by grouping. Long texts are cut into overlapping stretches. Pieces are
 compared by 96 bits of hashes of their bytes, everything after that by the bytes.
 
 Defined results: null texts are empty; texts shorter than ``match`` have no window. Rows of null ids neither lose bytes nor make others lose
@@ -40,7 +40,7 @@ MATCH = 50
 GRAM = 12
 #: Bytes of text that are hashed at a time; longer texts are cut into stretches of as many windows.
 STRETCH = 1 << 21
-#: Rows that a task groups at a time, bytes whose transforms it merges at a time, pieces of a key that are merged.
+#: Rows that a task groups at a time, bytes whose transforms it merges at a time, pieces of a key that are merged at most.
 ROWS, MERGED, HEAVY = 1 << 17, 1 << 20, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * SEED) | np.uint64(1)
@@ -50,7 +50,7 @@ BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * SEED) | np.uint64(1)
 PIECE = pa.schema([("h", pa.int32()), ("x", pa.int64()), ("at", pa.int64()), ("d", pa.int64()), ("t", pa.int32())])
 FOUND = pa.schema([("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("alone", pa.bool_())])
 PART = pa.schema([("g", pa.int64()), ("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
-SPAN = pa.schema([("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32())])
+MADE = pa.schema([("d", pa.int64()), ("t", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("window", pa.binary())])
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,last:long>>, kept binary"
 
 
@@ -285,38 +285,49 @@ def _parts(match: int):
 
 
 class Shard:
-    """Suffix array and transform of some strings, sorted alone. Symbols are bytes plus 1; 0 ends each string, and equal ends follow in the order of their strings."""
+    """Suffix array and transform of some strings, sorted alone.
 
-    def __init__(self, strings: list[bytes]):
+    Symbols are ``step`` bytes each, and every suffix is read in such symbols; 0 stands for what is left of less than a symbol. Equal rests
+    follow in the order of their strings, which keeps the rows in step with those one symbol further on.
+    """
+
+    def __init__(self, strings: list[bytes], step: int = 1):
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         ends = np.cumsum(lengths + 1)
+        n = int(ends[-1])
         self.owner = np.repeat(np.arange(len(strings)), lengths + 1)
-        self.place = np.arange(ends[-1]) - (ends - lengths - 1)[self.owner]
-        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
-        symbols[ends - 1] = 0
-        left = lengths[self.owner] - self.place  # symbols up to the end
-        n, seven = len(symbols), np.zeros(len(symbols), np.int64)
-        wide = np.append(symbols.astype(np.int64), np.zeros(7, np.int64))
-        for i in range(7):
-            seven = (seven << 9) | np.where(left > i, wide[i: n + i], 0)
-        rank = np.unique(seven, return_inverse=True)[1].reshape(-1)
-        known = 7
-        while known <= lengths.max():  # doubling: ranks by ``known`` symbols give ranks by twice as many
+        self.place = np.arange(n) - (ends - lengths - 1)[self.owner]
+        data = np.append(np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1, np.zeros(6, np.int64))
+        left = lengths[self.owner] - self.place
+        left -= left % step  # bytes of whole symbols
+        rank, known = np.zeros(n, np.int64), 6
+        for i in range(known):
+            rank = (rank << 9) | np.where(left > i, data[i: n + i], 0)
+        rank = np.unique(rank, return_inverse=True)[1].reshape(-1)
+        while known <= left.max(initial=0):  # doubling: ranks by ``known`` bytes give ranks by twice as many
             further = np.where(left >= known, rank[np.minimum(np.arange(n) + known, n - 1)] + 1, 0)
             rank = np.unique(rank * (n + 1) + further, return_inverse=True)[1].reshape(-1)
             known *= 2
         self.order = np.argsort(rank, kind="stable")
-        self.before = np.where(self.place > 0, symbols[np.maximum(np.arange(n) - 1, 0)], np.uint16(0))[self.order]
+        symbols = data[:n] if step == 1 else data[:n] * 257 + data[1: n + 1]
+        self.before = np.where(self.place >= step, symbols[np.maximum(np.arange(n) - step, 0)], 0)[self.order]
+
+
+def _dense(symbols: np.ndarray) -> np.ndarray:
+    """Symbols in 16 bits, in their order, where there are few enough."""
+    code = np.cumsum(np.bincount(symbols, minlength=1) > 0) - 1
+    return code[symbols].astype(np.uint16 if code[-1] < 1 << 16 else np.int32)
 
 
 def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard of every row of the merged order by ``depth`` symbols, and the common prefix of each row with the one before (at most ``depth``)."""
+    """Shard of every row of the merged order by ``depth`` symbols, and the common prefix of each row with the one before (in symbols, at most ``depth``)."""
     symbols = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.uint16), [len(x) for x in transforms])
     block = np.zeros(len(symbols), np.int32)
     common = np.full(len(symbols), depth, np.int32)
     if len(common):
         common[0] = 0
+        symbols = _dense(symbols)
     here = np.empty_like(symbols)
     for h in range(1, depth + 1):
         here[np.argsort(shard, kind="stable")] = symbols  # every shard's rows keep their own order
@@ -333,14 +344,15 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
 
 def repeated_windows(shards: list[list[bytes]], low: np.ndarray, windows: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, place) of every window that a string of smaller ``low`` has too. Strings of all shards are numbered through."""
-    built = [Shard(s) for s in shards]
+    step = 1 if match % 2 else 2
+    built = [Shard(s, step) for s in shards]
     begin = np.cumsum([0] + [len(s) for s in shards])
-    shard, common = interleave([s.before for s in built], match)
+    shard, common = interleave([s.before for s in built], match // step)
     rows = np.argsort(shard, kind="stable")
     owner, place = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
     owner[rows] = np.concatenate([s.owner[s.order] + b for s, b in zip(built, begin)])
     place[rows] = np.concatenate([s.place[s.order] for s in built])
-    interval = np.cumsum(common < match) - 1
+    interval = np.cumsum(common < match // step) - 1
     window = place < windows[owner]  # the others reach beyond their string
     least = np.full(interval[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, interval[window], low[owner[window]])
@@ -348,43 +360,82 @@ def repeated_windows(shards: list[list[bytes]], low: np.ndarray, windows: np.nda
     return owner[hit], place[hit]
 
 
-def _merge(match: int):
-    """Over parts sorted by key: the batches of a task are shards; what is complete is merged, the last key waits for the next shard."""
+def _merge(match: int, heavy: int = HEAVY):
+    """Over parts sorted by key: the batches of a task are shards; what is complete is merged, the last key waits for the next shard.
+
+    Gives runs of repeated windows, and of heavy keys all windows with their bytes.
+    """
     def merged(batches):
         g, d = (np.concatenate([_column(b, c) for b in batches]) for c in "gd")
-        fresh = np.r_[True, g[1:] != g[:-1]]
-        first = np.flatnonzero(fresh)
-        nr = np.cumsum(fresh) - 1
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        nr = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g))))
         meet = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))[nr]  # other documents under the same key
         if not meet.any():
             return None
         t, start, n = (np.concatenate([_column(b, c) for b in batches])[meet] for c in ("t", "start", "n"))
-        d = d[meet]
-        size, at, shards = [b.num_rows for b in batches], 0, []
-        for b, k in zip(batches, size):
-            kept = [x for x, m in zip(b.column("data").to_pylist(), meet[at: at + k].tolist()) if m]
-            at += k
-            if kept:
-                shards.append(kept)
-        owner, place = repeated_windows(shards, d, n.astype(np.int64), match)
+        d, at, shards, number, string = d[meet], 0, [], {}, []
+        for b in batches:  # equal parts are one string, of their smallest document
+            fresh = []
+            for x, m in zip(b.column("data").to_pylist(), meet[at: at + b.num_rows].tolist()):
+                if m:
+                    if x not in number:
+                        number[x] = len(number)
+                        fresh.append(x)
+                    string.append(number[x])
+            at += b.num_rows
+            if fresh:
+                shards.append(fresh)
+        string = np.array(string)
+        low = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(low, string, d)
+        windows = np.zeros(len(number), np.int64)
+        windows[string] = n
+        owner, place = repeated_windows(shards, low, windows, match)
         o, s, k = _merged_runs(owner, place, np.ones(len(owner), np.int64))
-        return _batch(SPAN, d[o], t[o], start[o] + s, k.astype(np.int32))
+        # Copies of a part in larger documents are repeated as a whole; those in its smallest document have the runs of the string.
+        again = d > low[string]
+        own = np.flatnonzero(~again)
+        begin, count = np.searchsorted(o, string[own]), np.bincount(o, minlength=len(number))[string[own]]
+        part = np.repeat(own, count)
+        run = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        return _spans_of(np.r_[d[again], d[part]], np.r_[t[again], t[part]], np.r_[start[again], start[part] + s[run]], np.r_[n[again], k[run]])
+
+    def single(batches):
+        rows = [(d, t, start + i, 1, data[i: i + match]) for b in batches
+                for d, t, start, n, data in zip(*(b.column(c).to_pylist() for c in ("d", "t", "start", "n", "data"))) for i in range(n)]
+        return _batch(MADE, *zip(*rows))
 
     def run(batches):
-        held, size = [], 0
+        held, size, large = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if large is not None:
+                same = int((_column(batch, "g") == large).sum())
+                if same:
+                    yield single([batch.slice(0, same)])
+                batch = batch.slice(same)
+                if not batch.num_rows:
+                    continue
+                large = None
             held.append(batch)
             size += batch.column("data").nbytes
             first, last = held[0].column("g")[0].as_py(), batch.column("g")[-1].as_py()
-            if size < MERGED or first == last:
+            if first == last:
+                if sum(b.num_rows for b in held) > heavy:
+                    yield single(held)
+                    held, size, large = [], 0, last
+                continue
+            if size < MERGED and sum(int((_column(b, "g") == last).sum()) for b in held) <= heavy:
                 continue
-            tails = [int(np.searchsorted(_column(b, "g") == last, True)) for b in held]
+            tails = [int((_column(b, "g") != last).sum()) for b in held]
             found = merged([b.slice(0, k) for b, k in zip(held, tails) if k])
             if found is not None:
                 yield found
             held = [b.slice(k) for b, k in zip(held, tails) if k < b.num_rows]
+            if sum(b.num_rows for b in held) > heavy:
+                yield single(held)
+                held, large = [], last
             size = sum(len(x) for b in held for x in b.column("data").to_pylist())
         if held:
             found = merged(held)
@@ -393,6 +444,10 @@ def _merge(match: int):
     return run
 
 
+def _spans_of(d, t, start, n) -> pa.RecordBatch:
+    return _batch(MADE, d, t, start, n.astype(np.int32), np.full(len(d), None, object))
+
+
 def _spans(docs: DataFrame, match: int, folder: str, heavy: int) -> DataFrame:
     """d, t, start, n: runs of repeated windows. Documents are (id, hash of the text), so rows of one id with different texts keep apart."""
     dealt = docs.filter("d IS NOT NULL AND text IS NOT NULL").mapInArrow(_cut_up(match), _ddl(PIECE)).repartition("h").sortWithinPartitions("h", "x", "d")
@@ -400,12 +455,12 @@ def _spans(docs: DataFrame, match: int, folder: str, heavy: int) -> DataFrame:
     opened = found.filter("alone").repartition("d", "t").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "lead")).alias("found"))  # of one text
     # The outer join lets the texts be dealt out once for this and for the removal.
     parts = docs.join(opened, ["d", "t"], "left").select("d", "t", "text", "found").mapInArrow(_parts(match), _ddl(PART))
-    large = parts.groupBy("g").count().filter(F.col("count") > heavy).select("g")
-    merged = parts.join(large, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(_merge(match), _ddl(SPAN))
-    single = parts.join(large, "g").select("d", "t", "start", F.posexplode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.substring("data", i, F.lit(match)))).alias("at", "w"))
-    least = single.groupBy("w").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("w", "low")
-    windows = single.join(least, "w").filter("d > low").select("d", "t", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
-    return found.filter("NOT alone").select("d", "t", "start", "n").unionByName(merged).unionByName(windows)
+    made = staged(parts.repartition("g").sortWithinPartitions("g").mapInArrow(_merge(match, heavy), _ddl(MADE)), folder, "merged")
+    single = made.filter("window IS NOT NULL")
+    least = single.groupBy("window").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("window", "low")
+    windows = single.join(least, "window").filter("d > low")
+    columns = ["d", "t", "start", "n"]
+    return found.filter("NOT alone").select(columns).unionByName(made.filter("window IS NULL").select(columns)).unionByName(windows.select(columns))
 
 
 def _remove(match: int):

@@ -68,7 +68,7 @@ def test_spans_give_the_kept_bytes(spark):
         assert kept + data[at:] == bytes(r.kept) and sum(s.last - s.first for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
-def spans_in_process(docs, match=50, stretch=1 << 21, rows=1 << 17, merged=1 << 20, size=7):
+def spans_in_process(docs, match=50, stretch=1 << 21, rows=1 << 17, merged=1 << 20, size=7, heavy=20_000):
     """The operator's steps over many small batches, without Spark."""
     keep = suffixes.STRETCH, suffixes.ROWS, suffixes.MERGED
     suffixes.STRETCH, suffixes.ROWS, suffixes.MERGED = stretch, rows, merged
@@ -85,7 +85,13 @@ def spans_in_process(docs, match=50, stretch=1 << 21, rows=1 << 17, merged=1 <<
         texts = [{"d": d, "t": t, "text": docs[t][1], "found": f} for (d, t), f in opened.items()]
         parts = list(suffixes._parts(match)(chunk(pa.Table.from_pylist(texts)))) if texts else []
         parts = pa.Table.from_batches(parts, suffixes.PART).sort_by("g")
-        more = [r for b in suffixes._merge(match)(chunk(parts)) for r in b.to_pylist()]
+        more = [r for b in suffixes._merge(match, heavy)(chunk(parts)) for r in b.to_pylist()]
+        low = {}
+        for r in more:
+            if r["window"] is not None:
+                low[r["window"]] = min(low.get(r["window"], r["d"]), r["d"])
+        assert bool(low) == (heavy < 100)
+        more = [r for r in more if r["window"] is None or low[r["window"]] < r["d"]]
     finally:
         suffixes.STRETCH, suffixes.ROWS, suffixes.MERGED = keep
     gone = [bytearray(len(t.encode())) for _, t in docs]
@@ -95,11 +101,12 @@ def spans_in_process(docs, match=50, stretch=1 << 21, rows=1 << 17, merged=1 <<
     return gone
 
 
-@pytest.mark.parametrize("limits", [{}, {"stretch": 60, "rows": 8, "merged": 200}, {"stretch": 97, "rows": 40, "merged": 1}])
-def test_small_batches(limits):
+@pytest.mark.parametrize("match", [50, 31])
+@pytest.mark.parametrize("limits", [{}, {"stretch": 60, "rows": 8, "merged": 200}, {"stretch": 97, "rows": 40, "merged": 1}, {"heavy": 9}, {"heavy": 4, "size": 3, "merged": 300}])
+def test_small_batches(limits, match):
     docs = [(d, t) for d, t in some_docs() if d is not None and t]
-    want = expected(docs, 50)
-    gone = spans_in_process(docs, **limits)
+    want = expected(docs, match)
+    gone = spans_in_process(docs, match, **limits)
     got = sorted(((d, len(g), sum(g), sum(v and (not i or not g[i - 1]) for i, v in enumerate(g)),
                    hashlib.sha256(bytes(b for b, v in zip(t.encode(), g) if not v)).hexdigest()) for (d, t), g in zip(docs, gone)), key=str)
     assert got == want
