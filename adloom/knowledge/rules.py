@@ -91,7 +91,7 @@ COUNTER_MOVES = ["Usa {k} ángulos que ellos no usan", "Mejora la oferta, no el
 COLOR_TODOS = ["Anota el color del botón", "Anota el color de fondo", "Anota el color de las ofertas"]
 NO_HOOKS = ["(sin ganchos en el texto)", "Revisa su primer titular"]
 NO_CTAS = ["(sin llamadas en el texto)", "Revisa botones y avisos"]
-DEFAULT_OFFER, NO_OFFER = "descuento directo", "Sin oferta visible"
-DEFAULT_GUARANTEE, NO_GUARANTEE = "garantía estándar", "Sin garantía visible: úsala a tu favor"
-DEFAULT_HOOK, DEFAULT_CTA = "problema/beneficio", "compra directa"
+DEFAULT_OFFER, NO_OFFER = "rebaja sin condiciones", "Sin oferta visible"
+DEFAULT_GUARANTEE, NO_GUARANTEE = "garantía sin detalles", "Sin garantía visible: úsala a tu favor"
+DEFAULT_HOOK, DEFAULT_CTA = "del estorbo a la mejora", "compra directa"
 HOOK_PREVIEW = 40

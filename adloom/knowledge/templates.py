@@ -67,38 +67,76 @@ ANGLE_HOOKS = {
 }
 CTAS = ["Entra en el enlace", "Hoy con descuento en el perfil", "Ya conoces el siguiente paso", "Treinta días de prueba",
         "Hazlo por tu yo de mañana"]
-# Beats per duration: time range, label, voice-over, visual.
-BEATS = {
-    "15s": [("0-2s", "Hook", "{anglehook}", "Plano corto"), ("2-8s", "Demo", "Fíjate: {b0}", "{demo}"),
-            ("8-12s", "Beneficio", "{b1}, por muy poco", "Resultado y precio"), ("12-15s", "CTA", "{cta}", "Botón")],
-    "30s": [("0-3s", "Hook", "{anglehook}", "Escena difícil"), ("3-8s", "Agitación", "Siempre {pain}", "Intentos fallidos"),
-            ("8-18s", "Demo", "Con {p}: {b0}. También {b1}", "{demo}; {wow}"),
-            ("18-24s", "Prueba social", "Ya lo usa mucha gente", "Reseñas"), ("24-30s", "CTA", "Ahora {price}. {cta}", "Oferta")],
-    "45s": [("0-3s", "Hook", "{anglehook}", "Adelanto"), ("3-10s", "Contexto", "Vivía {pain}", "A cámara en {env}"),
-            ("10-22s", "Demo", "{p} hace esto: {b0}; y esto: {b1}", "{demo}"),
-            ("22-32s", "Objeción", "Sin cortes para que no dudes", "Cronómetro"),
-            ("32-40s", "Emoción", "Lo importante: {desire}", "Vida mejor"), ("40-45s", "CTA", "{cta}", "Oferta")],
-    "1 min": [("0-4s", "Hook", "{anglehook}", "Resultado"), ("4-14s", "Historia", "Soy de {aud} y sufría {pain}", "Rutina"),
-              ("14-28s", "Demo", "Llegó {p}. {b0}. {b1}", "Tres tomas"), ("28-40s", "Prueba", "{n} días de uso", "Calendario"),
-              ("40-50s", "Para quién", "Para quien vive {pain}", "Usuarios"), ("50-60s", "CTA", "{price} con garantía. {cta}", "Resumen")],
-    "2 min": [("0-5s", "Hook", "{anglehook}", "Montaje"), ("5-20s", "Problema", "{problem}", "Contextos"),
-              ("20-35s", "Lo demás falla", "Caro, lento o frágil", "Tres fallos"),
-              ("35-60s", "Solución", "{p}: {b0}; {b1}; {b2}", "{wow}"), ("60-80s", "Testimonios", "Que hablen otros", "Clips"),
-              ("80-100s", "Dudas", "Calidad, envío y precio resueltos", "Preguntas"), ("100-120s", "CTA", "Sin riesgo. {cta}", "Cuenta atrás")],
-    "3 min": [("0-8s", "Ruptura", "{anglehook}", "Sin música"), ("8-30s", "Historia", "Tras {n} intentos seguía {pain}", "Documental"),
-              ("30-55s", "Descubrimiento", "La raíz: {secondary}. {p} va ahí", "Gráficos"), ("55-90s", "Demo", "Paso a paso", "Tiempo real"),
-              ("90-120s", "Resultados", "Se repite: {desire}", "Tres testimonios"), ("120-145s", "Para quién", "Si quieres {desire}", "Dos columnas"),
-              ("145-165s", "Oferta", "{p}, garantía y envío por {price}", "Lista"), ("165-180s", "Cierre", "Tú eliges. {cta}", "Toma final")],
+# The time ranges of a script's beats per duration.
+BEAT_TIMES = {
+    "15s": ["0-2s", "2-8s", "8-12s", "12-15s"], "30s": ["0-3s", "3-8s", "8-18s", "18-24s", "24-30s"],
+    "45s": ["0-3s", "3-10s", "10-22s", "22-32s", "32-40s", "40-45s"], "1 min": ["0-4s", "4-14s", "14-28s", "28-40s", "40-50s", "50-60s"],
+    "2 min": ["0-5s", "5-20s", "20-35s", "35-60s", "60-80s", "80-100s", "100-120s"],
+    "3 min": ["0-8s", "8-30s", "30-55s", "55-90s", "90-120s", "120-145s", "145-165s", "165-180s"],
 }
+# Our own arcs: label, voice-over, visual. Longer scripts follow a day with the product, hour by hour.
+ARCS = {
+    "15s": [("Apertura", "{anglehook}", "Manos en primer plano"), ("Gesto", "Un movimiento basta: {b0}", "{demo}, sin cortes"),
+            ("Huella", "Queda esto: {b1}", "La mesa ya recogida"), ("Despedida", "{cta}", "Nombre y enlace en pantalla")],
+    "30s": [("Apertura", "{anglehook}", "Cámara al hombro en {env}"), ("Antesala", "Son las siete y toca {pain}", "Reloj de cocina"),
+            ("Mediodía", "A las doce, {p}: {b0} y además {b1}", "{demo} visto desde arriba"),
+            ("Vecindario", "En el rellano ya preguntan por él", "Dos voces fuera de plano"), ("Cuenta", "Todo por {price}. {cta}", "Ticket impreso")],
+    "45s": [("Apertura", "{anglehook}", "Persiana que sube"), ("Lunes", "El lunes era {pain}", "Calendario de pared"),
+            ("Martes", "El martes estrené {p}: {b0}", "{demo} paso a paso"), ("Jueves", "El jueves ya contaba con {b1}", "Misma escena, otra luz"),
+            ("Domingo", "El domingo tuve {desire}", "Plano abierto y silencio"), ("Despedida", "{cta}", "Persiana que baja")],
+    "1 min": [("Apertura", "{anglehook}", "Puerta que se abre"), ("Retrato", "Soy de los de {aud} y cargo con {pain}", "Foto de familia"),
+              ("Inventario", "En el cajón: {b0}, {b1} y poco más", "Cajón ordenado por piezas"), ("Diario", "Apunté {n} días seguidos", "Libreta con rayas"),
+              ("Invitación", "Si te suena {pain}, pasa", "Silla vacía junto a la ventana"), ("Despedida", "Sale a {price}. {cta}", "Libreta que se cierra")],
+    "2 min": [("Apertura", "{anglehook}", "Mapa de la casa"), ("Plano", "{problem}", "Habitaciones una a una"), ("Callejón", "Probé atajos que no llevan a ningún sitio", "Flechas tachadas"),
+              ("Taller", "Sobre la mesa, {p}: {b0}; {b1}; {b2}", "{wow} a cámara lenta"), ("Visitas", "Pasaron por casa y opinaron", "Tazas de café"),
+              ("Reparos", "Lo que me preguntaron: tamaño, plazos, coste", "Notas adhesivas"), ("Despedida", "El mapa acaba aquí. {cta}", "Chincheta en el destino")],
+    "3 min": [("Apertura", "{anglehook}", "Pantalla en negro y lluvia"), ("Archivo", "Guardé {n} recibos de cosas contra {pain}", "Caja de zapatos"),
+              ("Hallazgo", "Nadie miraba {secondary}; {p} sí", "Lupa sobre un dibujo"), ("Ensayo", "Lo hago delante de ti y sin prisa", "Toma única"),
+              ("Bitácora", "Mes a mes se acerca {desire}", "Páginas que pasan"), ("Compañía", "Es para quien persigue {desire}", "Grupo alrededor de una mesa"),
+              ("Trato", "{p} llega a casa por {price}, con vuelta atrás", "Apretón de manos"), ("Despedida", "La lluvia para. {cta}", "Luz de la tarde")],
+}
+BEATS = {d: [(time, *arc) for time, arc in zip(BEAT_TIMES[d], ARCS[d], strict=True)] for d in BEAT_TIMES}
 
-PERSONS = ["Mujer, 28 años", "Hombre, 32 años", "Mujer, 35 años", "Mujer, 24 años", "Hombre, 26 años", "Mujer, 45 años"]
+PERSONS = ["Panadera de barrio", "Cartero con prisa", "Profesora de música", "Pescador jubilado", "Programadora nocturna", "Florista", "Conductor de tranvía"]
 TOOLS_IMAGE = [("GPT Image", 4), ("Midjourney", 4), ("Flux", 3), ("Nano Banana", 3), ("Hailuo (imagen)", 2), ("Kling (imagen)", 2)]
 TOOLS_VIDEO = [("Veo", 3), ("Kling", 3), ("Hailuo", 2), ("Runway", 2), ("Pika", 2)]
 IMAGE_STYLES = ["hero de estudio", "escena de uso", "comparativa", "plano de detalle"]
+# One sentence (* stands for the style) and the settings per tool.
+IMAGE_SETTINGS = [
+    ("Fotografía de {p} en {env}, *, texto legible fuera de cuadro", "1024x1536, calidad alta"), ("{p}, *, luz de tarde, {cat} --ar 4:5 --style raw", "--ar 4:5 --s 150"),
+    ("* de {p}: grano fino, objetivo de 50 mm, {demo}", "guía 3.5, 28 pasos"), ("Edita la foto: {p}, *, conserva la forma", "una referencia, cuadrado"),
+    ("Ilustración *, {p} sobre papel", "1:1, semilla fija"), ("{p} en {env}, *, profundidad corta", "16:9, fidelidad media")]
+VIDEO_SETTINGS = [
+    ("Plano de ocho segundos: {demo}, *, sonido ambiente de {env}", "8 s, 16:9, audio"), ("* sobre {p}; termina en {wow}", "5 s, 9:16, modo pro"),
+    ("{person} con {p}, *", "6 s, 768p"), ("De lejos a cerca: {p}, *", "10 s, 24 fps"), ("*: {p} respira y vuelve", "3 s, bucle")]
+STORY_CONCEPTS = ["Un estorbo se vuelve costumbre", "Dos relojes, una tarea", "Abrir la caja delante de alguien"]
+SHOTS = ["Cenital", "A la altura del codo", "Desde el umbral", "Detalle de dedos", "Contraluz"]
+EXPRESSIONS = ["Cansancio leve", "Curiosidad", "Media sonrisa", "Atención", "Risa contenida", "Alivio"]
+LIGHTS = ["Ventana norte", "Lámpara de mesa", "Sol bajo", "Fluorescente de cocina"]
+MOVES = ["Cámara quieta", "Paso lateral", "Acercamiento lento", "Giro de muñeca", "Retroceso"]
+SOUNDS = ["Solo ambiente", "Tres notas de piano", "Voz fuera de plano", "Clic del producto"]
 VIDEO_STYLES = ["demo continua", "giro de cámara", "bucle corto"]
+# Persona, icon. Replacement documents refer to personas by the first letters of these names.
 PERSONAS = [("Mamá", "👩‍👧"), ("Doctor / especialista", "🥼"), ("Deportista", "🏋️"), ("Estudiante", "🎓"),
             ("CEO / emprendedor", "💼"), ("Pareja", "💑"), ("Abuelo/a", "👴")]
+# Profile, tone, place and clothes of each persona.
+PERSONA_NOTES = [
+    ("Reparte la tarde entre deberes y cenas", "Complicidad de grupo de chat", "Mesa con mochilas", "Delantal y zapatillas"),
+    ("Explica por oficio y sin alarmas", "Pausado, con un ejemplo por frase", "Pizarra pequeña", "Chaqueta lisa"),
+    ("Apunta cada sesión", "Frases cortas, respiración audible", "Pista al amanecer", "Cortavientos"),
+    ("Comparte piso y compara precios", "Irónico y veloz", "Biblioteca, voz baja", "Jersey prestado"),
+    ("Dirige un taller de seis personas", "Cifras redondas, nada de jerga", "Almacén con cajas", "Camisa remangada"),
+    ("Discuten y se ríen de lo mismo", "Diálogo a medias", "Sofá frente a la cámara", "Lo que llevaban puesto"),
+    ("Repara radios y guarda tornillos", "Cuenta una anécdota y calla", "Banco del jardín", "Gorra y tirantes"),
+]
 OFFER_TYPES = ["2x1", "Bundle", "Compra 2 y recibe...", "Regalo gratis", "Descuento progresivo", "Urgencia", "Escasez"]
+# Name, structure, example and best use of each offer.
+OFFER_NOTES = [
+    ("Par", "Dos por menos que dos", "Uno para ti y otro para {aud}", "Artículos que se gastan"), ("Lote del taller", "{p} con dos piezas", "Caja cerrada con nota", "Subir el ticket"),
+    ("Tercero aparte", "Dos y un recambio", "El recambio viaja dentro", "Compras en grupo"), ("Detalle", "Algo pequeño en la caja", "Una funda para {p}", "Primer pedido"),
+    ("Escalera", "Cada unidad baja un peldaño", "La tercera, la que más", "Familias"), ("Reloj", "Precio hasta medianoche", "{price} y después sube", "Cierre de semana"),
+    ("Tirada", "Una serie numerada", "Número a mano en {p}", "Seguidores de siempre"),
+]
 AD_FORMATS = [
     ("Video (demo)", "Meta Ads"), ("Imagen estática", "Meta Ads"), ("Carrusel", "Meta Ads"), ("Video UGC", "TikTok Ads"),
     ("Video In-Feed", "TikTok Ads"), ("Short", "YouTube Shorts"), ("Reel", "Instagram"), ("VSL", "Landing / YouTube"),
@@ -107,6 +145,19 @@ AD_FORMATS = [
 AD_TEXTS = ["{hook}\n{b0}. {b1}. {b2}. Hoy {price}", "Se nota la diferencia: {b0}\nSin {pain}", "Cinco razones para {p}",
             "{hook} #descubrimiento", "{hook} Solo esta semana", "{hook}", "{b0}. Enlace en el perfil",
             "Guion largo en el módulo de guiones", "Un instante: {wow}", "Tu {p} te espera"]
+# Description, button, measures and working note of each ad.
+AD_NOTES = [
+    ("Rodaje en una mañana, {price} a la vista", "Comprar ahora", "Cuadrado o 4:5, medio minuto", "Tres aperturas distintas sobre la misma demo de {p}"),
+    ("Dos mitades, una frase", "Ver más", "1080 de lado", "Que se entienda sin leer: {b0}"),
+    ("Una tarjeta por motivo", "Comprar ahora", "Cinco tarjetas iguales", "La última tarjeta dice {price}"),
+    ("Móvil en mano y luz de ventana", "Comprar ahora", "Vertical, veinte segundos", "Lo graba alguien de {aud}"),
+    ("Directo al precio", "Comprar ahora", "Vertical, doce segundos", "Cambiar solo el primer plano entre versiones"),
+    ("Voz tranquila sobre {demo}", "Suscribirse", "Vertical, menos de un minuto", "Cerrar en bucle con {wow}"),
+    ("Detrás de la escena en {env}", "Enviar mensaje", "Vertical con subtítulos", "Responder comentarios con otro reel"),
+    ("Relato completo", "Ver el video", "Horizontal, tres minutos", "Repetir {b1} hacia la mitad"),
+    ("Tres segundos sin sonido", "Ver oferta", "600 de ancho, poco peso", "Abrir el correo con {wow}"),
+    ("Recordatorio sereno", "Volver a la tienda", "300x250 y 728x90", "Solo para quien vio {p} y no compró"),
+]
 # Pieces per phase with priority and platform (counts sum to 20, 11 and 11).
 PLAN_PHASES = [
     ("Semana 1", "Probar ángulos", [
@@ -121,6 +172,7 @@ PLAN_PHASES = [
         (2, "Carruseles de objeciones", "Media", "Meta"), (3, "Banners de remarketing", "Media", "Display / Email"),
         (1, "Colaboración con micro-influencer", "Media", "TikTok")]),
 ]
+PLAN_NOTES = {"Alta": "Grabar {p} antes del miércoles", "Media": "Reusar tomas de {demo}", "Baja": "Si sobra una tarde"}
 # Element, icon, number of variants, metric.
 AB_ELEMENTS = [
     ("Hooks", "🪝", 50, "Retención a 3 segundos"), ("CTAs", "👆", 20, "CTR del botón"), ("Thumbnails", "🖼️", 20, "CTR de impresión"),
@@ -134,10 +186,14 @@ AB_PARTS = {
                              ["en silencio", "a cámara", "en detalle"]),
     "Finales": (["Cierra con oferta", "Cierra con pregunta", "Cierra en bucle", "Cierra con reseña", "Cierra con {p}"], ["y texto", "y voz"]),
 }
+# Concept, headline, colours, style, layout.
 THUMBNAILS = [
-    ("Reacción", "¿De verdad?", ["#FFD400", "#111111", "#FFFFFF"]), ("Antes y después", "Día 1 y día {n}", ["#F87171", "#34D399", "#FFFFFF"]),
-    ("Precio", "${m} o ${lo}", ["#F87171", "#34D399", "#0B0B12"]), ("Prohibido", "No lo compres", ["#FBBF24", "#111111", "#FFFFFF"]),
-    ("Momento clave", "Espera a {wow}", ["#EF4444", "#FFFFFF", "#22D3EE"]), ("Ventas", "{n}.000 vendidos", ["#22D3EE", "#FFD400", "#0B0B12"]),
+    ("Reacción", "¿Lo viste?", ["#1D4ED8", "#F8FAFC", "#FB7185"], "Ceja levantada, fondo liso", "Rostro a la izquierda, {p} en la mano"),
+    ("Antes y después", "Semana {n}", ["#065F46", "#FDE68A", "#0F172A"], "Diagonal que parte la imagen", "Arriba lo de antes, abajo lo de ahora"),
+    ("Precio", "De ${m} a ${lo}", ["#7C2D12", "#FFEDD5", "#15803D"], "Etiqueta de mercadillo", "Cifra grande y {p} debajo"),
+    ("Prohibido", "Antes de pagar, mira", ["#4C1D95", "#FAFAF9", "#F97316"], "Sello de tinta", "Texto cruzado sobre {p}"),
+    ("Momento clave", "Justo aquí: {wow}", ["#0E7490", "#ECFEFF", "#BE123C"], "Instante detenido", "Detalle ampliado en un círculo"),
+    ("Ventas", "{n}.000 en casa", ["#3F6212", "#F7FEE7", "#A16207"], "Contador mecánico", "Números arriba, {p} en fila"),
 ]
 # Search links; {q} is the encoded product, {qcat} the encoded first word of the category.
 LINKS = [
@@ -150,16 +206,23 @@ LINKS = [
     ("Google", "Tendencias", "https://trends.google.com/trends/explore?q={qcat}"),
     ("AliExpress", "Más vendidos", "https://www.aliexpress.com/wholesale?SearchText={q}&SortType=total_tranpro_desc"),
 ]
-SALES_ANGLES = [("Solución al problema", "Alivio"), ("Descubrimiento / secreto", "Curiosidad"), ("Antes vs. Después", "Deseo"),
-                ("Ahorro inteligente", "Estatus"), ("Prueba social masiva", "Pertenencia"), ("Urgencia de temporada", "Miedo a perder")]
-OBJECTIONS = [("¿Será de buena calidad?", "Enséñalo en uso"), ("¿Servirá en mi caso?", "Muestra a {auds}"), ("Lo vi más barato", "Vende certeza"),
-              ("Ahora no", "Calcula lo que cuesta esperar a {p}"), ("No conozco la tienda", "Reseñas y políticas"), ("Tardará", "Plazos claros")]
-DIFFERENTIATORS = ["{p} se demuestra en segundos", "{cat} tiene demanda", "Buen margen", "Varias audiencias: {auds}", "Vale como regalo"]
-FAQ = [("¿Cuándo llega?", "Entre 5 y 12 días hábiles"), ("¿Puedo devolverlo?", "Sí, durante 30 días"), ("¿Es difícil?", "{p} viene listo"),
-       ("¿Es para mí?", "Pensado para {auds}"), ("¿Es seguro pagar?", "Pago cifrado"), ("¿Hay descuento?", "30% en la segunda unidad")]
-LANDING_CTAS = ["Lo quiero con descuento", "Comprar con garantía", "Resolverlo hoy", "Reservar el mío", "Probar 30 días"]
-COMPARISON = [("Resultado", "Inmediato", "Lento"), ("Precio", "{price}", "Mucho más"), ("Uso", "Fácil", "Complejo"),
-              ("Garantía", "30 días", "Dudosa"), ("Envío", "Con seguimiento", "Depende")]
+#: So many angles and objections are drawn for a product.
+SHOWN = 6
+DRAWN_GROUPS = ["angles", "objections"]
+# Name, emotion, big idea.
+SALES_ANGLES = [("Minutos devueltos", "Calma", "{b0}: el reloj trabaja para {auds}"), ("Oficio en casa", "Orgullo", "Manos propias y {p}"),
+                ("Regalo con historia", "Ternura", "Alguien de {auds} lo abre y sonríe"), ("Cuentas claras", "Control", "{price} repartidos en un año"),
+                ("Menos trastos", "Ligereza", "{p} ocupa el sitio de tres cosas"), ("Prueba a ciegas", "Sorpresa", "Sin marca a la vista: {wow}"),
+                ("Temporada corta", "Ilusión", "Lo que {cat} pide este mes"), ("Voz de barrio", "Confianza", "Lo cuenta quien vive en {env}")]
+OBJECTIONS = [("Tengo algo parecido", "Ponlos juntos sobre la mesa"), ("No sé si cabrá", "Medidas con una moneda al lado"), ("Suena a moda", "Enseña {p} tras un año"),
+              ("Me da pereza aprender", "Manual de una línea: {b0}"), ("¿Y si se rompe?", "Recambios y quien los cambia"), ("Mi pareja dirá que no", "Que {auds} lo prueben antes"),
+              ("Prefiero la tienda", "Recogida cerca de casa"), ("Lo dejo para luego", "Guardar el precio una semana")]
+DIFFERENTIATORS = ["{p} cabe en un cajón", "Se explica con un gesto: {demo}", "{b0} desde el primer uso", "Lo comparten {auds}", "Recambios sueltos"]
+FAQ = [("¿De qué está hecho?", "De lo que se ve: abre {p} y compruébalo"), ("¿Hace ruido?", "Menos que una conversación"), ("¿Cómo se limpia?", "Con un paño y agua tibia"),
+       ("¿Se puede llevar de viaje?", "Cabe en equipaje de mano"), ("¿Quién responde si falla?", "Una persona, por correo, en dos días"), ("¿Trae repuesto?", "Uno dentro de la caja")]
+LANDING_CTAS = ["Ver {p} por dentro", "Reservar a {price}", "Hablar con el taller", "Recibir las medidas", "Elegir color"]
+COMPARISON = [("Montaje", "Dos piezas", "Caja de herramientas"), ("Espacio", "Un cajón", "Media estantería"), ("Ruido", "Apenas", "Se oye en el pasillo"),
+              ("Arreglo", "Pieza suelta", "Comprar otro"), ("Coste al año", "{price}", "Cuotas")]
 REVIEW_NAMES = ["Ana B.", "Luis C.", "Marta D.", "Hugo E.", "Sara F.", "Iván G.", "Nora H.", "Raúl I."]
 REVIEW_TEXTS = ["Me sorprendió: {benefit}", "Lo uso a diario, {desire}", "Tal como en el video", "Lo he recomendado"]
 GROWTH = ["Publica a diario", "Prueba ocho ganchos", "Responde con video", "Amplifica lo que supere el 10%", "Guarda las objeciones"]
@@ -184,8 +247,8 @@ class _Module:
 
 def _intelligence() -> list:
     m = _Module("intelligence")
-    for name, emotion in SALES_ANGLES:
-        m.add("angles", name, "Ángulo de {p}: " + name.lower(), emotion, emotion=emotion)
+    for name, emotion, idea in SALES_ANGLES:
+        m.add("angles", name, "Ángulo de {p}: " + name.lower(), emotion, emotion=emotion, idea=idea)
     for q, a in OBJECTIONS:
         m.add("objections", q, a)
     for d in DIFFERENTIATORS:
@@ -203,8 +266,8 @@ def _hooks() -> list:
 
 def _ads() -> list:
     m = _Module("ads")
-    for (fmt, platform), text in zip(AD_FORMATS, AD_TEXTS):
-        m.add(platform, f"{platform} · {fmt}", text, "{p} — {b0}", format=fmt, platform=platform, cta="Comprar ahora")
+    for (fmt, platform), text, (description, cta, specs, notes) in zip(AD_FORMATS, AD_TEXTS, AD_NOTES, strict=True):
+        m.add(platform, f"{platform} · {fmt}", text, "{p} — {b0}", format=fmt, platform=platform, cta=cta, description=description, specs=specs, notes=notes)
     return m.rows
 
 
@@ -228,25 +291,28 @@ def _visual() -> list:
     sets = [("Storyboard A", ["Gesto de cansancio: {pain}", "{person} descubre {p}", "Macro de {p}", "Resultado", "{person} sonríe", "{env} renovado"]),
             ("Storyboard B", ["Pantalla partida", "{n} minutos a mano", "{m} segundos con {p}", "{person} mira a cámara", "{p} por {price}"]),
             ("Storyboard C", ["Caja abierta", "{p} en la mano", "{person} lo prueba", "Sorpresa", "Veredicto de {person}"])]
-    for title, scenes in sets:
+    for (title, scenes), concept in zip(sets, STORY_CONCEPTS, strict=True):
         for i, scene in enumerate(scenes, start=1):
-            m.add(title, title, scene, "Escena {p}", (10, 25, 8, 40), n=i, duration=f"{2 + i % 3}s")
+            at = lambda values: values[(i + len(scenes)) % len(values)]
+            m.add(title, title, scene, "Escena {p}", (10, 25, 8, 40), n=i, duration=f"{2 + i % 3}s", concept=concept, subject="{person}" if i % 2 else "{p}",
+                  shot=at(SHOTS), expression=at(EXPRESSIONS), light=at(LIGHTS), movement=at(MOVES), audio=at(SOUNDS))
     return m.rows
 
 
-def _prompts(module: str, tools, styles) -> list:
+def _prompts(module: str, tools, styles, settings) -> list:
     m = _Module(module)
-    for tool, n in tools:
+    for (tool, n), (sentence, meta) in zip(tools, settings, strict=True):
         for i in range(n):
             style = styles[i]
-            m.add(tool, f"{style.capitalize()} {i + 1}", f"{{p}} ({{cat}}), {style}, en {{env}}", "{wow}", tool=tool)
+            m.add(tool, f"{style.capitalize()} {i + 1}", sentence.replace("*", style), "{wow}", tool=tool, meta=meta)
     return m.rows
 
 
 def _ugc() -> list:
     m = _Module("ugc")
-    for persona, emoji in PERSONAS:
-        m.add(persona, f"{persona}: {{n}} semanas con {{p}}", "Vivía {pain}. Con {p}: {b0}. También {b1}.", "{b0}", (2, 8, 15, 45), emoji=emoji)
+    for (persona, emoji), (profile, tone, setting, wardrobe) in zip(PERSONAS, PERSONA_NOTES, strict=True):
+        m.add(persona, f"{persona}: {{n}} semanas con {{p}}", "Vivía {pain}. Con {p}: {b0}. También {b1}.", "{b0}", (2, 8, 15, 45), emoji=emoji,
+              profile=profile, tone=tone, setting=setting, wardrobe=wardrobe)
     return m.rows
 
 
@@ -270,8 +336,8 @@ def _landing() -> list:
 
 def _offers() -> list:
     m = _Module("offers")
-    for kind in OFFER_TYPES:
-        m.add(kind, kind, "{p}: {offer}", "{price}")
+    for kind, (name, structure, example, best) in zip(OFFER_TYPES, OFFER_NOTES, strict=True):
+        m.add(kind, kind, "{p}: {offer}", "{price}", name=name, structure=structure, example=example, best_for=best)
     return m.rows
 
 
@@ -279,7 +345,7 @@ def _planner() -> list:
     m = _Module("planner")
     for week, goal, items in PLAN_PHASES:
         for count, kind, priority, platform in items:
-            m.add(week, kind, goal, "", count=count, priority=priority, platform=platform)
+            m.add(week, kind, goal, "", count=count, priority=priority, platform=platform, notes=PLAN_NOTES[priority])
     return m.rows
 
 
@@ -294,15 +360,16 @@ def _abtests() -> list:
 
 def _thumbnails() -> list:
     m = _Module("thumbnails")
-    for concept, headline, colors in THUMBNAILS:
-        m.add(concept, concept, headline, "Miniatura de {p}", (10, 60, 150, 400), colors=",".join(colors))
+    for concept, headline, colors, style, layout in THUMBNAILS:
+        m.add(concept, concept, headline, "Miniatura de {p}", (10, 60, 150, 400), colors=",".join(colors), style=style, layout=layout,
+              prompt=f"Miniatura 1280x720 de {{p}} en {{env}}; {style.lower()}")
     return m.rows
 
 
 def _library() -> list:
     m = _Module("library")
     for platform, name, url in LINKS:
-        m.add(platform, name, url, "", platform=platform)
+        m.add(platform, name, url, "", platform=platform, note=f"Buscar {{p}} en {platform} y anotar qué se repite")
     return m.rows
 
 
@@ -315,8 +382,8 @@ def _growth() -> list:
 
 BUILTIN = {
     "intelligence": _intelligence(), "hooks": _hooks(), "ads": _ads(), "scripts": _scripts(), "beats": _beats(),
-    "visual": _visual(), "imageprompts": _prompts("imageprompts", TOOLS_IMAGE, IMAGE_STYLES),
-    "videoprompts": _prompts("videoprompts", TOOLS_VIDEO, VIDEO_STYLES), "ugc": _ugc(), "landing": _landing(),
+    "visual": _visual(), "imageprompts": _prompts("imageprompts", TOOLS_IMAGE, IMAGE_STYLES, IMAGE_SETTINGS),
+    "videoprompts": _prompts("videoprompts", TOOLS_VIDEO, VIDEO_STYLES, VIDEO_SETTINGS), "ugc": _ugc(), "landing": _landing(),
     "offers": _offers(), "planner": _planner(), "abtesting": _abtests(), "thumbnails": _thumbnails(),
     "library": _library(), "viral": _growth(),
 }

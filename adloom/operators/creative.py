@@ -1,13 +1,17 @@
 """Bulk template expansion: products x templates to creative items.
 
-Templates are literal arrays, so the long form is one narrow stage (explode and replace) and the
-nested form needs no exchange at all. Every pick depends on (seed, module, position) only.
+Templates are compiled to literals and slots when a plan is built. The values that a product gives to slots are put into one
+array of lists per product row; a slot names its list, and a drawn one the word of the item's digest that picks from it. So filling is a
+concatenation: no text is searched, nothing is drawn where nothing is drawn from, and no digest is made for such items.
+Templates are literal arrays, so the long form is one narrow stage and the nested form needs no exchange at all. Every pick
+depends on (seed, module, position) only.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,39 +23,13 @@ from adloom.functions.seeded import digest, draw, int_between, pick, sampled
 from adloom.functions.text import initcap_first
 from adloom.knowledge import templates
 
-SEPARATOR = "\x01"
-FIELDS = ("module: string, item_group: string, as_module: string, as_group: string, ord: int, body: string, lo: int, hi: int, lo2: int, hi2: int, "
-          "attrs: map<string,string>")
-
-
-def slots_in(rows: list[dict]) -> list[str]:
-    """Slots of a module in filling order."""
-    used = set(re.findall(r"\{(\w+)\}", " ".join(_body(r) for r in rows)))
-    return [s for s in SLOTS if s in used]
-
-
-def _body(row: dict) -> str:
-    text = SEPARATOR.join([row["title"], row["text"], row["detail"]])
-    # An opening line brings its own slots.
-    return text + ("{pain}{p}" if "{anglehook}" in text else "")
-
-
-def template_array(rows: list[dict], used: list[str] | None = None) -> Column:
-    """Literal array of template structs (folded once by the optimizer).
-
-    Each slot in use has a flag, so that a template pays only for the slots it holds. ``as_module`` and
-    ``as_group`` are the names in the output; ``module`` and ``ord`` identify the template for draws.
-    """
-    used = slots_in(rows) if used is None else used
-
-    def compiled(r: dict) -> dict:
-        keep = {k: r[k] for k in ("module", "item_group", "ord", "lo", "hi", "lo2", "hi2", "attrs")}
-        flags = {f"has_{s}": f"{{{s}}}" in _body(r) for s in used}
-        shown = {"as_module": r["module"], "as_group": r["item_group"]}
-        return keep | shown | {"body": SEPARATOR.join([r["title"], r["text"], r["detail"]])} | flags
-
-    ddl = ", ".join([FIELDS] + [f"has_{s}: boolean" for s in used])
-    return F.from_json(F.lit(json.dumps([compiled(r) for r in rows], ensure_ascii=False)), f"array<struct<{ddl}>>")
+SLOT = re.compile(r"\{(\w+)\}")
+PARTS = ("title", "text", "detail")
+IDENTITY = ("module", "item_group", "ord", "lo", "hi", "lo2", "hi2")
+FIELDS = ("module: string, item_group: string, as_module: string, as_group: string, ord: int, lo: int, hi: int, lo2: int, hi2: int, "
+          "attrs: map<string,string>, drawn: boolean")
+#: A text: ``lit`` where it has no slot, else its literals, each with the slot after it.
+TEXT = "struct<lit: string, segs: array<struct<lit: string, kind: int, word: int>>>"
 
 
 def angle_hook(angle: Column, number: Column) -> Column:
@@ -68,114 +46,192 @@ def offer_text(kind: Column, price: Column) -> Column:
     return F.concat_ws(" / ", amount(offer["price"]), amount(offer["value"]))
 
 
-# Value of each slot from the template t and the item digest h; product values are columns of the row.
-SLOTS = {
-    "anglehook": lambda t, h: angle_hook(t["attrs"]["angle"], draw(h, 3)),
-    "hook": lambda t, h: hook_text(draw(h, 2)),
-    "pain": lambda t, h: pick(draw(h, 0), F.col("pains")),
-    "fear": lambda t, h: pick(draw(h, 0), F.col("fears")),
-    "desire": lambda t, h: pick(draw(h, 1), F.col("desires")),
-    "aud": lambda t, h: pick(draw(h, 2), F.col("auds")),
-    "benefit": lambda t, h: F.lower(pick(draw(h, 1), F.col("b"))),
-    "secondary": lambda t, h: F.lower(pick(draw(h, 1), F.col("secondary_problems"))),
-    "n": lambda t, h: int_between(draw(h, 2), t["lo"], t["hi"]).cast("string"),
-    "m": lambda t, h: int_between(draw(h, 3), t["lo2"], t["hi2"]).cast("string"),
-    "cta": lambda t, h: pick(draw(h, 1), F.array(*[F.lit(x) for x in templates.CTAS])),
-    "offer": lambda t, h: offer_text(t["item_group"], F.col("recommended_price")),
-    "opening": lambda t, h: initcap_first(F.col("desire0")),
-    "auds": lambda t, h: F.array_join("auds", ", "),
-    "lo": lambda t, h: F.col("price_lo").cast("string"),
-    **{slot: (lambda column: lambda t, h: F.col(column))(column) for slot, column in {
+# Values of a product: a list of one, or a list and the word of the digest that picks from it.
+FIXED = {
+    **{slot: (lambda column: lambda: F.array(F.col(column)))(column) for slot, column in {
         "p": "p", "cat": "cat", "env": "environment", "demo": "demo_action", "wow": "wow_moment", "problem": "problem",
         "price": "price_text", "person": "person", "q": "q", "qcat": "qcat"}.items()},
-    **{f"b{i}": (lambda i: lambda t, h: F.element_at("b", F.lit(i) % F.size("b") + 1))(i) for i in range(5)},
-    **{f"review{i}": (lambda i: lambda t, h: F.element_at("reviewers", i + 1))(i) for i in range(4)},
+    "opening": lambda: F.array(initcap_first(F.col("desire0"))), "auds": lambda: F.array(F.array_join("auds", ", ")), "lo": lambda: F.array(F.col("price_lo").cast("string")),
+    **{f"b{i}": (lambda i: lambda: F.array(F.element_at("b", F.lit(i) % F.size("b") + 1)))(i) for i in range(5)},
+    **{f"review{i}": (lambda i: lambda: F.array(F.element_at("reviewers", i + 1)))(i) for i in range(4)},
 }
+DRAWN = {
+    "pain": (lambda: F.col("pains"), 0), "fear": (lambda: F.col("fears"), 0), "desire": (lambda: F.col("desires"), 1), "aud": (lambda: F.col("auds"), 2),
+    "benefit": (lambda: F.transform("b", F.lower), 1), "secondary": (lambda: F.transform("secondary_problems", F.lower), 1),
+    "cta": (lambda: F.array(*[F.lit(x) for x in templates.CTAS]), 1),
+}
+#: Values that depend on the item itself.
+OWN = {"n": -1, "m": -2, "offer": -3, "hook": -4}
+
+
+def variants(row: dict) -> list[dict]:
+    """The texts of a template by part; one variant for each opening line of its angle, where it has one."""
+    texts = {k: row[k] for k in PARTS} | {k: v for k, v in row["attrs"].items() if SLOT.search(v)}
+    if not any("{anglehook}" in v for v in texts.values()):
+        return [texts]
+    lines = templates.ANGLE_HOOKS.get(row["attrs"].get("angle"), next(iter(templates.ANGLE_HOOKS.values())))
+    return [{k: v.replace("{anglehook}", line) for k, v in texts.items()} for line in lines]
+
+
+class Filler:
+    """Compiled form of a set of template rows. ``lists`` fixes the order of the product's lists where several sets share them."""
+
+    def __init__(self, rows: list[dict], lists: list[str] | None = None):
+        texts = [(k, v) for r in rows for one in variants(r) for k, v in one.items()]
+        used = {x for _, v in texts for x in SLOT.findall(v)}
+        hooks = templates.BUILTIN["hooks"] if "hook" in used else []
+        used |= {x for r in hooks for x in SLOT.findall(r["text"])}
+        self.lists = lists if lists is not None else [x for x in (*FIXED, *DRAWN) if x in used]
+        self.kinds: dict = defaultdict(set)
+        for part, text in texts:
+            self.kinds[part if part in PARTS else "more"] |= {self._kind(x) for x in SLOT.findall(text)}
+        self.hooks = Filler(hooks, self.lists) if hooks else None
+
+    def _kind(self, slot: str) -> int:
+        """At least 0: a list of the product; below 0: the item's own."""
+        return OWN[slot] if slot in OWN else self.lists.index(slot)
+
+    def text(self, text: str) -> dict:
+        pieces = SLOT.split(text)
+        if len(pieces) == 1:
+            return {"lit": text, "segs": None}
+        return {"lit": None, "segs": [
+            {"lit": lit, "kind": None if slot is None else self._kind(slot), "word": DRAWN[slot][1] if slot in DRAWN else -1}
+            for lit, slot in zip(pieces[::2], [*pieces[1::2], None]) if lit or slot is not None]}
+
+    def literal(self, rows: list[dict]) -> Column:
+        """Array of template structs (folded once by the optimizer). ``as_module`` and ``as_group`` are the names in the output; ``module`` and ``ord`` identify the template for draws."""
+        def compiled(r: dict) -> dict:
+            forms = variants(r)
+            slots = {x for one in forms for v in one.values() for x in SLOT.findall(v)}
+            shown = {"as_module": r.get("as_module", r["module"]), "as_group": r.get("as_group", r["item_group"]), "attrs": {k: v for k, v in r["attrs"].items() if k not in forms[0]}}
+            drawn = len(forms) > 1 or bool(slots & (set(DRAWN) | set(OWN) - {"offer"}))
+            more = lambda one: [{"key": k, "text": self.text(v)} for k, v in one.items() if k not in PARTS]
+            return {k: r[k] for k in IDENTITY} | shown | {"drawn": drawn, "v": [{k: self.text(one[k]) for k in PARTS} | {"more": more(one)} for one in forms]}
+
+        ddl = f"{FIELDS}, v: array<struct<{', '.join(f'{p}: {TEXT}' for p in PARTS)}, more: array<struct<key: string, text: {TEXT}>>>>"
+        return F.from_json(F.lit(json.dumps([compiled(r) for r in rows], ensure_ascii=False)), f"array<struct<{ddl}>>")
+
+    def values(self) -> Column:
+        """The product's lists, in the order that compiled slots refer to."""
+        lists = [FIXED[x]() if x in FIXED else DRAWN[x][0]() for x in self.lists]
+        return F.array(*lists) if lists else F.array().cast("array<array<string>>")
+
+    def _value(self, s: Column, kinds: set, t: Column, h: Column, lists: Column) -> Column:
+        out = F.when(s["kind"].isNull(), F.lit(""))
+        words = {-1: lambda: int_between(draw(h, 2), t["lo"], t["hi"]).cast("string"), -2: lambda: int_between(draw(h, 3), t["lo2"], t["hi2"]).cast("string"),
+                 -3: lambda: offer_text(t["item_group"], F.col("recommended_price")), -4: lambda: self.hook_text(draw(h, 2), lists)}
+        for kind in sorted(k for k in kinds if k < 0):
+            out = out.when(s["kind"] == kind, words[kind]())
+        own = {self.lists[k] for k in kinds if k >= 0}
+        if own & set(FIXED):
+            out = out.when(s["word"] < 0, F.get(F.get(lists, s["kind"]), F.lit(0)))
+        if own & set(DRAWN):
+            out = out.otherwise(pick(draw(h, s["word"]), F.get(lists, s["kind"])))
+        return out
+
+    def part(self, name: str, text: Column, t: Column, h: Column, lists: Column) -> Column:
+        """Filled text. A value that the product lacks leaves its slot empty."""
+        if not self.kinds[name]:
+            return text["lit"]
+        piece = lambda s: F.concat(s["lit"], F.coalesce(self._value(s, self.kinds[name], t, h, lists), F.lit("")))
+        return F.coalesce(text["lit"], F.array_join(F.transform(text["segs"], piece), ""))
+
+    def filled(self, v: Column, t: Column, h: Column, lists: Column) -> list[Column]:
+        """title, text, detail and attrs of one item."""
+        attrs = t["attrs"]
+        if self.kinds["more"]:
+            more = F.transform(v["more"], lambda m: F.struct(m["key"].alias("key"), self.part("more", m["text"], t, h, lists).alias("value")))
+            attrs = F.when(F.size(v["more"]) > 0, F.map_concat(attrs, F.map_from_entries(more))).otherwise(attrs)
+        return [*[self.part(p, v[p], t, h, lists).alias(p) for p in PARTS], attrs.alias("attrs")]
+
+    def hook_text(self, number: Column, lists: Column) -> Column:
+        """Text of one of the product's own hooks, chosen by number."""
+        hooks = self.hooks or self
+        return let(pick(number, hooks.literal(templates.BUILTIN["hooks"])),
+                   lambda t: let(item_digest(t), lambda h: hooks.part("text", F.get(t["v"], F.lit(0))["text"], t, h, lists)))
 
 
-def fill(t: Column, used: list[str], h: Column) -> Column:
-    """Body of one template with all slots replaced.
-
-    A template without a slot passes an empty search text, which ends the replacement at once, and no
-    value is drawn for it. The body occurs once per step, so the expression stays linear when the
-    optimizer moves it into a filter.
-    """
-    body = t["body"]
-    for slot in used:
-        has = t[f"has_{slot}"]
-        body = F.replace(body, F.when(has, F.lit(f"{{{slot}}}")).otherwise(""), F.when(has, SLOTS[slot](t, h)).otherwise(""))
-    return body
-
-
-def parts(body: Column) -> list[Column]:
-    """Title, text and detail of a filled body."""
-    at = lambda text, n: F.substring_index(text, SEPARATOR, n)
-    return [at(body, 1).alias("title"), at(at(body, 2), -1).alias("text"), at(body, -1).alias("detail")]
+def item_digest(t: Column) -> Column:
+    return digest(F.col("seed"), F.concat(t["module"], F.lit("|"), t["ord"].cast("string")))
 
 
-def hook_text(number: Column) -> Column:
-    """Text of one of the product's own hooks, chosen by number."""
-    rows = templates.BUILTIN["hooks"]
-    return let(pick(number, template_array(rows)), lambda t: parts(fill(t, slots_in(rows), item_digest(t)))[1])
+def _digest_if_drawn(t: Column) -> Column:
+    return F.when(t["drawn"], item_digest(t))
 
 
-def item_digest(t: Column) -> Column:
-    return digest(F.col("seed"), F.concat(t["module"], F.lit("|"), t["ord"].cast("string")))
+def _variant(t: Column, h: Column) -> Column:
+    """The form of a template: one of several opening lines is drawn."""
+    forms = F.size(t["v"])
+    return F.get(t["v"], F.when(forms > 1, F.pmod(draw(h, 3), forms)).otherwise(0).cast("int"))
 
 
 def expand_templates(enriched: DataFrame, module: str, rows: list[dict] | None = None) -> DataFrame:
     """Long form: one row per product and template of a module."""
     rows = rows or templates.BUILTIN[module]
-    return _expand(enriched, template_array(rows), slots_in(rows))
+    filler = Filler(rows)
+    return _expand(enriched, filler, filler.literal(rows))
+
+
+def _expand(enriched: DataFrame, filler: Filler, source: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    t, h, v = F.col("_t"), F.col("_h"), F.col("_v")
+    long = enriched.withColumn("_lists", filler.values()).withColumn("_t", F.explode(source)).withColumn("_h", _digest_if_drawn(t)).withColumn("_v", _variant(t, h))
+    return long.select("product_id", "campaign_id", *carry, t["as_module"].alias("module"), t["as_group"].alias("item_group"), t["ord"].alias("ord"),
+                       *filler.filled(v, t, h, F.col("_lists")))
 
 
-def _expand(enriched: DataFrame, source: Column, used: list[str]) -> DataFrame:
-    t, h = F.col("t"), F.col("h")
-    long = enriched.withColumn("t", F.explode(source)).withColumn("h", item_digest(t)).withColumn("f", fill(t, used, h))
-    return long.select(
-        "product_id", "campaign_id", t["as_module"].alias("module"), t["as_group"].alias("item_group"), t["ord"].alias("ord"),
-        *parts(F.col("f")), t["attrs"].alias("attrs"))
+def ab_hook_rows() -> list[dict]:
+    """The hooks as variants of the hook element."""
+    element, _, _, metric = templates.AB_ELEMENTS[0]
+    return [r | {"as_module": "abtesting", "as_group": element, "detail": metric} for r in templates.BUILTIN["hooks"]]
 
 
-def ab_hooks(used: list[str], k: int = 50) -> Column:
-    """Templates of k of the product's own hooks without repeats, shown as variants of the hook element."""
-    hooks = templates.BUILTIN["hooks"]
-    _, _, _, metric = templates.AB_ELEMENTS[0]
+def ab_hooks(filler: Filler, k: int = 50) -> Column:
+    """Templates of k of the product's own hooks without repeats, in drawn order."""
+    hooks = ab_hook_rows()
     ranked = F.array_sort(F.transform(
         F.sequence(F.lit(1), F.lit(len(hooks))),
         lambda i: F.struct(digest(F.col("seed"), F.concat(F.lit("abtesting|"), i.cast("string"))).alias("h"), i.alias("i"))))
-    chosen = F.transform(F.slice(ranked, 1, k), lambda s: F.element_at(template_array(hooks, used), s["i"]))
-    return F.transform(chosen, lambda t: t.withField("as_module", F.lit("abtesting")).withField("as_group", F.lit("Hooks"))
-                       .withField("body", F.concat(t["body"], F.lit(metric))))
+    return F.transform(F.slice(ranked, 1, k), lambda s: F.element_at(filler.literal(hooks), s["i"]))
 
 
 def ab_variants(enriched: DataFrame) -> DataFrame:
     return all_items(enriched, ["abtesting"])
 
 
+def drawn_order(seed: Column, group: str, items: Column, k: int) -> Column:
+    """k items of a nested module's group in drawn order."""
+    def drawn(own: Column) -> Column:
+        keyed = F.transform(own, lambda t, i: F.struct(digest(seed, F.concat(F.lit(f"{group}|"), t["ord"].cast("string"))).alias("h"), i.alias("i")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.get(own, s["i"]))
+
+    return let(F.filter(items, lambda t: t["item_group"] == group), drawn)
+
+
 def intelligence_lists(enriched: DataFrame) -> DataFrame:
-    """Problems, benefits, audiences, angles, objections and differentiators in drawn order."""
-    flat = expand_templates(enriched, "intelligence").drop("attrs")
-    lists = enriched.select(
-        "product_id", "campaign_id",
-        F.explode(F.create_map(
-            F.lit("secondary_problems"), sampled(F.col("seed"), "secondary", F.col("secondary_problems"), 4),
-            F.lit("benefits"), F.col("b"), F.lit("audiences"), F.transform("audiences", lambda a: a["name"]))).alias("item_group", "values"))
-    listed = lists.select("product_id", "campaign_id", F.lit("intelligence").alias("module"), "item_group",
-                          F.posexplode("values").alias("pos", "text")).select(
-        "product_id", "campaign_id", "module", "item_group", (F.col("pos") + 1).alias("ord"), F.lit("").alias("title"), "text",
-        F.lit("").alias("detail"))
-    return flat.unionByName(listed)
-
-
-def all_items(enriched: DataFrame, modules: list[str] | None = None) -> DataFrame:
-    """Every module of every product in one table, from one pass over the products."""
-    names = modules or [m for m in templates.BUILTIN if m != "intelligence"]
+    """Problems, benefits, angles and objections in drawn order; audiences and differentiators as they are."""
+    lists = enriched.select("product_id", "campaign_id", "seed", nested_module("intelligence").alias("items"), F.create_map(
+        F.lit("secondary_problems"), sampled(F.col("seed"), "secondary", F.col("secondary_problems"), 4),
+        F.lit("benefits"), F.col("b"), F.lit("audiences"), F.transform("audiences", lambda a: a["name"])).alias("plain"))
+    # Behind a generator, so that the module is filled once and not once per group.
+    once = lists.select("product_id", "campaign_id", "seed", "plain", F.explode(F.array("items")).alias("items"))
+    shown = lambda t, i: F.struct(t["item_group"].alias("item_group"), (i + 1).alias("ord"), *[t[p].alias(p) for p in PARTS], F.coalesce(t["attrs"]["idea"], F.lit("")).alias("idea"))
+    groups = [*[drawn_order(F.col("seed"), g, F.col("items"), templates.SHOWN) for g in templates.DRAWN_GROUPS],
+              F.filter("items", lambda t: ~t["item_group"].isin(templates.DRAWN_GROUPS))]
+    plain = F.flatten(F.transform(F.map_entries("plain"), lambda e: F.transform(e["value"], lambda x, i: F.struct(
+        e["key"].alias("item_group"), (i + 1).alias("ord"), F.lit("").alias("title"), x.alias("text"), F.lit("").alias("detail"), F.lit("").alias("idea")))))
+    rows = F.concat(*[F.transform(g, shown) for g in groups], plain)
+    return once.select("product_id", "campaign_id", F.lit("intelligence").alias("module"), F.inline(rows))
+
+
+def all_items(enriched: DataFrame, modules: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every module of every product in one table, from one pass over the products. Columns in ``carry`` stay with every item."""
+    names = modules or list(templates.BUILTIN)
     rows = [r for m in names for r in templates.BUILTIN[m]]
     with_hooks = "abtesting" in names
-    used = slots_in(rows + templates.BUILTIN["hooks"] if with_hooks else rows)
-    source = template_array(rows, used)
-    return _expand(enriched, F.concat(source, ab_hooks(used)) if with_hooks else source, used)
+    filler = Filler(rows + ab_hook_rows() if with_hooks else rows)
+    source = filler.literal(rows)
+    return _expand(enriched, filler, F.concat(source, ab_hooks(filler)) if with_hooks else source, carry)
 
 
 def angle_duration_grid(df: DataFrame) -> DataFrame:
@@ -200,11 +256,19 @@ def render_group(items: DataFrame, keys: list[str]) -> DataFrame:
 def nested_module(module: str) -> Column:
     """The module as an array of structs inside the product row; no rows are exploded or exchanged."""
     rows = templates.BUILTIN[module]
-    used = slots_in(rows)
+    filler = Filler(rows)
+    return _nested(filler, filler.literal(rows))
+
+
+def nested_ab_hooks() -> Column:
+    """The hook variants as an array of structs, in drawn order."""
+    filler = Filler(ab_hook_rows())
+    return _nested(filler, ab_hooks(filler))
+
 
-    def item(t: Column) -> Column:
-        return F.struct(t["item_group"].alias("item_group"), t["ord"].alias("ord"),
-                        let(let(item_digest(t), lambda h: fill(t, used, h)), lambda f: F.struct(*parts(f))).alias("f"), t["attrs"].alias("attrs"))
+def _nested(filler: Filler, source: Column) -> Column:
+    def item(t: Column, lists: Column) -> Column:
+        return let(_digest_if_drawn(t), lambda h: let(_variant(t, h), lambda v: F.struct(
+            t["as_group"].alias("item_group"), t["ord"].alias("ord"), *filler.filled(v, t, h, lists))))
 
-    return F.transform(F.transform(template_array(rows), item), lambda x: F.struct(
-        x["item_group"], x["ord"], x["f"]["title"].alias("title"), x["f"]["text"].alias("text"), x["f"]["detail"].alias("detail"), x["attrs"]))
+    return let(filler.values(), lambda lists: F.transform(source, lambda t: item(t, lists)))

@@ -13,9 +13,11 @@ def campaign_kpis(items: DataFrame) -> DataFrame:
     return items.groupBy("campaign_id").agg(*[F.count_if(F.col("module") == m).alias(f"n_{m}") for m in KPI_MODULES])
 
 
-def campaign_cards(kpis: DataFrame, campaigns: DataFrame) -> DataFrame:
-    cards = campaigns.join(kpis, "campaign_id")
-    return cards.select("campaign_id", "name", "created", "source_label", "score", "n_hooks", "n_scripts", "n_ads", "n_ugc")
+def campaign_cards(items: DataFrame) -> DataFrame:
+    """One card per campaign, from items that carry the campaign's own columns: no second pass over the catalog."""
+    own = ["name", "created", "source_label", "score"]
+    counts = [F.count_if(F.col("module") == m).alias(f"n_{m}") for m in ("hooks", "scripts", "ads", "ugc")]
+    return items.groupBy("campaign_id").agg(*[F.first(x).alias(x) for x in own], *counts)
 
 
 def group_counts(items: DataFrame) -> DataFrame:
@@ -30,9 +32,9 @@ def category_distribution(scored: DataFrame) -> DataFrame:
 
 
 def plan_workload(plan_items: DataFrame) -> DataFrame:
-    """Pieces to produce by phase and priority, with subtotals and the total."""
+    """Pieces to produce by phase, priority and platform, with subtotals and the total."""
     pieces = F.col("attrs")["count"].cast("int")
-    return plan_items.rollup(F.col("item_group").alias("phase"), F.col("attrs")["priority"].alias("priority")).agg(
+    return plan_items.rollup(F.col("item_group").alias("phase"), F.col("attrs")["priority"].alias("priority"), F.col("attrs")["platform"].alias("platform")).agg(
         F.sum(pieces).alias("pieces"), F.count("*").alias("lines"))
 
 

@@ -12,17 +12,11 @@ from adloom.functions.text import name_or_default, star_bar
 from adloom.functions.binding import let
 from adloom.knowledge import templates
 from adloom.operators.catalog import enrich
-from adloom.operators.creative import ab_hooks, fill, item_digest, nested_module, parts, slots_in
+from adloom.operators.creative import drawn_order, nested_ab_hooks, nested_module
 
 MODULES = [m for m in templates.BUILTIN if m not in ("intelligence", "viral")]
 
 
-def ab_hooks_nested() -> Column:
-    """Texts of the hook variants, in drawn order."""
-    used = slots_in(templates.BUILTIN["hooks"])
-    return F.transform(ab_hooks(used), lambda t: parts(fill(t, used, item_digest(t)))[1])
-
-
 def build_campaigns(products: DataFrame, created_at: Column, enriched: bool = False) -> DataFrame:
     """Campaign documents with every module."""
     c = F.col
@@ -34,12 +28,14 @@ def build_campaigns(products: DataFrame, created_at: Column, enriched: bool = Fa
     scaling = F.struct(scoring.scaling_level(c("saturation")).alias("level"), scoring.scaling_reason(c("saturation")).alias("reasoning"),
                        F.array(*map(F.lit, scoring.SCALING_CHANNELS)).alias("channels"))
     by_group = lambda g: F.filter("lists", lambda t: t["item_group"] == g)
-    lists = df.withColumn("lists", nested_module("intelligence"))
+    drawn = lambda g: drawn_order(c("seed"), g, c("lists"), templates.SHOWN)
+    # Behind a generator, so that the module is filled once and not once per list.
+    lists = df.withColumn("lists", F.explode(F.array(nested_module("intelligence"))))
     intelligence = F.struct(
         F.concat(c("problem"), F.lit(". "), c("p")).alias("problem"),
         sampled(c("seed"), "secondary", c("secondary_problems"), 4).alias("secondaryProblems"), c("b").alias("benefits"), "audiences",
-        F.transform(by_group("angles"), lambda t: F.struct(t["title"].alias("name"), t["detail"].alias("emotion"), t["text"].alias("description"))).alias("angles"),
-        F.transform(by_group("objections"), lambda t: F.struct(t["title"].alias("objection"), t["text"].alias("response"))).alias("objections"),
+        F.transform(drawn("angles"), lambda t: F.struct(t["title"].alias("name"), t["detail"].alias("emotion"), t["text"].alias("description"), t["attrs"]["idea"].alias("bigIdea"))).alias("angles"),
+        F.transform(drawn("objections"), lambda t: F.struct(t["title"].alias("objection"), t["text"].alias("response"))).alias("objections"),
         F.transform(by_group("differentiators"), lambda t: t["text"]).alias("differentiators"), pricing.alias("pricing"), scaling.alias("scaling"))
     score = F.struct(
         c("score").alias("total"), scoring.score_verdict(c("score")).alias("verdict"),
@@ -53,7 +49,7 @@ def build_campaigns(products: DataFrame, created_at: Column, enriched: bool = Fa
         F.struct(name_or_default(c("name")).alias("name"), "description", "source_url", source.alias("source_type"), "price", "audience_hint",
                  c("resolved_id").alias("category_id")).alias("input"),
         intelligence.alias("intelligence"), score.alias("score"), viral.alias("viral"),
-        *[nested_module(m).alias(m) for m in MODULES], ab_hooks_nested().alias("abhooks"))
+        *[nested_module(m).alias(m) for m in MODULES], nested_ab_hooks().alias("abhooks"))
 
 
 # ---- markdown --------------------------------------------------------------------------------
@@ -136,7 +132,7 @@ def campaign_markdown(campaigns: DataFrame) -> DataFrame:
     lines += [
         F.lit("\n## 13. Viral Predictor\n"), F.concat(F.lit("**Probabilidad: "), c("viral.probability"), F.lit("%** — "), c("viral.verdict")),
         _bullets(F.transform("viral.factors", lambda f: F.concat(F.lit("["), f["impact"], F.lit("] "), f["factor"]))), _bullets(c("viral.recommendations")),
-        F.lit("\n## 14. A/B Testing\n"), F.lit("### 🪝 Hooks"), _bullets(c("abhooks")), _items("abtesting", lambda t: t["text"], lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
+        F.lit("\n## 14. A/B Testing\n"), F.lit("### 🪝 Hooks"), _bullets(F.transform("abhooks", lambda t: t["text"])), _items("abtesting", lambda t: t["text"], lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
         F.lit("\n## 15. Creative Library (búsquedas)\n"), _items("library", lambda t: F.concat(F.lit("["), t["attrs"]["platform"], F.lit("] "), t["title"], F.lit(": "), t["text"])),
     ]
     if "competitor" in campaigns.columns:

@@ -12,7 +12,7 @@ from adloom.functions.text import ordinal_label, split_title
 from adloom.knowledge import templates
 from adloom.operators import catalog, creative, filters, overlay, reports, selection
 from adloom.operators.catalog import with_campaign_id
-from adloom.plans.campaigns import build_campaigns, campaign_markdown
+from adloom.plans.campaigns import MODULES, build_campaigns, campaign_markdown
 from adloom.queries.inputs import products
 from adloom.queries.registry import query
 from adloom.queries.text import LABEL_CASE, SOURCE_CASE
@@ -50,7 +50,7 @@ TEXT_COLUMNS = ["product_id", "campaign_id", "module", "item_group", "ord", "tit
 
 def hook_ctes() -> str:
     return S.with_ctes(*S.base_ctes(), S.template_cte("hooks", "hook_tpl"), S.filled_ctes("hook_tpl", "hook_filled"),
-                       "hooks AS (SELECT product_id, campaign_id, seed, ord, item_group, f[1] AS title, f[2] AS text, f[3] AS detail, attrs FROM hook_filled)")
+                       "hooks AS (SELECT product_id, campaign_id, seed, ord, item_group, f[1] AS title, f[2] AS text, f[3] AS detail, f[4] AS attrs FROM hook_filled)")
 
 
 AB_SQL = hook_ctes() + ",\n" + S.template_cte("abtesting", "ab_tpl") + ",\n" + S.filled_ctes("ab_tpl", "ab_filled").strip() + """,
@@ -68,9 +68,11 @@ def _(spark, sf):
 
 LISTS = S.with_ctes(*S.base_ctes(), S.template_cte("intelligence"), S.filled_ctes("tpl", "filled")) + f""",
 listed AS (SELECT product_id, campaign_id, 'secondary_problems' AS g, {S.sampled('seed', 'secondary', 'secondary_problems', 4)} AS v FROM enriched
-  UNION ALL SELECT product_id, campaign_id, 'benefits', b FROM enriched UNION ALL SELECT product_id, campaign_id, 'audiences', audience_names FROM enriched)
-SELECT product_id, campaign_id, module, item_group, ord, f[1] AS title, f[2] AS text, f[3] AS detail FROM filled
-UNION ALL SELECT product_id, campaign_id, 'intelligence', g, generate_subscripts(v, 1), '', unnest(v), '' FROM listed"""
+  UNION ALL SELECT product_id, campaign_id, 'benefits', b FROM enriched UNION ALL SELECT product_id, campaign_id, 'audiences', audience_names FROM enriched),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id, item_group ORDER BY CASE WHEN item_group IN {tuple(templates.DRAWN_GROUPS)} THEN md5(seed || '|' || item_group || '|' || ord::VARCHAR) END, ord) AS n FROM filled)
+SELECT product_id, campaign_id, module, item_group, n::INTEGER AS ord, f[1] AS title, f[2] AS text, f[3] AS detail, regexp_extract(f[4], 'idea=(.*)$', 1) AS idea FROM ranked
+WHERE n <= {templates.SHOWN} OR item_group NOT IN {tuple(templates.DRAWN_GROUPS)}
+UNION ALL SELECT product_id, campaign_id, 'intelligence', g, generate_subscripts(v, 1), '', unnest(v), '', '' FROM listed"""
 
 
 @query("generate_intelligence", LISTS)
@@ -121,37 +123,58 @@ def _(spark, sf):
         F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("links"))
 
 
-@query("group_counts", S.with_ctes(S.PRODUCTS) + ", t(module, item_group, k) AS (VALUES " + ", ".join(
-    f"({S.lit(m)}, {S.lit(g)}, {sum(r['item_group'] == g for r in rows)})" for m, rows in templates.BUILTIN.items() if m in ("hooks", "visual", "planner")
-    for g in dict.fromkeys(r["item_group"] for r in rows)) + ") SELECT module, item_group, (k * (SELECT count(*) FROM products))::BIGINT AS n FROM t")
+def all_items_sql(modules: list[str], select: str) -> str:
+    return S.with_ctes(*S.all_items_ctes(modules)) + "\n" + select
+
+
+def text_hash(*columns):
+    """Number of an item's texts, as in the check SQL."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\x01", *columns)), 1, 12), 16, 10).cast("bigint")
+
+
+def attrs_text(attrs):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+COUNTED = ["hooks", "visual", "planner"]
+
+
+@query("group_counts", all_items_sql(COUNTED, "SELECT module, item_group, count(*) AS n FROM items GROUP BY 1, 2"))
 def _(spark, sf):
-    return reports.group_counts(creative.all_items(enriched(spark, sf), ["hooks", "visual", "planner"]))
+    return reports.group_counts(creative.all_items(enriched(spark, sf), COUNTED))
 
 
-@query("all_items", S.with_ctes(S.PRODUCTS) + ", t(module, k) AS (VALUES " + ", ".join(
-    f"({S.lit(m)}, {len(rows) + (50 if m == 'abtesting' else 0)})" for m, rows in templates.BUILTIN.items() if m != "intelligence")
-    + ") SELECT module, (k * (SELECT count(*) FROM products))::BIGINT AS n FROM t")
+@query("all_items", all_items_sql(list(templates.BUILTIN), f"SELECT product_id, module, count(*) AS n, sum({S.ITEM_HASH})::BIGINT AS text_hash FROM items GROUP BY 1, 2"))
 def _(spark, sf):
-    return creative.all_items(enriched(spark, sf)).groupBy("module").agg(F.count("*").alias("n"))
+    """All texts of all modules; a number per product and module stands for them."""
+    items = creative.all_items(enriched(spark, sf))
+    texts = text_hash(F.col("ord").cast("string"), "item_group", "title", "text", "detail", attrs_text(F.col("attrs")))
+    return items.groupBy("product_id", "module").agg(F.count("*").alias("n"), F.sum(texts).alias("text_hash"))
 
 
-KPI_COUNTS = {"hooks": 116, "scripts": 36, "ads": 10, "ugc": 7, "imageprompts": 18, "videoprompts": 12, "offers": 7, "abtesting": 115}
 CAMPAIGN_SQL = "'cmp_' || sha256(concat_ws('|', product_id::VARCHAR, name, source_url)) AS campaign_id"
+KPI_MODULES = ["hooks", "scripts", "ads", "ugc", "imageprompts", "videoprompts", "offers", "abtesting"]
+
 
+def counts_sql(modules: list[str]) -> str:
+    return ", ".join(f"count(*) FILTER (WHERE module = '{m}') AS n_{m}" for m in modules)
 
-@query("campaign_kpis", S.products_sql(f"SELECT {CAMPAIGN_SQL}, " + ", ".join(f"{n}::BIGINT AS n_{m}" for m, n in KPI_COUNTS.items()) + " FROM products"))
+
+@query("campaign_kpis", all_items_sql(KPI_MODULES, f"SELECT campaign_id, {counts_sql(KPI_MODULES)} FROM items GROUP BY 1"))
 def _(spark, sf):
-    return reports.campaign_kpis(creative.all_items(enriched(spark, sf), list(KPI_COUNTS)))
+    return reports.campaign_kpis(creative.all_items(enriched(spark, sf), KPI_MODULES))
+
 
+CARD_MODULES = ["hooks", "scripts", "ads", "ugc"]
 
-@query("campaign_cards", S.scored_sql(f"""SELECT campaign_id, name, timestamp '2024-01-01' + to_days(product_id::INTEGER % 28) AS created,
-  {LABEL_CASE.format('(' + SOURCE_CASE + ')')} AS source_label, score, 116::BIGINT AS n_hooks, 36::BIGINT AS n_scripts, 10::BIGINT AS n_ads, 7::BIGINT AS n_ugc FROM scored"""))
+
+@query("campaign_cards", all_items_sql(CARD_MODULES, f"""SELECT i.*, name, timestamp '2024-01-01' + to_days(product_id::INTEGER % 28) AS created,
+  {LABEL_CASE.format('(' + SOURCE_CASE + ')')} AS source_label, score FROM scored JOIN (SELECT campaign_id, {counts_sql(CARD_MODULES)} FROM items GROUP BY 1) i USING (campaign_id)"""))
 def _(spark, sf):
-    e = enriched(spark, sf)
     created = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("product_id") % 28).cast("int"))
-    campaigns = e.select("campaign_id", "name", created.alias("created"), urls.source_label(urls.source_type(F.col("source_url"))).alias("source_label"), "score")
-    cards = reports.campaign_cards(reports.campaign_kpis(creative.all_items(e, ["hooks", "scripts", "ads", "ugc"])), campaigns)
-    return cards.orderBy(F.col("created").desc(), "campaign_id")
+    label = urls.source_label(urls.source_type(F.col("source_url")))
+    e = enriched(spark, sf).withColumns({"created": created, "source_label": label})
+    return reports.campaign_cards(creative.all_items(e, CARD_MODULES, ("name", "created", "source_label", "score"))).orderBy(F.col("created").desc(), "campaign_id")
 
 
 @query("distinct_in_order", S.items_sql("scripts", "SELECT item_group AS duration, min(ord)::INTEGER AS first_seen FROM items GROUP BY 1"))
@@ -165,8 +188,8 @@ def _(spark, sf):
     return creative.expand_templates(enriched(spark, sf), "library").select(F.col("item_group").alias("platform")).distinct()
 
 
-@query("plan_workload", S.items_sql("planner", r"""SELECT item_group AS phase, regexp_extract(attrs, 'priority=(\w+)', 1) AS priority,
-  sum(regexp_extract(attrs, 'count=(\d+)', 1)::INTEGER)::BIGINT AS pieces, count(*) AS lines FROM items GROUP BY ROLLUP (1, 2)"""))
+@query("plan_workload", S.items_sql("planner", r"""SELECT item_group AS phase, regexp_extract(attrs, 'priority=(\w+)', 1) AS priority, regexp_extract(attrs, 'platform=([^;]*)', 1) AS platform,
+  sum(regexp_extract(attrs, 'count=(\d+)', 1)::INTEGER)::BIGINT AS pieces, count(*) AS lines FROM items GROUP BY ROLLUP (1, 2, 3)"""))
 def _(spark, sf):
     return reports.plan_workload(creative.expand_templates(enriched(spark, sf), "planner"))
 
@@ -208,16 +231,31 @@ def _(spark, sf):
     return creative.render_group(creative.ab_variants(enriched(spark, sf)), ["product_id", "item_group"])
 
 
-@query("build_campaigns", S.scored_sql("SELECT product_id, campaign_id, score AS total, probability, 116 AS hooks, 216 AS beats, 50 AS ab_hooks, 28 AS landing, 7 AS benefits FROM scored"))
+CAMPAIGN_CTES = S.all_items_ctes(MODULES) + [f"""
+drawn AS (SELECT product_id, item_group, f[1] AS title, regexp_extract(f[4], 'idea=(.*)$', 1) AS idea, f[2] AS text,
+  row_number() OVER (PARTITION BY product_id, item_group ORDER BY md5(seed || '|' || item_group || '|' || ord::VARCHAR), ord) AS n FROM intel_filled WHERE item_group IN {tuple(templates.DRAWN_GROUPS)})""",
+    f"""lists AS (SELECT product_id, string_agg(title || ': ' || idea, '|' ORDER BY n) FILTER (WHERE item_group = 'angles') AS angles,
+  string_agg(title || ': ' || text, '|' ORDER BY n) FILTER (WHERE item_group = 'objections') AS objections FROM drawn WHERE n <= {templates.SHOWN} GROUP BY 1)"""]
+CAMPAIGN_CTES[-2:-2] = [S.template_cte("intelligence", "intel_tpl"), S.filled_ctes("intel_tpl", "intel_filled")]
+
+
+@query("build_campaigns", S.with_ctes(*CAMPAIGN_CTES) + f"""
+SELECT s.product_id, s.campaign_id, score AS total, probability, n, text_hash, angles, objections FROM scored s JOIN lists USING (product_id)
+JOIN (SELECT product_id, count(*) AS n, sum({S.ITEM_HASH})::BIGINT AS text_hash FROM items GROUP BY 1) i USING (product_id)""")
 def _(spark, sf):
+    """Whole documents; counts and a number of all texts stand for the modules."""
     c = F.col
     docs = build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp"))
-    return docs.select("product_id", "campaign_id", c("score.total").alias("total"), c("viral.probability").alias("probability"),
-                       F.size("hooks").alias("hooks"), F.size("beats").alias("beats"), F.size("abhooks").alias("ab_hooks"), F.size("landing").alias("landing"),
-                       F.size("intelligence.benefits").alias("benefits"))
+    items = F.concat(*MODULES, "abhooks")
+    texts = F.transform(items, lambda t: text_hash(t["ord"].cast("string"), t["item_group"], t["title"], t["text"], t["detail"], attrs_text(t["attrs"])))
+    pairs = lambda name, a, b: F.array_join(F.transform(c(f"intelligence.{name}"), lambda t: F.concat(t[a], F.lit(": "), t[b])), "|").alias(name)
+    return docs.select("product_id", "campaign_id", c("score.total").alias("total"), c("viral.probability").alias("probability"), F.size(items).cast("long").alias("n"),
+                       F.aggregate(texts, F.lit(0).cast("bigint"), lambda total, x: total + x).alias("text_hash"), pairs("angles", "name", "bigIdea"), pairs("objections", "objection", "response"))
 
 
-@query("campaign_json", S.scored_sql("""SELECT product_id, campaign_id, score AS total, round(recommended_price, 2) AS price, 116 AS hooks, 6 AS angles FROM scored"""))
+@query("campaign_json", S.with_ctes(*S.all_items_ctes(["hooks"])) + f"""
+SELECT product_id, campaign_id, score AS total, round(recommended_price, 2) AS price, hooks, {templates.SHOWN} AS angles
+FROM scored JOIN (SELECT product_id, string_agg(text, '|' ORDER BY ord) AS hooks FROM items GROUP BY 1) USING (product_id)""")
 def _(spark, sf):
     """Documents as JSON text, read back with their schema."""
     c = F.col
@@ -226,7 +264,7 @@ def _(spark, sf):
     kept = "campaign_id string, score struct<total: int>, hooks array<struct<text: string>>, intelligence struct<pricing: struct<recommended: string>, angles: array<struct<name: string>>>"
     back = stored.select("product_id", F.from_json("json", kept).alias("d"))
     return back.select("product_id", "d.campaign_id", c("d.score.total").alias("total"), parse_money(c("d.intelligence.pricing.recommended")).alias("price"),
-                       F.size("d.hooks").alias("hooks"), F.size("d.intelligence.angles").alias("angles"))
+                       F.array_join(F.transform("d.hooks", lambda h: h["text"]), "|").alias("hooks"), F.size("d.intelligence.angles").alias("angles"))
 
 
 @query("campaign_markdown")

@@ -176,9 +176,9 @@ def attrs_text(attrs: dict) -> str:
 
 
 def template_cte(module: str, name: str = "tpl") -> str:
-    rows = [(r["module"], r["item_group"], r["ord"], r["title"] + "\x01" + r["text"] + "\x01" + r["detail"], r["lo"], r["hi"], r["lo2"],
-             r["hi2"], attrs_text(r["attrs"]), r["attrs"].get("angle", "")) for r in templates.BUILTIN[module]]
-    return values(name, "module item_group ord raw lo hi lo2 hi2 attrs angle".split(), rows)
+    rows = [(r["module"], r["item_group"], r["ord"], "\x01".join([r["title"], r["text"], r["detail"], attrs_text(r["attrs"])]), r["lo"], r["hi"], r["lo2"],
+             r["hi2"], r["attrs"].get("angle", "")) for m in ([module] if isinstance(module, str) else module) for r in templates.BUILTIN[m]]
+    return values(name, "module item_group ord raw lo hi lo2 hi2 angle".split(), rows)
 
 
 ANGLE_CTE = values("angle_hooks", ["angle", "lines"], list(templates.ANGLE_HOOKS.items()))
@@ -226,10 +226,10 @@ def filled_ctes(tpl: str, out: str, hook: str | None = None) -> str:
     return f"""
 {out}_x AS (SELECT e.*, t.*, md5(seed || '|' || module || '|' || t.ord::VARCHAR) AS h FROM enriched e CROSS JOIN {tpl} t),
 {out}_b AS (SELECT x.*, {body} AS body FROM {out}_x x LEFT JOIN angle_hooks a ON a.angle = x.angle {join}),
-{out} AS (SELECT product_id, campaign_id, seed, module, item_group, ord, attrs, string_split({fill_expr('body')}, chr(1)) AS f FROM {out}_b)"""
+{out} AS (SELECT product_id, campaign_id, seed, module, item_group, ord, string_split({fill_expr('body')}, chr(1)) AS f FROM {out}_b)"""
 
 
-ITEM_COLUMNS = "product_id, campaign_id, module, item_group, ord, f[1] AS title, f[2] AS text, f[3] AS detail, attrs"
+ITEM_COLUMNS = "product_id, campaign_id, module, item_group, ord, f[1] AS title, f[2] AS text, f[3] AS detail, f[4] AS attrs"
 
 
 def base_ctes() -> list[str]:
@@ -239,7 +239,7 @@ def base_ctes() -> list[str]:
 def items_sql(module: str, select: str | None = None) -> str:
     parts = base_ctes()
     hook = None
-    if module == "ads":
+    if module == "ads" or "ads" in module:
         parts += [template_cte("hooks", "hook_tpl"), filled_ctes("hook_tpl", "hook_filled"),
                   "hook_items AS (SELECT product_id, ord, f[2] AS text FROM hook_filled)"]
         hook = "hook_items"
@@ -247,6 +247,21 @@ def items_sql(module: str, select: str | None = None) -> str:
     return with_ctes(*parts) + "\n" + (select or "SELECT * FROM items")
 
 
+def all_items_ctes(modules: list[str]) -> list[str]:
+    """CTEs that end in ``items``: all items of the modules, the drawn hook variants included."""
+    element, _, _, metric = templates.AB_ELEMENTS[0]
+    parts = base_ctes() + [template_cte("hooks", "hook_tpl"), filled_ctes("hook_tpl", "hook_filled"), "hook_items AS (SELECT product_id, ord, f[2] AS text FROM hook_filled)",
+                           template_cte(modules), filled_ctes("tpl", "filled", "hook_items" if "ads" in modules else None)]
+    drawn = f"""
+  UNION ALL SELECT product_id, campaign_id, 'abtesting', {lit(element)}, ord, f[1], f[2], {lit(metric)}, f[4] FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY md5(seed || '|abtesting|' || ord::VARCHAR)) AS n FROM hook_filled) WHERE n <= 50"""
+    return parts + [f"items AS (SELECT {ITEM_COLUMNS} FROM filled{drawn if 'abtesting' in modules else ''})"]
+
+
+#: Number of an item's texts; sums of it stand for all texts of a group.
+ITEM_HASH = "('0x' || substr(md5(concat_ws(chr(1), ord::VARCHAR, item_group, title, text, detail, attrs)), 1, 12))::BIGINT"
+
+
 def enriched_sql(select: str) -> str:
     return with_ctes(*base_ctes()) + "\n" + select
 
