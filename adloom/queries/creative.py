@@ -17,6 +17,9 @@ from adloom.queries.inputs import products
 from adloom.queries.registry import query
 from adloom.queries.text import LABEL_CASE, SOURCE_CASE
 from adloom.queries import sqlkit as S
+from adloom.session import shared_dir
+from adloom.sources.campaigns import read_campaigns_json
+from adloom.sources.documents import read_documents, write_documents
 from adloom.sources.static import static_table
 
 
@@ -267,6 +270,28 @@ def _(spark, sf):
                        F.array_join(F.transform("d.hooks", lambda h: h["text"]), "|").alias("hooks"), F.size("d.intelligence.angles").alias("angles"))
 
 
+@query("read_campaigns_json", S.scored_sql("""SELECT CASE WHEN product_id % 10 = 0 THEN 'corrupt' ELSE 'ok' END AS kind, CASE WHEN product_id % 10 <> 0 THEN product_id END AS product_id,
+  CASE WHEN product_id % 10 <> 0 THEN score END AS total FROM scored"""))
+def _(spark, sf):
+    """Documents written as JSON lines, one in ten of them cut off, through the reader with its quarantine."""
+    folder = shared_dir(spark, "campaigns")
+    docs = catalog.score_products(products(spark, sf)).select("product_id", F.to_json(F.struct("product_id", "campaign_id", F.struct(F.col("score").alias("total")).alias("score"))).alias("value"))
+    docs.select(F.when(F.col("product_id") % 10 == 0, F.left("value", F.length("value") - 3)).otherwise(F.col("value")).alias("value")).write.text(f"{folder}/json")
+    good, bad = read_campaigns_json(spark, f"{folder}/json", "product_id long, campaign_id string, score struct<total: int>")
+    return good.select(F.lit("ok").alias("kind"), "product_id", "score.total").unionByName(
+        bad.select(F.lit("corrupt").alias("kind"), F.lit(None).cast("long").alias("product_id"), F.lit(None).cast("int").alias("total")))
+
+
+@query("document_files", S.items_sql("ads", "SELECT lpad((product_id % 16)::VARCHAR, 2, '0') AS folder, campaign_id AS name, string_agg(ord || '. ' || text, chr(10) ORDER BY ord) AS text FROM items GROUP BY 1, 2"))
+def _(spark, sf):
+    """The ads of each campaign in a file of its own, written by the sink and read back."""
+    folder = shared_dir(spark, "documents")
+    place = F.lpad((F.col("product_id") % 16).cast("string"), 2, "0")
+    blocks = creative.render_group(creative.expand_templates(enriched(spark, sf), "ads").withColumn("folder", place), ["folder", "campaign_id"])
+    write_documents(blocks.select("folder", F.col("campaign_id").alias("name"), F.col("block").alias("text")), f"{folder}/ads", ".md")
+    return read_documents(spark, f"{folder}/ads", ".md")
+
+
 @query("campaign_markdown")
 def _(spark, sf):
     docs = build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp"))
@@ -284,21 +309,28 @@ def overlays(spark, sf) -> DataFrame:
     doc = F.struct(
         F.when(k % 20 != 0, F.concat(F.lit("Problema de "), c("name"))).alias("problem"),
         F.when(k % 8 == 0, F.array().cast("array<string>")).otherwise(texts("uno ", "dos ")).alias("secondaryProblems"), texts("b1 ", "b2: ").alias("benefits"),
-        F.array(F.struct(F.lit("a").alias("name"), F.lit("d").alias("description"), texts("p ").alias("pains"))).alias("audiences"),
+        F.array(F.struct(F.lit("a").alias("name"), F.lit("d").alias("description"), F.when(k % 35 != 1, texts("p ")).alias("pains"))).alias("audiences"),
         F.array(F.struct(F.lit("n").alias("name"), F.lit("e").alias("emotion"), F.lit("d").alias("description"), F.lit("b").alias("bigIdea"))).alias("angles"),
         F.array(F.struct(F.lit("o").alias("objection"), F.lit("r").alias("response"))).alias("objections"), texts("x ").alias("differentiators"),
-        F.struct(F.lit("$1").alias("recommended"), F.lit("r").alias("range"), F.lit("s").alias("strategy"), F.lit("m").alias("marginNote")).alias("pricing"),
+        F.struct(F.lit("$1").alias("recommended"), F.lit("r").alias("range"), F.lit("s").alias("strategy"), F.lit("m").alias("marginNote"), F.when(k % 39 == 2, "EUR").alias("currency")).alias("pricing"),
         F.lit("veredicto").alias("scoreVerdict"), (k % 150 - 10).cast("int").alias("scoreTotal"),
         F.array(F.struct(F.lit("CURIOSIDAD").alias("category"), texts("h ").alias("items")), F.struct(F.lit("Nueva").alias("category"), texts("h ").alias("items"))).alias("hooks"),
         F.struct(F.concat(F.lit("Titular "), c("name")).alias("headline"), F.lit("s").alias("subheadline"), F.lit("g").alias("guarantee")).alias("landing"),
         F.array(persona("Una abuela", 0), persona("La mamá joven", 1), persona("Otra persona", 2)).alias("ugcScripts"))
     text = F.to_json(doc)
+    text = F.when(k % 41 == 3, F.regexp_replace(text, '"scoreTotal":(-?[0-9]+)', '"scoreTotal":"$1"')).otherwise(text)
     text = F.when(k % 28 == 0, F.left(text, F.length(text) - 5)).when(k % 44 == 0, F.concat(F.lit('{"extra":1,'), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
     text = F.when(k % 5 != 3, text)
     return with_campaign_id(row).select("product_id", "campaign_id", text.alias("json"))
 
 
-ERROR_SQL = "CASE WHEN product_id % 5 = 3 THEN NULL WHEN product_id % 28 = 0 THEN 'malformed' WHEN product_id % 44 = 0 THEN 'unknown_field' WHEN product_id % 20 = 0 THEN 'missing_field' END"
+FAULTS_SQL = """CASE WHEN product_id % 5 = 3 THEN [] WHEN product_id % 28 = 0 THEN [{'path': '$', 'error': 'malformed'}] ELSE list_concat(
+  CASE WHEN product_id % 44 = 0 THEN [{'path': '$.extra', 'error': 'unknown_field'}] ELSE [] END, CASE WHEN product_id % 20 = 0 THEN [{'path': '$.problem', 'error': 'missing_field'}] ELSE [] END,
+  CASE WHEN product_id % 35 = 1 THEN [{'path': '$.audiences[0].pains', 'error': 'missing_field'}] ELSE [] END,
+  CASE WHEN product_id % 39 = 2 THEN [{'path': '$.pricing.currency', 'error': 'unknown_field'}] ELSE [] END,
+  CASE WHEN product_id % 41 = 3 THEN [{'path': '$.scoreTotal', 'error': 'wrong_type'}] ELSE [] END) END"""
+ERROR_SQL = """CASE WHEN product_id % 5 = 3 THEN NULL WHEN product_id % 28 = 0 THEN 'malformed' WHEN product_id % 44 = 0 OR product_id % 39 = 2 THEN 'unknown_field'
+  WHEN product_id % 20 = 0 OR product_id % 35 = 1 THEN 'missing_field' WHEN product_id % 41 = 3 THEN 'wrong_type' END"""
 USABLE_SQL = f"(product_id % 5 <> 3 AND {ERROR_SQL} IS NULL)"
 
 
@@ -308,6 +340,53 @@ def _(spark, sf):
     return overlay.parse_overlay(overlays(spark, sf)).select("product_id", "overlay_error", F.col("overlay.scoreTotal").alias("score_total"))
 
 
+@query("overlay_quarantine", S.products_sql(f"SELECT product_id, f.path, f.error FROM (SELECT product_id, unnest({FAULTS_SQL}) AS f FROM products)"))
+def _(spark, sf):
+    """Every wrong path of every refused document."""
+    return overlay.quarantine(overlay.parse_overlay(overlays(spark, sf)), "product_id")
+
+
+def by_overlay(new: str, old: str) -> str:
+    return f"CASE WHEN {USABLE_SQL} THEN {new} ELSE {old} END"
+
+
+PEOPLE_SQL = by_overlay("CASE ord WHEN 1 THEN 'gancho 1 ' || name || '/guion 1' WHEN 7 THEN 'gancho 0 ' || name || '/guion 0' WHEN 2 THEN 'gancho 1 ' || name || '/guion 1' "
+                        "WHEN 3 THEN 'gancho 2 ' || name || '/guion 2' ELSE title || '/' || text END", "title || '/' || text")
+DOCUMENTS = [*CAMPAIGN_CTES, """
+own AS (SELECT product_id, string_agg(item_group || ':' || regexp_extract(attrs, 'emoji=(.*)$', 1) || ':' || text, '|' ORDER BY ord) FILTER (WHERE module = 'hooks') AS hooks,
+  string_agg(text, '|' ORDER BY ord) FILTER (WHERE module = 'landing' AND item_group IN ('headline', 'subheadline', 'guarantee')) AS landing FROM items GROUP BY 1)""",
+             "people AS (SELECT i.product_id, string_agg(" + PEOPLE_SQL.replace("product_id %", "i.product_id %") + ", '|' ORDER BY ord) AS ugc FROM items i JOIN products p ON p.product_id = i.product_id WHERE module = 'ugc' GROUP BY 1)",
+             "plain AS (SELECT product_id, string_agg(f[2], '|' ORDER BY ord) AS differentiators FROM intel_filled WHERE item_group = 'differentiators' GROUP BY 1)"]
+
+
+@query("merge_documents", S.with_ctes(*DOCUMENTS) + f"""
+SELECT product_id, {by_overlay("'overlay'", "'local'")} AS generated_by, {by_overlay("'Problema de ' || name", "problem || '. ' || p")} AS problem,
+  {by_overlay("CASE WHEN product_id % 8 <> 0 THEN 'uno ' || name || '|dos ' || name ELSE array_to_string(second, '|') END", "array_to_string(second, '|')")} AS secondary,
+  {by_overlay("'b1 ' || name || '|b2: ' || name", "array_to_string(b, '|')")} AS benefits, {by_overlay("'a'", "array_to_string(audience_names, '|')")} AS audiences,
+  {by_overlay("'n: b'", "angles")} AS angles, {by_overlay("'o: r'", "objections")} AS objections, {by_overlay("'x ' || name", "differentiators")} AS differentiators,
+  {by_overlay("'$1/r/s/m'", "price_text || '/$' || price_lo || '–$' || price_hi || ' USD/Ancla $' || floor(price_hi * 1.6::DOUBLE + 0.5)::INTEGER || ', oferta ' || " + S.money("recommended_price") + " || '/Margen bruto objetivo: 65%'")} AS pricing,
+  {by_overlay("greatest(0, least(100, product_id % 150 - 10))", "score")}::INTEGER AS total, {by_overlay("'veredicto'", "''")} AS verdict,
+  {by_overlay("'CURIOSIDAD:🔍:h ' || name || '|Nueva:✨:h ' || name", "hooks")} AS hooks, {by_overlay("'Titular ' || name || '|s|g'", "landing")} AS landing, ugc
+FROM (SELECT *, {S.sampled('seed', 'secondary', 'secondary_problems', 4)} AS second FROM enriched) JOIN lists USING (product_id) JOIN own USING (product_id) JOIN people USING (product_id) JOIN plain USING (product_id)""")
+def _(spark, sf):
+    """All fields of a replacement document in the campaign document; the verdict is shown where it was replaced."""
+    c = F.col
+    usable, _ = overlay.split_overlays(overlay.parse_overlay(overlays(spark, sf)))
+    docs = overlay.merge_documents(build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp")), usable)
+    joined = lambda values, f=lambda x: x: F.array_join(F.transform(values, f), "|")
+    both = lambda a, b, sep: lambda t: F.concat(t[a], F.lit(sep), t[b])
+    i = lambda name: c(f"intelligence.{name}")
+    landing = F.filter("landing", lambda t: t["item_group"].isin("headline", "subheadline", "guarantee"))
+    price = F.concat_ws("/", *[i(f"pricing.{x}") for x in ("recommended", "range", "strategy", "marginNote")])
+    return docs.select(
+        "product_id", "generated_by", i("problem").alias("problem"), joined(i("secondaryProblems")).alias("secondary"), joined(i("benefits")).alias("benefits"),
+        joined(i("audiences"), lambda a: a["name"]).alias("audiences"), joined(i("angles"), both("name", "bigIdea", ": ")).alias("angles"),
+        joined(i("objections"), both("objection", "response", ": ")).alias("objections"), joined(i("differentiators")).alias("differentiators"), price.alias("pricing"),
+        c("score.total").alias("total"), F.when(c("generated_by") == "overlay", c("score.verdict")).otherwise("").alias("verdict"),
+        joined(c("hooks"), lambda t: F.concat_ws(":", t["item_group"], t["attrs"]["emoji"], t["text"])).alias("hooks"), joined(landing, lambda t: t["text"]).alias("landing"),
+        joined(c("ugc"), both("title", "text", "/")).alias("ugc"))
+
+
 @query("overlay_merge", S.enriched_sql(f"""SELECT product_id, CASE WHEN {USABLE_SQL} THEN 'overlay' ELSE 'local' END AS generated_by,
   CASE WHEN {USABLE_SQL} THEN 'Problema de ' || name ELSE problem END AS problem,
   CASE WHEN {USABLE_SQL} AND product_id % 8 <> 0 THEN 'uno ' || name || '|dos ' || name ELSE array_to_string(secondary_problems, '|') END AS secondary_problems,

@@ -9,6 +9,7 @@ from adloom.operators import filters
 from adloom.queries import sqlkit as S
 from adloom.queries.inputs import products, table
 from adloom.queries.registry import query
+from adloom.session import shared_dir
 from adloom.sources import products as source
 from adloom.sources.static import category_pains, kb_values, load_kb
 
@@ -35,9 +36,13 @@ guesses AS (
     lambda w: CASE WHEN length(w) > 2 THEN upper(w[1]) || w[2:] ELSE w END), ' ') END AS guess FROM cleaned)"""
 
 
-@query("read_products", S.products_sql("SELECT * FROM products"))
+@query("read_products", S.products_sql("SELECT *, '' AS source_type FROM products"))
 def _(spark, sf):
-    return source.trim_fields(products(spark, sf))
+    """The catalog as JSON lines with blanks around its texts, through the reader."""
+    folder = shared_dir(spark, "products")
+    raw = products(spark, sf).withColumns({"name": F.concat(F.lit("\t "), "name", F.lit("  ")), "source_type": F.lit("")})
+    raw.write.json(f"{folder}/json")
+    return source.read_products(spark, f"{folder}/json", "json")
 
 
 @query("valid_products", S.with_ctes(S.PRODUCTS, GUESS) + """

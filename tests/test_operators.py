@@ -8,9 +8,10 @@ from adloom.functions import numbers, scoring, text, urls
 from adloom.knowledge import rules as R
 from adloom.knowledge import templates
 from adloom.knowledge.categories import BUILTIN, RATINGS, load_categories
-from adloom.operators import catalog, classify, creative, diagnosis, ledger, mining, selection
+from adloom.operators import overlay, catalog, classify, creative, diagnosis, ledger, mining, selection
 from adloom.plans.campaigns import SECTIONS, build_campaigns, campaign_markdown
 from adloom.queries.inputs import products
+from adloom.sources.documents import read_documents, write_documents
 from adloom.sources.campaigns import read_campaigns_json, write_campaigns_json, write_markdown
 from adloom.sources.products import read_products, split_valid
 
@@ -226,7 +227,9 @@ def test_products_and_documents_round_trip(spark, sf, tmp_path):
     assert good.count() == 20 and bad.count() == 1
     marked = campaign_markdown(good)
     write_markdown(marked, str(tmp_path / "md"))
-    write_markdown(marked, str(tmp_path / "each"), folder_each=True)
+    write_markdown(marked, str(tmp_path / "each"), file_each=True)
+    files = read_documents(spark, str(tmp_path / "each"), ".md")
+    assert {r.text for r in files.collect()} == {r.markdown for r in marked.select("markdown").collect()} and files.count() == 20
     assert spark.read.json(str(tmp_path / "md")).count() == 20
     text_ = marked.first().markdown
     heads = [line for line in text_.split("\n") if line.startswith("## ")]
@@ -238,3 +241,58 @@ def test_competitor_section(spark, sf):
     docs = build_campaigns(products(spark, sf), F.lit("2024-03-05").cast("timestamp")).limit(1)
     found = F.struct(F.lit("u").alias("url"), F.lit("f").alias("framework"), F.array(F.lit("x")).alias("counter_moves"))
     assert "## 16. Análisis de competidor" in campaign_markdown(docs.withColumn("competitor", found)).first().markdown
+
+
+def test_document_sink_retries(spark, tmp_path):
+    """A task that fails midway and runs again leaves nothing but whole files; a failed job leaves no attempts."""
+    from adloom.sources.documents import DocumentWriter
+    root, text_ = str(tmp_path / "docs"), "línea\n" * 1000
+    rows = [("aa", f"d{i}", f"{i} {text_}") for i in range(20)]
+
+    def failing():
+        yield from rows[:7]
+        raise RuntimeError("lost")
+    writer = DocumentWriter(root, ".md")
+    with pytest.raises(RuntimeError):
+        writer.write(failing())
+    messages = [writer.write(iter(rows)), writer.write(iter(rows[3:5])), None]
+    assert (tmp_path / "docs" / "_temporary").exists()
+    writer.commit(messages)
+    names = sorted(str(p.relative_to(root)) for p in (tmp_path / "docs").rglob("*") if p.is_file())
+    assert names == sorted(["_SUCCESS", *[f"aa/d{i}.md" for i in range(20)]]) and (tmp_path / "docs" / "aa" / "d3.md").read_text() == rows[3][2]
+    with pytest.raises(RuntimeError):
+        writer.write(failing())
+    writer.abort([])
+    assert not (tmp_path / "docs" / "_temporary").exists()
+    df = spark.createDataFrame([("b/b", "ñ x", "uno"), ("c", "d", None)], "folder string, name string, text string")
+    write_documents(df, "file:" + str(tmp_path / "more"), ".md")
+    assert {tuple(r) for r in read_documents(spark, str(tmp_path / "more"), ".md").collect()} == {("b", "ñ x", "uno")}
+    assert (tmp_path / "more" / "c" / "d.md").read_text() == ""
+    with pytest.raises(Exception, match="document files have the columns"):
+        df.select("name", "text").write.format("document_files").mode("append").save(str(tmp_path / "x"))
+
+
+def test_overlay_faults_on_every_level(spark):
+    import json
+    good = {"problem": "p", "secondaryProblems": ["s"], "benefits": ["b"], "audiences": [{"name": "n", "description": "d", "pains": ["x"]}], "angles": [],
+            "objections": [{"objection": "o", "response": "r"}], "differentiators": [], "pricing": {"recommended": "1", "range": "2", "strategy": "3", "marginNote": "4"},
+            "scoreVerdict": "v", "scoreTotal": 7, "hooks": [{"category": "c", "items": ["i"]}], "landing": {"headline": "h", "subheadline": "s", "guarantee": "g"}, "ugcScripts": []}
+
+    def bad(**more):
+        return json.dumps(good | more)
+    cases = {
+        "a": (json.dumps(good), set()), "b": ("{", {("$", "malformed")}), "c": ("[1]", {("$", "wrong_type")}), "d": (bad(scoreTotal="7"), {("$.scoreTotal", "wrong_type")}),
+        "e": (bad(audiences=[good["audiences"][0], {"name": "n", "description": 3, "pains": "x", "age": 1}]),
+              {("$.audiences[1].description", "wrong_type"), ("$.audiences[1].pains", "wrong_type"), ("$.audiences[1].age", "unknown_field")}),
+        "f": (bad(pricing=None, more=1), {("$.pricing", "missing_field"), ("$.more", "unknown_field")}), "g": (None, set()), "h": (bad(hooks=[{"items": [1]}]), {
+            ("$.hooks[0].category", "missing_field"), ("$.hooks[0].items[0]", "wrong_type")})}
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "campaign_id string, json string")
+    parsed = overlay.parse_overlay(df)
+    found = {k: set() for k in cases}
+    for r in overlay.quarantine(parsed).collect():
+        found[r.campaign_id].add((r.path, r.error))
+    assert found == {k: v[1] for k, v in cases.items()}
+    rows = {r.campaign_id: r for r in parsed.collect()}
+    assert [k for k in cases if rows[k].overlay is not None] == ["a"] and rows["f"].overlay_error == "unknown_field" and rows["a"].overlay.asDict(True) == good
+    twice = parsed.filter("overlay IS NOT NULL").union(parsed.filter("overlay IS NOT NULL"))
+    assert overlay.one_each(twice).count() == 1
