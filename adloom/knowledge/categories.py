@@ -95,6 +95,21 @@ SEEDS = {
                 ""),
 }
 
+# Further keywords per category: things, rooms and verbs of its trade, in Spanish and English.
+MORE_KEYWORDS = {
+    "cocina": "cazuela rallador colador espatula tabla mortero exprimidor hervidor freidora cuchillo pelador molde bandeja especiero delantal whisk skillet ladle grater pantry baking oven spoon",
+    "hogar": "alfombra cortina jarron vela espejo zapatero tendedero escalera enchufe bombilla persiana edredon almohadon cesto repisa humidificador blanket candle vase carpet closet broom",
+    "belleza": "colonia perfume rizador plancha alisador peine esmalte lima tonico exfoliante rimel sombra colorete bruma jabon nailpolish mascara blush toner cleanser fragrance hairdryer",
+    "fitness": "kettlebell banda esterilla cuerda saltar barra disco guante rodillera tobillera pilates spinning zancada pulsometro bidon treadmill squat jumprope cardio stretch barbell gym",
+    "mascotas": "pecera jaula hamster canario conejo acuario arnes transportin comedero bebedero rascador cepillado veterinario pajaro tortuga doghouse birdcage catnip litter paws feeder hamsters",
+    "tecnologia": "router pantalla altavoz microfono proyector consola mando cable adaptador tableta portatil impresora sensor chip robot smartwatch headphones charger keyboard monitor speaker webcam",
+    "bebe": "sonajero gateo mordedor babero trona hamaca nana cambiador mochila lactancia termometro peluche andador mobil doudou crib rattle bottle nursery teether swaddle babywear",
+    "moda": "falda pantalon bufanda gorra cinturon calcetin sandalia bota abrigo chaqueta corbata pendiente anillo collarcito tirante scarf necklace earring dress belt handbag sunglasses",
+    "salud": "insomnio ansiedad faja ortesis plantilla inhalador tension glucosa balsamo infusion aromaterapia meditar acupuntura rodillo cervical posture therapy sleep herbal insole heating migraine",
+    "auto": "llanta freno bujia casco guantera retrovisor remolque aceite anticongelante limpiaparabrisas matricula maletero motor diesel garaje windshield helmet mirror engine carwash jack seatcover",
+    "oficina": "carpeta archivador pizarra subrayador calculadora atril reposapies lampara-flexo sobre tampon clip rotulador tarjetero perforadora monitorarm desk folder pencil whiteboard ergonomic printer marker",
+}
+
 SECONDARY_PATTERNS = [
     "{Task} roba más tiempo del previsto",
     "En {place} siempre acaba habiendo {nuisance}",
@@ -155,7 +170,7 @@ def _build(rating) -> Category:
     s = {"place": place, "task": task, "Task": task.capitalize(), "nuisance": nuisance, "goal": goal}
     each = lambda patterns: [_fill(p, s) for p in patterns]
     return Category(
-        id=cid, name=name, keywords=words.split(),
+        id=cid, name=name, keywords=words.split() + MORE_KEYWORDS.get(cid, "").split(),
         problem=f"{task.capitalize()} cuesta demasiado, y {nuisance} lo empeora",
         secondary_problems=each(SECONDARY_PATTERNS), benefits=each(BENEFIT_PATTERNS),
         desires=each(DESIRE_PATTERNS), fears=each(FEAR_PATTERNS),
@@ -187,7 +202,7 @@ def check_size(rows: list[Category]) -> None:
     if not rows or len(rows) > MAX_CATEGORIES:
         raise ValueError(f"a knowledge base needs 1..{MAX_CATEGORIES} categories, got {len(rows)}")
     if (n := sum(len(r.keywords) for r in rows)) > MAX_KEYWORDS:
-        raise ValueError(f"{n} keywords; above {MAX_KEYWORDS} use detect_category_by_grams with a keyword table")
+        raise ValueError(f"{n} keywords; above {MAX_KEYWORDS} use detect_category_by_automaton with a keyword table")
 
 
 def as_rows(rows: list[Category]) -> list[dict]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,59 @@ def detect_category(df: DataFrame, text: Column, categories: list[Category] = BU
     }).drop("_best")
 
 
+#: Characters of all keywords that an automaton is built of: it takes some hundred bytes for each in every Python worker.
+MAX_CHARACTERS = 5_000_000
+
+
+def _automaton(rows: list[tuple]) -> ahocorasick.Automaton:
+    """Automaton whose words hold (length, categories)."""
+    found: dict = {}
+    for category, keyword in rows:
+        found.setdefault(keyword, set()).add(category)
+    out = ahocorasick.Automaton()
+    for keyword, categories in found.items():
+        out.add_word(keyword, (keyword, tuple(categories)))
+    out.make_automaton()
+    return out
+
+
+def detect_category_by_automaton(df: DataFrame, text: Column, keywords: DataFrame | list[tuple], default_id: str) -> DataFrame:
+    """Add ``detected_id`` and ``detected_score`` for keywords (category_id, ord, keyword) of any number: each text is read once.
+
+    A multi-pattern automaton with goto and fail links steps once per character, however many keywords there are. It is built once
+    per Python worker from the broadcast keywords, whose total size is checked. Only the folded text goes to Python and only
+    (order, score) comes back; rows are neither exchanged nor multiplied.
+    """
+    if isinstance(keywords, DataFrame):
+        sizes = keywords.agg(F.sum(F.length("keyword")).alias("n")).first()
+        if (sizes["n"] or 0) > MAX_CHARACTERS:
+            raise ValueError(f"{sizes['n']} characters of keywords, more than {MAX_CHARACTERS}; use detect_category_by_grams")
+        keywords = [tuple(r) for r in keywords.select("category_id", "ord", "keyword").collect()]
+    elif (n := sum(len(k) for *_, k in keywords)) > MAX_CHARACTERS:
+        raise ValueError(f"{n} characters of keywords, more than {MAX_CHARACTERS}; use detect_category_by_grams")
+    ids = {o: i for i, o, _ in keywords}
+    shared = df.sparkSession.sparkContext.broadcast([(o, k) for _, o, k in keywords if k])
+    held: list = []
+
+    @F.pandas_udf("ord int, score int")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        if not held:
+            held.append(_automaton(shared.value) if shared.value else None)
+        rows = []
+        for t in texts:
+            totals: dict = {}
+            seen = {word for _, word in held[0].iter(t)} if t and held[0] else ()
+            for keyword, categories in seen:
+                for o in categories:
+                    totals[o] = totals.get(o, 0) + len(keyword)
+            rows.append(min(totals.items(), key=lambda x: (-x[1], x[0])) if totals else (None, 0))
+        return pd.DataFrame(rows, columns=["ord", "score"]).astype({"ord": "Int32", "score": "int32"})
+
+    names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]) if ids else F.create_map().cast("map<int,string>")
+    return df.withColumn("_best", best(fold_accents(text))).withColumns({
+        "detected_id": F.coalesce(F.try_element_at(names, F.col("_best.ord")), F.lit(default_id)), "detected_score": F.col("_best.score")}).drop("_best")
+
+
 def detect_category_by_grams(df: DataFrame, key: str, text: Column, keywords: DataFrame, lengths: list[int],
                              default_id: str, window: int = 256) -> DataFrame:
     """Same result for a keyword table (category_id, ord, keyword) of any size.
@@ -87,4 +142,5 @@ def resolve_category(df: DataFrame, categories: list[Category] = BUILTIN) -> Dat
 def category_lookup(df: DataFrame, kb: DataFrame, category_id: str = "resolved_id") -> DataFrame:
     """Join the base by id; ids outside it must already be mapped to the default."""
     # A left join: an inner one would repeat the detection in an inferred not-null filter below it.
-    return df.join(kb.withColumnRenamed("id", category_id), category_id, "left")
+    # The base is a static table of checked size.
+    return df.join(F.broadcast(kb.withColumnRenamed("id", category_id)), category_id, "left")

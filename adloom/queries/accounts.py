@@ -50,11 +50,11 @@ def _(spark, sf):
 
 @query("plan_change_direction", S.with_ctes(S.PLAN_CTE) + """
 SELECT event_id, CASE WHEN b.rank > a.rank THEN 'upgrade' WHEN b.rank < a.rank THEN 'downgrade' ELSE 'same' END AS direction
-FROM (SELECT event_id, ['free', 'premium', 'max'][event_id % 3 + 1] AS o, ['free', 'premium', 'max'][user_id % 3 + 1] AS n FROM events WHERE event_type = 'signup')
+FROM (SELECT event_id, ['free', 'premium', 'max'][event_id % 3 + 1] AS o, ['free', 'premium', 'max'][user_id % 3 + 1] AS n FROM events)
 JOIN plans a ON a.plan_id = o JOIN plans b ON b.plan_id = n""")
 def _(spark, sf):
     nth = lambda k: F.element_at(F.array(F.lit("free"), F.lit("premium"), F.lit("max")), (c(k) % 3 + 1).cast("int"))
-    return table(spark, sf, "events").filter(c("event_type") == "signup").select(
+    return table(spark, sf, "events").select(
         "event_id", accounts.change_direction(nth("event_id"), nth("user_id")).alias("direction"))
 
 

@@ -130,7 +130,7 @@ def _(spark, sf):
 
 
 def descriptions(spark, sf):
-    return table(spark, sf, "conversations").filter(c("role") == "user")
+    return table(spark, sf, "conversations")
 
 
 def diagnosis_ctes(r: dict) -> str:
@@ -139,7 +139,7 @@ def diagnosis_ctes(r: dict) -> str:
              "generic_audio": rx("d", r["generic_audio"])}
     listed = ", ".join(f"CASE WHEN {t} THEN {S.lit(k)} END" for k, t in codes.items())
     return f"""WITH found AS (SELECT conv_id, turn, text, list_filter([{listed}], lambda x: x IS NOT NULL) AS i
-  FROM (SELECT *, lower(text) AS d FROM conversations WHERE role = 'user')),
+  FROM (SELECT *, lower(text) AS d FROM conversations)),
 issues AS (SELECT conv_id, turn, text, CASE WHEN len(i) = 0 THEN ['fine_tuning'] ELSE i END AS issues FROM found)
 """
 

@@ -32,8 +32,40 @@ h AS (SELECT doc_id, category_id, ord, sum(length(keyword)) AS score
 SELECT d.doc_id, coalesce(arg_max(category_id, (score, -ord)), 'general') AS detected_id, coalesce(max(score), 0)::INTEGER AS detected_score
 FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1""")
 def _(spark, sf):
-    docs = catalog.spread(table(spark, sf, "documents"), "doc_id")
-    return classify.detect_category(docs, c("text")).select("doc_id", "detected_id", "detected_score")
+    """Long texts against the built-in keywords."""
+    docs = table(spark, sf, "documents")
+    return classify.detect_category_by_automaton(docs, c("text"), builtin_keywords(), "general").select("doc_id", "detected_id", "detected_score")
+
+
+def builtin_keywords() -> list[tuple]:
+    return [(b.id, i, k) for i, b in enumerate(BUILTIN) for k in b.keywords]
+
+
+#: Word parts by whose combinations 20,000 keywords are made, in ten categories.
+STEMS = "an er th on in re at st en ti or ng al ed ha is ou le nd ve".split()
+MANY = len(STEMS) ** 3 * 5 // 2
+
+
+@query("detect_category_automaton", S.resolved_sql("SELECT product_id, detected_id, detected_score FROM detected"))
+def _(spark, sf):
+    """The path for keywords of any number, with the built-in ones."""
+    text = F.concat_ws(" ", "name", "description", "source_url")
+    return classify.detect_category_by_automaton(products(spark, sf), text, builtin_keywords(), "general").select("product_id", "detected_id", "detected_score")
+
+
+@query("detect_category_many_keywords", f"""
+WITH s AS (SELECT {S.lit(STEMS)} AS s), kw AS (SELECT i % 10 AS ord, s[i % 20 + 1] || s[i // 20 % 20 + 1] || s[i // 400 % 20 + 1] || s[i // 8000 + 1] AS keyword FROM s, range({MANY}) r(i)),
+f AS MATERIALIZED (SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents),
+h AS (SELECT doc_id, ord, sum(length(keyword)) AS score FROM f JOIN kw ON contains(folded, keyword) GROUP BY ALL)
+SELECT d.doc_id, coalesce('c' || arg_max(ord, (score, -ord)), 'none') AS detected_id, coalesce(max(score), 0)::INTEGER AS detected_score FROM documents d LEFT JOIN h USING (doc_id) GROUP BY 1""")
+def _(spark, sf):
+    """20,000 keywords from a table."""
+    i = c("id")
+    stems = F.array(*[F.lit(x) for x in STEMS])
+    at = lambda n: F.get(stems, n.cast("int"))
+    keyword = F.concat(at(i % 20), at(F.floor(i / 20) % 20), at(F.floor(i / 400) % 20), at(F.floor(i / 8000)))
+    keywords = spark.range(MANY).select(F.concat(F.lit("c"), (i % 10).cast("string")).alias("category_id"), (i % 10).cast("int").alias("ord"), keyword.alias("keyword"))
+    return classify.detect_category_by_automaton(table(spark, sf, "documents"), c("text"), keywords, "none").select("doc_id", "detected_id", "detected_score")
 
 
 @query("detect_category_by_grams", S.resolved_sql("SELECT product_id, detected_id FROM detected"))
