@@ -67,8 +67,11 @@ def duplicate_groups(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one row each, with all their columns."""
-    kept = duplicate_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)))
-    stay = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["_sha"] == kept["_sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_sha"]).select(docs.columns)
+    """The documents that stay, one row each, with all their columns.
+
+    Whole rows move once, by (id, digest), which also leaves one of repeated rows.
+    """
+    key = lambda i, sha: F.concat(sha, F.coalesce(i.cast("string"), F.lit("")).cast("binary"), F.when(i.isNull(), F.lit("-")).otherwise("").cast("binary"))
+    kept = duplicate_groups(docs).filter("kept").select(key(F.col("doc_id"), F.unhex("text_sha256")).alias("_key")).distinct()
+    own = docs.withColumn("_key", key(F.col("doc_id"), F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))))
+    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
