@@ -362,7 +362,7 @@ def _thumbnails() -> list:
     m = _Module("thumbnails")
     for concept, headline, colors, style, layout in THUMBNAILS:
         m.add(concept, concept, headline, "Miniatura de {p}", (10, 60, 150, 400), colors=",".join(colors), style=style, layout=layout,
-              prompt=f"Miniatura 1280x720 de {{p}} en {{env}}; {style.lower()}")
+              prompt=f"Miniatura 1280x720 de {{p}} en {{env}}, {style.lower()}")
     return m.rows
 
 

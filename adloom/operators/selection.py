@@ -27,9 +27,19 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 
 
 def sample_k(df: DataFrame, keys: list[str], item: str, seed: Column, k: int) -> DataFrame:
-    """k rows per key without replacement, repeatable for the same seed; ``rank`` is the drawn order."""
-    keyed = df.withColumn("_h", digest(seed, F.col(item).cast("string")))
-    return top_k_per_key(keyed, keys, [F.col("_h"), F.col(item)], k).drop("_h")
+    """k rows per key without replacement, for any k, repeatable for the same seed; ``rank`` is the drawn order.
+
+    The k smallest digests per key. Digests are uniform, so counts of their first twelve bits (summed on the map side) tell the
+    range that holds them; only rows of that range, k and a 4,096th of the key's rows, are ranked, however hot the key is.
+    """
+    keyed = df.withColumn("_h", digest(seed, F.col(item).cast("string"))).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = keyed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = counts.withColumn("_before", before).filter(F.col("_before") < k).groupBy(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)]).agg(F.max("_b").alias("_most"))
+    same = [keyed[x].eqNullSafe(most[f"_k{i}"]) for i, x in enumerate(keys)]
+    near = keyed.join(most, [*same, keyed["_b"] <= most["_most"]]).select(*df.columns, "_h")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", item)))
+    return ranked.filter(F.col("rank") <= k).drop("_h")
 
 
 def latest_n(df: DataFrame, owner: str, created: str, key: str, n: int = 12) -> DataFrame:

@@ -87,19 +87,30 @@ def _titled(t) -> Column:
     return F.concat(F.lit("**"), t["title"], F.lit("** — "), F.regexp_replace(t["text"], "\n", " / "))
 
 
+def _notes(*names: str):
+    """The named further fields of an item, in brackets."""
+    return lambda t: F.concat(F.lit(" ["), F.concat_ws(" | ", *[t["attrs"][n] for n in names]), F.lit("]"))
+
+
+def _with(line, *names: str):
+    return lambda t: F.concat(line(t), _notes(*names)(t))
+
+
 # Section titles in export order (fixed values) with the module that fills them.
 SECTIONS = [
     ("2. Hooks", "hooks", lambda t: t["text"], lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
-    ("3. Anuncios (Ad Generator)", "ads", lambda t: F.concat_ws(" · ", _titled(t), t["detail"], t["attrs"]["cta"]), None),
+    ("3. Anuncios (Ad Generator)", "ads", _with(lambda t: F.concat_ws(" · ", _titled(t), t["detail"], t["attrs"]["cta"]), "description", "specs", "notes"), None),
     ("4. Guiones (Script Generator)", "scripts", None, None),
-    ("5. Storyboards (Visual Generator)", "visual", lambda t: F.concat_ws(" · ", t["attrs"]["n"], t["text"], t["attrs"]["duration"]), lambda t: t["item_group"]),
-    ("6. Prompts de imagen IA", "imageprompts", _titled, lambda t: t["item_group"]),
-    ("7. Prompts de video IA", "videoprompts", _titled, lambda t: t["item_group"]),
-    ("8. UGC Generator", "ugc", _titled, lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
-    ("9. Thumbnails", "thumbnails", _titled, None),
+    ("5. Storyboards (Visual Generator)", "visual", _with(lambda t: F.concat_ws(" · ", t["attrs"]["n"], t["text"], t["attrs"]["duration"]),
+                                                         "shot", "subject", "expression", "light", "movement", "audio"),
+     lambda t: F.concat_ws(": ", t["item_group"], t["attrs"]["concept"])),
+    ("6. Prompts de imagen IA", "imageprompts", _with(_titled, "meta"), lambda t: t["item_group"]),
+    ("7. Prompts de video IA", "videoprompts", _with(_titled, "meta"), lambda t: t["item_group"]),
+    ("8. UGC Generator", "ugc", _with(_titled, "profile", "tone", "setting", "wardrobe"), lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
+    ("9. Thumbnails", "thumbnails", _with(_titled, "style", "layout", "colors", "prompt"), None),
     ("10. Landing Copy", "landing", _titled, lambda t: t["item_group"]),
-    ("11. Ofertas (Offer Builder)", "offers", _titled, None),
-    ("12. Creative Planner", "planner", lambda t: F.concat(t["attrs"]["count"], F.lit("× "), t["title"], F.lit(" ["), t["attrs"]["platform"], F.lit("] "), t["attrs"]["priority"]),
+    ("11. Ofertas (Offer Builder)", "offers", _with(_titled, "name", "structure", "example", "best_for"), None),
+    ("12. Creative Planner", "planner", _with(lambda t: F.concat(t["attrs"]["count"], F.lit("× "), t["title"], F.lit(" ["), t["attrs"]["platform"], F.lit("] "), t["attrs"]["priority"]), "notes"),
      lambda t: t["item_group"]),
 ]
 # Comparison rows and sample reviews of the landing copy are not exported.
@@ -133,7 +144,7 @@ def campaign_markdown(campaigns: DataFrame) -> DataFrame:
         F.lit("\n## 13. Viral Predictor\n"), F.concat(F.lit("**Probabilidad: "), c("viral.probability"), F.lit("%** — "), c("viral.verdict")),
         _bullets(F.transform("viral.factors", lambda f: F.concat(F.lit("["), f["impact"], F.lit("] "), f["factor"]))), _bullets(c("viral.recommendations")),
         F.lit("\n## 14. A/B Testing\n"), F.lit("### 🪝 Hooks"), _bullets(F.transform("abhooks", lambda t: t["text"])), _items("abtesting", lambda t: t["text"], lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
-        F.lit("\n## 15. Creative Library (búsquedas)\n"), _items("library", lambda t: F.concat(F.lit("["), t["attrs"]["platform"], F.lit("] "), t["title"], F.lit(": "), t["text"])),
+        F.lit("\n## 15. Creative Library (búsquedas)\n"), _items("library", _with(lambda t: F.concat(F.lit("["), t["attrs"]["platform"], F.lit("] "), t["title"], F.lit(": "), t["text"]), "note")),
     ]
     if "competitor" in campaigns.columns:
         report = F.concat(F.lit("\n## 16. Análisis de competidor\n\nURL: "), c("competitor.url"), F.lit("\nFramework: "), c("competitor.framework"),

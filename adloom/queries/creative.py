@@ -298,6 +298,49 @@ def _(spark, sf):
     return campaign_markdown(docs).select("product_id", "campaign_id", "markdown")
 
 
+def attr(name: str) -> str:
+    return f"regexp_extract(attrs, '(^|;){name}=([^;]*)', 2)"
+
+
+def notes_sql(line: str, *names: str) -> str:
+    return f"{line} || ' [' || concat_ws(' | ', {', '.join(map(attr, names))}) || ']'"
+
+
+TITLED_SQL = "'**' || title || '** — ' || replace(text, chr(10), ' / ')"
+#: Section, module, line, heading, as in the export.
+SECTION_SQL = [
+    ("2. Hooks", "hooks", "text", f"{attr('emoji')} || ' ' || item_group"),
+    ("3. Anuncios (Ad Generator)", "ads", notes_sql(f"concat_ws(' · ', {TITLED_SQL}, detail, {attr('cta')})", "description", "specs", "notes"), "''"),
+    ("5. Storyboards (Visual Generator)", "visual", notes_sql(f"concat_ws(' · ', {attr('n')}, text, {attr('duration')})", "shot", "subject", "expression", "light", "movement", "audio"),
+     f"item_group || ': ' || {attr('concept')}"),
+    ("6. Prompts de imagen IA", "imageprompts", notes_sql(TITLED_SQL, "meta"), "item_group"), ("7. Prompts de video IA", "videoprompts", notes_sql(TITLED_SQL, "meta"), "item_group"),
+    ("8. UGC Generator", "ugc", notes_sql(TITLED_SQL, "profile", "tone", "setting", "wardrobe"), f"{attr('emoji')} || ' ' || item_group"),
+    ("9. Thumbnails", "thumbnails", notes_sql(TITLED_SQL, "style", "layout", "colors", "prompt"), "''"), ("10. Landing Copy", "landing", TITLED_SQL, "item_group"),
+    ("11. Ofertas (Offer Builder)", "offers", notes_sql(TITLED_SQL, "name", "structure", "example", "best_for"), "''"),
+    ("12. Creative Planner", "planner", notes_sql(f"{attr('count')} || '× ' || title || ' [' || {attr('platform')} || '] ' || {attr('priority')}", "notes"), "item_group"),
+    ("15. Creative Library (búsquedas)", "library", notes_sql(f"'[' || {attr('platform')} || '] ' || title || ': ' || text", "note"), "''"),
+]
+MARKDOWN_MODULES = [m for _, m, *_ in SECTION_SQL] + ["scripts", "beats"]
+MARKDOWN_SQL = S.with_ctes(*S.all_items_ctes(MARKDOWN_MODULES), "shown AS (SELECT * FROM items WHERE item_group NOT IN ('comparison', 'reviews'))",
+    "lined AS (" + " UNION ALL ".join(f"SELECT product_id, {S.lit(t)} AS section, ord, item_group, {line} AS line, {head} AS heading FROM shown WHERE module = '{m}'" for t, m, line, head in SECTION_SQL) + ")",
+    "headed AS (SELECT *, heading <> '' AND item_group IS DISTINCT FROM lag(item_group) OVER (PARTITION BY product_id, section ORDER BY ord) AS fresh FROM lined)",
+    f"""voiced AS (SELECT product_id, {attr('script')}::INTEGER AS script,
+  string_agg('- **' || {attr('time')} || ' · ' || title || '** — VOZ: ' || text || ' | VISUAL: ' || detail, chr(10) ORDER BY ord) AS beats FROM items WHERE module = 'beats' GROUP BY ALL)""") + """
+SELECT product_id, section, trim(string_agg(CASE WHEN fresh THEN chr(10) || '### ' || heading || chr(10) ELSE '' END || '- ' || line, chr(10) ORDER BY ord), chr(10)) AS body FROM headed GROUP BY 1, 2
+UNION ALL SELECT i.product_id, '4. Guiones (Script Generator)', trim(string_agg(chr(10) || '### [' || item_group || '] ' || title || chr(10) || 'Hook: ' || text || chr(10) || beats || chr(10) || 'CTA: ' || detail, chr(10) ORDER BY ord), chr(10))
+FROM items i JOIN voiced v ON v.product_id = i.product_id AND v.script = i.ord WHERE module = 'scripts' GROUP BY 1"""
+
+
+@query("markdown_sections", MARKDOWN_SQL)
+def _(spark, sf):
+    """The export's sections that items fill, as they stand in the document."""
+    docs = campaign_markdown(build_campaigns(products(spark, sf), F.lit("2024-01-01").cast("timestamp")))
+    parts = docs.select("product_id", F.explode(F.split("markdown", "\n## ")).alias("part"))
+    title = F.substring_index("part", "\n", 1)
+    filled = [*[t for t, *_ in SECTION_SQL], "4. Guiones (Script Generator)"]
+    return parts.select("product_id", title.alias("section"), F.trim(F.substring("part", F.length(title) + 1, F.length("part")), F.lit("\n")).alias("body")).filter(F.col("section").isin(filled))
+
+
 # ---- overlays --------------------------------------------------------------------------------
 
 def overlays(spark, sf) -> DataFrame:

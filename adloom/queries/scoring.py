@@ -266,3 +266,13 @@ WHERE rank <= 5""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id")
     return selection.sample_k(docs, ["source"], "doc_id", c("source"), 5)
+
+
+@query("sample_k_large", """
+SELECT heat, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY heat ORDER BY md5(heat || '|' || line), line) AS rank
+  FROM (SELECT CASE WHEN l_orderkey % 100 = 0 THEN 'cold' ELSE 'hot' END AS heat, l_orderkey || '-' || l_linenumber AS line FROM lineitem)) WHERE rank <= 50000""")
+def _(spark, sf):
+    """50,000 rows of a key that holds nearly all."""
+    line = F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))
+    lines = table(spark, sf, "lineitem").select(F.when(c("l_orderkey") % 100 == 0, "cold").otherwise("hot").alias("heat"), line.alias("line"))
+    return selection.sample_k(lines, ["heat"], "line", c("heat"), 50_000)
