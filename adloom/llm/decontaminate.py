@@ -29,7 +29,8 @@ BITS = 1 << 20
 UNITS = ("mm cm m km g mg kg t l ml s ms sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months "
          "year years meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents "
          "percent degree degrees liter liters litre litres gram grams kilogram kilograms kilometer kilometers watt watts volt volts").split()
-NUMBER = r"(?<!\S)[^\p{L}\p{N}\s]*[0-9][0-9.,:/]*[^\p{L}\p{N}\s]*(?!\S)"
+# Possessive: a number with marks around takes one pass, however long it is.
+NUMBER = r"(?<!\S)[^\p{L}\p{N}\s]*+[0-9][0-9.,:/]*+[^\p{L}\p{N}\s]*+(?!\S)"
 UNIT = r"(?i)(?<=[0-9][.,%]?[ \t])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 NAME = r"(?<=[\p{Ll}0-9,;][ \t])\p{Lu}[\p{Ll}'\-]+(?![\p{L}\p{N}])"
 #: Words that open sentences and are never taken for names there.

@@ -38,7 +38,9 @@ PIECE = "[\"'`]?[A-Za-z0-9+/_\\-]{16,}={1,2}(?=$|[\"'`,;])|[=:]>?|[\"'`]?[^\"'`,
 SIGN = "^[=:]>?$"
 KEY_END = r"(^|[{(\[<?&;/.])[A-Za-z_][A-Za-z0-9_.\-]*$"
 JOINED = "^[\"'`{(\\[]*([A-Za-z_][A-Za-z0-9_.\\-]*)[=:]+>?(.+)$"
-EDGES = r"^[\"'`(\[{<]+|[\"'`,;.)\]}>]+$"
+#: Marks around a value. A run at the end is tried from its begin only, so long words take linear time.
+EDGES = r"^[\"'`(\[{<]++|(?:\G|(?<![\"'`,;.)\]}>]))[\"'`,;.)\]}>]++$"
+OUTSIDE = r"^[^A-Za-z0-9+/_\-]++|(?<=[A-Za-z0-9+/=_\-])[^A-Za-z0-9+/=_\-]++$"
 FAKES = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|test"
 TRANSITIONS = r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[^a-z0-9])|(?<=[A-Z])(?=[^A-Z0-9])"
 FEATURES = ["length", "transitions", "digits", "upper", "lower", "other", "distinct", "vowels", "coverage", "depth", "path_test", "path_config",
@@ -90,7 +92,7 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
     """doc_id, path, word_no, value, before, after, assigned, quoted: one row per candidate value of a word."""
     rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), F.explode(let(words(F.col("text")), lambda w: F.concat(_whole(w), let(_tokens(w), _pieces)))).alias("c"))
     # A value after a sign keeps all marks that passwords have.
-    value = F.when(F.col("c.assigned"), F.regexp_replace("c.inside", EDGES, "")).otherwise(F.regexp_replace("c.inside", r"^[^A-Za-z0-9+/_\-]+|[^A-Za-z0-9+/=_\-]+$", ""))
+    value = F.when(F.col("c.assigned"), F.regexp_replace("c.inside", EDGES, "")).otherwise(F.regexp_replace("c.inside", OUTSIDE, ""))
     found = rows.select("doc_id", "path", F.col("c.word_no").alias("word_no"), value.alias("value"), F.col("c.quoted").alias("quoted"), F.col("c.assigned").alias("assigned"),
                         F.col("c.before").alias("before"), F.coalesce("c.after", F.lit("")).alias("after"))
     return found.filter((F.char_length("value") >= MIN_LENGTH) | (F.col("assigned") & (F.col("value") != "")))

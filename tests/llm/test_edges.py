@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for every operator."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +199,23 @@ def test_selected_records(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
-    assert {name.split("_")[0] for name in SQL} >= {"op1", "op4", "op7", "op10", "op12", "op13"}
+    assert {name.split("_")[0] for name in SQL} == {"op1", "op4", "op7", "op10", "op11", "op12", "op13"}
+
+
+def test_trimming_takes_one_pass(spark):
+    """The linear patterns against the plain ones, and words of 100,000 characters in a few seconds."""
+    plain = {secrets.EDGES: "^[\"'`(\\[{<]+|[\"'`,;.)\\]}>]+$", secrets.OUTSIDE: r"^[^A-Za-z0-9+/_\-]+|[^A-Za-z0-9+/=_\-]+$",
+             decontaminate.NUMBER: r"(?<!\S)[^\p{L}\p{N}\s]*[0-9][0-9.,:/]*[^\p{L}\p{N}\s]*(?!\S)"}
+    random.seed(9)
+    rows = [("".join(random.choice("a1=\"'`,;.)]}>([{<-é/ :") for _ in range(random.randint(0, 14))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "s string")
+    for new, old in plain.items():
+        assert df.filter(F.regexp_replace("s", new, "_") != F.regexp_replace("s", old, "_")).isEmpty()
+    texts = ["é" * 100_000 + "1", "漢" * 100_000 + "1a", "1" + "." * 100_000 + "x", "k=" + "'" * 100_000 + "x", "a" * 100_000]
+    long = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    assert secrets.candidates(long, F.lit("")).count() >= 2
+    assert decontaminate.contamination(long, spark.createDataFrame([(1, "a short item of words")], "item_id long, text string")).count() == 0
+    assert time.time() - start < 40
