@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from adloom.functions.numbers import clamp, half_up
+from adloom.functions.numbers import clamp, half_up, money
 from adloom.functions.seeded import digest, draw, seeded_int
 
 
@@ -72,10 +72,23 @@ def viral_factors(visual, explain, saturation, ugc) -> Column:
         ("Saturación del feed", F.when(saturation >= 4, "Negativo").otherwise("Positivo")),
         ("Fácil de replicar", good(ugc >= 4)), ("Emoción para compartir", F.lit("Positivo")),
     ]
-    return F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(n).alias("factor"), impact.alias("impact"))
+    return F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(n).alias("factor"), impact.alias("impact"), factor_note(n, impact).alias("note"))
                      for i, (n, impact) in enumerate(rows)])
 
 
+# What helps, and what to do where it does not.
+FACTOR_NOTES = {
+    "Efecto rápido": ("El cambio se ve sin esperar", "Abre con el resultado y cuenta después"), "Claro sin sonido": ("La imagen basta", "Añade tres palabras en pantalla"),
+    "Invita a comentar": ("Deja una pregunta abierta", ""), "Saturación del feed": ("Hay hueco en el feed", "Cambia de escenario antes que de producto"),
+    "Fácil de replicar": ("Cualquiera puede grabarlo", "Da un guion de dos líneas"), "Emoción para compartir": ("Se manda a alguien concreto", ""),
+}
+
+
+def factor_note(factor: str, impact) -> Column:
+    helps, advice = FACTOR_NOTES[factor]
+    return F.when(impact == "Positivo", helps).otherwise(advice)
+
+
 def count_impact(factors, impact: str) -> Column:
     return F.size(F.filter(factors, lambda f: f["impact"] == impact))
 
@@ -98,6 +111,19 @@ def anchor_price(hi) -> Column:
     return half_up(hi * 1.6).cast("int")
 
 
+SECOND_UNIT_DISCOUNT, TARGET_MARGIN = 30, 65
+
+
+def price_strategy(lo, hi, recommended) -> Column:
+    """Recommended price, range, struck-out anchor and margin, as text and as numbers."""
+    dollars = lambda x: F.concat(F.lit("$"), x)
+    return F.struct(
+        F.concat(money(recommended), F.lit(" USD")).alias("recommended"), F.concat(dollars(lo), F.lit("–"), dollars(hi), F.lit(" USD")).alias("range"),
+        F.concat(F.lit("Ancla "), dollars(anchor_price(hi)), F.lit(", oferta "), money(recommended)).alias("strategy"),
+        F.lit(f"Margen bruto objetivo: {TARGET_MARGIN}%").alias("marginNote"), anchor_price(hi).alias("anchor"),
+        F.lit(SECOND_UNIT_DISCOUNT).alias("second_unit_discount"), F.lit(TARGET_MARGIN).alias("target_margin"))
+
+
 def scaling_level(saturation) -> Column:
     return F.when(saturation <= 2, "Muy alto").when(saturation == 3, "Alto").otherwise("Medio")
 

@@ -44,7 +44,7 @@ def source_label(kind: Column) -> Column:
 
 
 #: Scheme, user info, host, port, path, as browsers read them: pipes, spaces and underscores are no errors in a path or query; a host has no space.
-URL = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::[0-9]*)?(?=[/?#]|\s*$)([^?#]*)"
+URL = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@\s]+)(?::[0-9]*)?(?=[/?#]|\s*$)([^?#]*)"
 
 
 def _host(url: Column) -> Column:

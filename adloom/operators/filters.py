@@ -25,6 +25,12 @@ def modules_by_group(modules: DataFrame, keys: list[str] = ()) -> DataFrame:
     return modules.groupBy(*keys, "module_group").agg(F.array_join(F.transform(ordered, lambda m: m["module_id"]), ",").alias("modules"))
 
 
+def links_by_platform(items: DataFrame) -> DataFrame:
+    """Research links of a product per platform, in listed order (at most the templates of one platform)."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    return items.groupBy("product_id", F.col("item_group").alias("platform")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("links"))
+
+
 def missing_config(df: DataFrame, required: list[str]) -> DataFrame:
     """Rows with the names of required fields that are empty; complete rows are left out."""
     unset = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import scoring, urls
-from adloom.functions.numbers import display_date, money
+from adloom.functions.numbers import display_date
 from adloom.functions.seeded import sampled
 from adloom.functions.text import name_or_default, star_bar
 from adloom.functions.binding import let
@@ -21,10 +21,8 @@ def build_campaigns(products: DataFrame, created_at: Column, enriched: bool = Fa
     """Campaign documents with every module."""
     c = F.col
     df = products if enriched else enrich(products)
-    pricing = F.struct(
-        c("price_text").alias("recommended"), F.concat(F.lit("$"), "price_lo", F.lit("–$"), "price_hi", F.lit(" USD")).alias("range"),
-        F.concat(F.lit("Ancla $"), scoring.anchor_price(c("price_hi")), F.lit(", oferta "), money(c("recommended_price"))).alias("strategy"),
-        F.lit("Margen bruto objetivo: 65%").alias("marginNote"))
+    prices = scoring.price_strategy(c("price_lo"), c("price_hi"), c("recommended_price"))
+    pricing = F.struct(*[prices[x].alias(x) for x in ("recommended", "range", "strategy", "marginNote")])
     scaling = F.struct(scoring.scaling_level(c("saturation")).alias("level"), scoring.scaling_reason(c("saturation")).alias("reasoning"),
                        F.array(*map(F.lit, scoring.SCALING_CHANNELS)).alias("channels"))
     by_group = lambda g: F.filter("lists", lambda t: t["item_group"] == g)
@@ -142,7 +140,7 @@ def campaign_markdown(campaigns: DataFrame) -> DataFrame:
         lines += [F.lit(f"\n## {title}\n"), _scripts() if module == "scripts" else _items(module, line, heading)]
     lines += [
         F.lit("\n## 13. Viral Predictor\n"), F.concat(F.lit("**Probabilidad: "), c("viral.probability"), F.lit("%** — "), c("viral.verdict")),
-        _bullets(F.transform("viral.factors", lambda f: F.concat(F.lit("["), f["impact"], F.lit("] "), f["factor"]))), _bullets(c("viral.recommendations")),
+        _bullets(F.transform("viral.factors", lambda f: F.concat(F.lit("["), f["impact"], F.lit("] "), f["factor"], F.lit(": "), f["note"]))), _bullets(c("viral.recommendations")),
         F.lit("\n## 14. A/B Testing\n"), F.lit("### 🪝 Hooks"), _bullets(F.transform("abhooks", lambda t: t["text"])), _items("abtesting", lambda t: t["text"], lambda t: F.concat_ws(" ", t["attrs"]["emoji"], t["item_group"])),
         F.lit("\n## 15. Creative Library (búsquedas)\n"), _items("library", _with(lambda t: F.concat(F.lit("["), t["attrs"]["platform"], F.lit("] "), t["title"], F.lit(": "), t["text"]), "note")),
     ]

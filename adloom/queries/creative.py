@@ -120,10 +120,7 @@ def _(spark, sf):
 
 @query("links_by_platform", S.items_sql("library", "SELECT product_id, item_group AS platform, string_agg(text, ' ' ORDER BY ord) AS links FROM items GROUP BY 1, 2"))
 def _(spark, sf):
-    items = creative.expand_templates(enriched(spark, sf), "library")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))  # at most the templates of one platform
-    return items.groupBy("product_id", F.col("item_group").alias("platform")).agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("links"))
+    return filters.links_by_platform(creative.expand_templates(enriched(spark, sf), "library"))
 
 
 def all_items_sql(modules: list[str], select: str) -> str:

@@ -163,9 +163,10 @@ FACTORS = [("Efecto rápido", "visual_appeal >= 4"), ("Claro sin sonido", "expla
 FACTOR_SQL = " UNION ALL ".join(
     f"SELECT product_id, {S.lit(n)} AS factor, " + (f"CASE WHEN {t} THEN 'Positivo' ELSE 'Neutro' END" if t
     else "CASE WHEN saturation >= 4 THEN 'Negativo' ELSE 'Positivo' END") + " AS impact FROM scored" for n, t in FACTORS)
+NOTE_SQL = "CASE factor " + " ".join(f"WHEN {S.lit(n)} THEN CASE WHEN impact = 'Positivo' THEN {S.lit(a)} ELSE {S.lit(b)} END" for n, (a, b) in scoring.FACTOR_NOTES.items()) + " END"
 
 
-@query("viral_factors", S.scored_sql(FACTOR_SQL))
+@query("viral_factors", S.scored_sql(f"SELECT *, {NOTE_SQL} AS note FROM ({FACTOR_SQL})"))
 def _(spark, sf):
     return scored(spark, sf).select("product_id", F.inline("factors")).drop("ord")
 
@@ -203,10 +204,9 @@ def _(spark, sf):
   '$' || price_lo || '–$' || price_hi || ' USD' AS price_range, floor(price_hi * 1.6::DOUBLE + 0.5)::INTEGER AS anchor,
   30 AS second_unit_discount, 65 AS target_margin FROM scored"""))
 def _(spark, sf):
-    return scored(spark, sf).select(
-        "product_id", F.concat(numbers.money(c("recommended_price")), F.lit(" USD")).alias("recommended"),
-        F.concat(F.lit("$"), "price_lo", F.lit("–$"), "price_hi", F.lit(" USD")).alias("price_range"),
-        scoring.anchor_price(c("price_hi")).alias("anchor"), F.lit(30).alias("second_unit_discount"), F.lit(65).alias("target_margin"))
+    prices = scoring.price_strategy(c("price_lo"), c("price_hi"), c("recommended_price"))
+    return scored(spark, sf).select("product_id", prices.alias("s")).select(
+        "product_id", "s.recommended", c("s.range").alias("price_range"), "s.anchor", "s.second_unit_discount", "s.target_margin")
 
 
 @query("scaling_level", S.scored_sql(f"""SELECT product_id, CASE WHEN saturation <= 2 THEN 'Muy alto' WHEN saturation = 3 THEN 'Alto' ELSE 'Medio' END AS level,

@@ -24,6 +24,7 @@ def test_urls_of_browsers(spark):
     cases = {"https://www.shop.example/p/Super-Widget-Deluxe/dp/1?ref=a|b": ("shop.example", "Super Widget Deluxe"),
              "https://mi_tienda.es/Super-Widget-Deluxe": ("mi_tienda.es", "Super Widget Deluxe"),
              "https://USER:pw@Shop.example:8080/Super Widget-Deluxe x": ("shop.example", None),
+             "https://user@mail.example:p@w@Shop.example/Super-Widget-Deluxe": ("shop.example", "Super Widget Deluxe"),
              "no url": ("no url", "")}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     for r in df.select("u", urls.url_domain(F.col("u")).alias("d"), urls.guess_name(F.col("u")).alias("n")).collect():
