@@ -123,3 +123,15 @@ def lines_in_range(text: Column, lo: int = 8, hi: int = 160) -> Column:
     """Trimmed lines longer than ``lo`` and shorter than ``hi`` characters, in order."""
     lines = F.transform(F.split(strip(text), r"\n+"), strip)
     return F.filter(lines, lambda line: (F.length(line) > lo) & (F.length(line) < hi))
+
+
+def counted(values: Column) -> Column:
+    """Array of (value, n) of the different values, inside the row: sorted once, then cut into runs."""
+    def runs(held: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda at, j: F.struct(F.get(held, at).alias("value"), (F.coalesce(F.get(starts, j + 1), F.size(held)) - at).cast("long").alias("n")))
+
+    def cut(held: Column) -> Column:
+        fresh = F.transform(held, lambda x, i: F.when((i == 0) | (x != F.get(held, i - 1)), i))
+        return let(F.filter(fresh, lambda i: i.isNotNull()), lambda starts: runs(held, starts))
+
+    return let(F.sort_array(values), cut)

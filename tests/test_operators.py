@@ -296,3 +296,43 @@ def test_overlay_faults_on_every_level(spark):
     assert [k for k in cases if rows[k].overlay is not None] == ["a"] and rows["f"].overlay_error == "unknown_field" and rows["a"].overlay.asDict(True) == good
     twice = parsed.filter("overlay IS NOT NULL").union(parsed.filter("overlay IS NOT NULL"))
     assert overlay.one_each(twice).count() == 1
+
+
+def test_automaton_equals_the_literal_path(spark):
+    """Ties, keywords inside keywords, shared keywords, accents, empty and null texts, no keywords at all."""
+    rows = [("a", 0, "ring"), ("a", 0, "spring"), ("b", 1, "ring"), ("b", 1, "rin"), ("c", 2, "ñandu"), ("c", 2, "xx")]
+    texts = ["A Spring RING", "rin", "xx rin", "ñandú ring", "", None, "nothing", "xxx spring spring"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    score = lambda t, ks: sum(len(k) for k in set(ks) if k in t)
+    fold = {r.id: r.f or "" for r in df.select("id", text.fold_accents(c("t")).alias("f")).collect()}
+    want = {}
+    for i in fold:
+        best = min(((-score(fold[i], [k for x, _, k in rows if x == cat]), o, cat) for cat, o in {(r[0], r[1]) for r in rows}))
+        want[i] = (best[2], -best[0]) if best[0] else ("none", 0)
+    got = classify.detect_category_by_automaton(df, c("t"), rows, "none")
+    assert {r.id: (r.detected_id, r.detected_score) for r in got.collect()} == want
+    table = spark.createDataFrame(rows, "category_id string, ord int, keyword string")
+    assert classify.detect_category_by_automaton(df, c("t"), table, "none").exceptAll(got).isEmpty()
+    assert {r.detected_id for r in classify.detect_category_by_automaton(df, c("t"), table.limit(0), "none").collect()} == {"none"}
+    with pytest.raises(ValueError, match="characters of keywords"):
+        classify.detect_category_by_automaton(df, c("t"), [("a", 0, "k" * 6_000_000)], "none")
+
+
+def test_samples_of_any_size(spark):
+    """A hot key, small keys, a null key, k above the key's rows; every row once."""
+    import hashlib
+    rows = [(None if i % 50 == 0 else "hot" if i % 10 else f"k{i % 7}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, i long").withColumn("seed", F.coalesce("k", F.lit("-")))
+    for k in (1, 5, 3000, 100_000):
+        want = set()
+        for key in {r[0] for r in rows}:
+            own = sorted((hashlib.md5(f"{key or '-'}|{i}".encode()).hexdigest(), i) for x, i in rows if x == key)
+            want |= {(key, i, n) for n, (_, i) in enumerate(own[:k], start=1)}
+        got = selection.sample_k(df, ["k"], "i", c("seed"), k).select("k", "i", "rank").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_counts_inside_a_row(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id int, v array<string>")
+    got = {r.id: None if r.c is None else [tuple(x) for x in r.c] for r in df.select("id", text.counted(c("v")).alias("c")).collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: None, 4: [("x", 1)]}
