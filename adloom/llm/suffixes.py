@@ -39,9 +39,9 @@ from adloom.session import shared_dir, staged
 MATCH = 50
 GRAM = 12
 #: Bytes of text that are hashed at a time; longer texts are cut into stretches of as many windows.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 #: Rows that a task groups at a time, bytes whose transforms it merges at a time, pieces of a key that are merged at most.
-ROWS, MERGED, HEAVY = 1 << 17, 1 << 20, 20_000
+ROWS, MERGED, HEAVY = 1 << 17, 1 << 19, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * SEED) | np.uint64(1)
 

@@ -68,7 +68,7 @@ def test_spans_give_the_kept_bytes(spark):
         assert kept + data[at:] == bytes(r.kept) and sum(s.last - s.first for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
-def spans_in_process(docs, match=50, stretch=1 << 21, rows=1 << 17, merged=1 << 20, size=7, heavy=20_000):
+def spans_in_process(docs, match=50, stretch=1 << 20, rows=1 << 17, merged=1 << 19, size=7, heavy=20_000):
     """The operator's steps over many small batches, without Spark."""
     keep = suffixes.STRETCH, suffixes.ROWS, suffixes.MERGED
     suffixes.STRETCH, suffixes.ROWS, suffixes.MERGED = stretch, rows, merged
