@@ -41,7 +41,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Evidence tables, signatures and templates are beyond SQL; tests compare the stages with plain Python.
+#: Evidence tables, signatures and templates are beyond SQL; the operators have tests of their own, the stages are tested for columns and totals.
 ORACLE_SQL = None
 
 
