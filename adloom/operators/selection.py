@@ -35,9 +35,10 @@ def sample_k(df: DataFrame, keys: list[str], item: str, seed: Column, k: int) ->
     keyed = df.withColumn("_h", digest(seed, F.col(item).cast("string"))).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     counts = keyed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    most = counts.withColumn("_before", before).filter(F.col("_before") < k).groupBy(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)]).agg(F.max("_b").alias("_most"))
-    same = [keyed[x].eqNullSafe(most[f"_k{i}"]) for i, x in enumerate(keys)]
-    near = keyed.join(most, [*same, keyed["_b"] <= most["_most"]]).select(*df.columns, "_h")
+    wanted = counts.withColumn("_before", before).filter(F.col("_before") < k).select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], F.col("_b").alias("_kb"))
+    same = [keyed[x].eqNullSafe(wanted[f"_k{i}"]) for i, x in enumerate(keys)]
+    # By key and bits: joined by the key alone, a hot one would go to one task whole.
+    near = keyed.join(wanted, [*same, keyed["_b"] == wanted["_kb"]]).select(*df.columns, "_h")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", item)))
     return ranked.filter(F.col("rank") <= k).drop("_h")
 
