@@ -6,8 +6,8 @@ which lowers the variance, and the walk over ranks stops as soon as no place can
 bucket keys. Documents of equal sets are one class, which its smallest id stands for.
 
 No bucket is expanded into all its pairs. Every member is compared with the smallest id of its bucket first; members of
-different components of one bucket are then compared with each other, if a lower bound of what they do not share leaves a
-link possible: the parity bits of two sets differ in at most as many places as the sets have elements that only one of them
+different components of one bucket are then compared with pivots, of which each round has more until all members are, while the
+bucket holds several components and if a lower bound of what they do not share leaves a link possible: the parity bits of two sets differ in at most as many places as the sets have elements that only one of them
 holds. The bound and the triangle inequality of the Jaccard distance exclude no link; of sets far above 1,024 shingles the
 bits say less, and more pairs are verified. Links are confirmed on the full texts, never on signatures.
 
@@ -21,6 +21,8 @@ empty table gives an empty result. Other columns are not read, and ``deduplicate
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x100000001B3)
 #: Longs of parity bits for each set.
 PARITY = 16
+#: Rows of a large bucket that its others are compared with in the first round, as expected.
+PIVOTS, GROWTH = 2, 64
 #: Elements hashed at a time.
 CHUNK = 1 << 17
 
@@ -202,25 +206,38 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     links = first.filter(linked).select("a", "b")
     found = components(links, folder, "near")
     # Buckets of several components: what the comparison with the smallest id has left open.
-    labelled = (shared.filter("size > 2").join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
-                .join(first.select("a", F.col("b").alias("id"), "inter", "whole"), ["a", "id"], "left")
-                .withColumn("d", F.when(F.col("id") == F.col("a"), 0.0).otherwise(1 - F.col("inter") / F.col("whole"))).select("key", "id", "n", "a", "c", "d"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    open_rows = staged(labelled.join(mixed_keys, "key", "left_semi"), folder, "open")
+    labelled = (shared.filter("size > 2 AND id <> a").join(first.select("a", F.col("b").alias("id"), "inter", "whole"), ["a", "id"], "left")
+                .withColumn("d", 1 - F.col("inter") / F.col("whole")).select("key", "id", "n", "size", "d"))
     # An id whose rows have different texts has no bits, and all its pairs are verified.
     single = F.when(F.min(F.struct("d1", "d2")) == F.max(F.struct("d1", "d2")), F.first("bits"))
-    bits = (full.withColumnRenamed("doc_id", "id").join(open_rows.select("id").distinct(), "id", "left_semi")
-            .groupBy("id").agg(single.alias("bits")))
-    ranked = open_rows.join(bits, "id")
-    x, y = ranked.alias("x"), ranked.alias("y")
     apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, v: total + v)
     possible = F.coalesce(apart, F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     far = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-                   & (F.col("x.id") != F.col("x.a")) & fits(F.col("x.n"), F.col("y.n")) & ~far & possible)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    second = staged(verified(rest, docs, k).filter(linked).select("a", "b"), folder, "second")
-    links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second)
+    # Round by round more rows of an open bucket are pivots, which all its rows are compared with: a few in a large bucket, since
+    # links of rows to a pivot put most of a group into one component and leave no pair to compare; all rows in the last round.
+    largest = labelled.agg(F.max("size")).first()[0] or 0
+    pivots = PIVOTS
+    for turn in itertools.count():
+        now = labelled.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        mixed_keys = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+        open_rows = staged(now.join(mixed_keys, "key", "left_semi"), folder, f"open-{turn}")
+        if open_rows.isEmpty():
+            break
+        bits = (full.withColumnRenamed("doc_id", "id").join(open_rows.select("id").distinct(), "id", "left_semi")
+                .groupBy("id").agg(single.alias("bits")))
+        ranked = open_rows.join(bits, "id").withColumn("pivot", F.pmod(F.xxhash64("key", "id"), F.col("size")) < pivots)
+        x, y = ranked.filter("pivot").alias("x"), ranked.alias("y")
+        rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (~F.col("y.pivot") | (F.col("x.id") < F.col("y.id"))) & (F.col("x.c") != F.col("y.c"))
+                       & fits(F.col("x.n"), F.col("y.n")) & ~far & possible)
+                .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+        more = staged(verified(rest, docs, k).filter(linked).select("a", "b"), folder, f"second-{turn}")
+        if not more.isEmpty():
+            links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)
+            found = components(links, folder, f"near-{turn}")
+        if pivots >= largest:
+            break
+        labelled, pivots = open_rows.drop("c"), pivots * GROWTH
+    links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     # Rows of one id with different texts are one document.
     same_id = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(same_id), folder, "all")
