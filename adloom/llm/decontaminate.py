@@ -16,11 +16,13 @@ ordinary rows; ``decontaminate`` finds its rows by id and content. An empty tabl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.functions.binding import let
-from adloom.llm.common import SPACE, bit_table, may_hit, need
+from adloom.llm.common import bit_table, may_hit, need
 
 WINDOW = 5
 COVER = 0.8
@@ -29,20 +31,27 @@ BITS = 1 << 20
 UNITS = ("mm cm m km g mg kg t l ml s ms sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months "
          "year years meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents "
          "percent degree degrees liter liters litre litres gram grams kilogram kilograms kilometer kilometers watt watts volt volts").split()
+# All patterns begin with a look at one character, where most places of a text fail at once.
 # Possessive: a number with marks around takes one pass, however long it is.
-NUMBER = r"(?<!\S)[^\p{L}\p{N}\s]*+[0-9][0-9.,:/]*+[^\p{L}\p{N}\s]*+(?!\S)"
-UNIT = r"(?i)(?<=[0-9][.,%]?[ \t])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
-NAME = r"(?<=[\p{Ll}0-9,;][ \t])\p{Lu}[\p{Ll}'\-]+(?![\p{L}\p{N}])"
+NUMBER = r"(?![a-zA-Z ])(?<!\S)[^\p{L}\p{N}\s]*+[0-9][0-9.,:/]*+[^\p{L}\p{N}\s]*+(?!\S)"
+UNIT = r"(?i)(?<=[ \t])(?<=[0-9][.,%]?[ \t])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+NAME = r"(?=\p{Lu})(?<=[\p{Ll}0-9,;][ \t])\p{Lu}[\p{Ll}'\-]+(?![\p{L}\p{N}])"
 #: Words that open sentences and are never taken for names there.
 OPENERS = ("a an the this that these those there here i he she it we you they his her its our your their my who whom whose which what when where "
            "why how if in on at by for from to of with without and but or nor so then thus hence as is are was were do does did can could will would "
            "shall should may might must has have had let each every all both some any no not one after before during while since until because").split()
 #: The remaining capitalised words are marked: literal words in one template, names in the other.
-MAYBE = r"(?<![\p{L}\p{N}\x01'\-])(?!(?i:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))(\p{Lu}[\p{Ll}'\-]+)(?![\p{L}\p{N}])"
+MAYBE = r"(?=\p{Lu})(?<![\p{L}\p{N}\x01'\-])(?!(?i:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))(\p{Lu}[\p{Ll}'\-]+)(?![\p{L}\p{N}])"
+
+#: Words without any letter or digit, and other characters that are neither (\x01 marks placeholders).
+BARE = r"(?![a-zA-Z ])(?<!\S)[^\p{L}\p{N}\s]++(?!\S)"
+MARKS = r"(?![a-z ])[^\p{L}\p{N}\s\x01]+"
+ASIDE = r"(?=\x01)(?<!\S)\x01q\S*"
 
 
 def _split(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE), "")
+    """A blank alone is no pattern, so the text is cut without one."""
+    return F.array_remove(F.split(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", text), " "), "")
 
 
 def templates(text: Column) -> Column:
@@ -50,15 +59,16 @@ def templates(text: Column) -> Column:
 
     Capitalised words that open a sentence may be names: ``strict`` has them as words, ``loose`` as placeholders.
     """
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", "")
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s\x01]+", "")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), BARE, "")
+    plain = lambda c: F.regexp_replace(F.lower(c), MARKS, "")
     marked = lambda c: plain(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, UNIT, "\x01u"), NUMBER, "\x01n"), NAME, "\x01p"), MAYBE, "\x01q$1"))
-    strict, loose = (lambda m: F.replace(m, F.lit("\x01q"), F.lit(""))), (lambda m: F.replace(F.regexp_replace(m, r"(?<!\S)\x01q\S*", "\x01p"), F.lit("\x01q"), F.lit("")))
+    strict, loose = (lambda m: F.replace(m, F.lit("\x01q"), F.lit(""))), (lambda m: F.replace(F.regexp_replace(m, ASIDE, "\x01p"), F.lit("\x01q"), F.lit("")))
     return let(bare, lambda c: let(marked(c), lambda m: F.struct(_split(strict(m)).alias("strict"), _split(loose(m)).alias("loose"), _split(plain(c)).alias("plain"))))
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda x: F.xxhash64(x))
+def _gram(words: str, n: int, start: Column | int = 0) -> Column:
+    """Hash of the ``n`` words from ``start`` on; those beyond the end do not count."""
+    return F.xxhash64(*[F.get(words, start + i) for i in range(n)])
 
 
 def item_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
@@ -73,7 +83,7 @@ def item_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
     kinds = F.array(F.struct(cut("strict").alias("t_words"), F.lit(False).alias("loose")), F.struct(cut("loose").alias("t_words"), F.lit(True).alias("loose")))
     both = spread.select("item_id", "t_pos", "n_item", cut("plain").alias("t_plain"), F.explode(F.filter(kinds, lambda k: ~k["loose"] | (k["t_words"] != cut("strict")))).alias("k"))
     literal = F.size(F.filter("t_words", lambda x: ~x.startswith("\x01")))
-    return (both.select("item_id", "t_pos", "n_item", "t_plain", "k.*").withColumn("gram", F.xxhash64(_hashes(F.col("t_words"))))
+    return (both.select("item_id", "t_pos", "n_item", "t_plain", "k.*").withColumn("gram", _gram("t_words", w))
             .filter(literal >= F.least(F.lit(2), F.size("t_words"))))
 
 
@@ -121,19 +131,17 @@ def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover:
     # Of at most w values. Documents give windows of no other lengths.
     lengths = sorted(r[0] for r in windows.select(F.size("t_words")).distinct().collect())
 
-    def hits(t):
-        def of(strict, loose):
-            gram = lambda h, i, n: F.xxhash64(F.slice(h, i + 1, n))
-            one = lambda n: F.filter(
-                F.transform(strict, lambda _, i: F.struct(i.alias("pos"), gram(strict, i, n).alias("a"), gram(loose, i, n).alias("b"))),
-                lambda x: (x["pos"] <= F.size(strict) - n) & (may_hit(table, x["a"], BITS) | may_hit(table, x["b"], BITS)))
-            own = lambda n: F.transform(one(n), lambda x: F.struct(x["pos"].alias("pos"), F.array_distinct(F.array(x["a"], x["b"])).alias("grams"), F.slice(t["plain"], x["pos"] + 1, n).alias("own")))
-            return F.concat(*[own(n) for n in lengths or [w]])
-        return let(_hashes(t["strict"]), lambda strict: let(_hashes(t["loose"]), lambda loose: of(strict, loose)))
-    # The generator keeps the hits from being computed again for the filter and the columns that use them.
-    held = need(docs, "doc_id", "text").select("doc_id", "text", F.explode(F.array(let(templates(F.col("text")), hits))).alias("hits")).filter(F.size("hits") > 0)
-    with_words = held.select("doc_id", F.md5("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), "hits")
-    flat = with_words.select("doc_id", "text_key", "row", F.explode("hits").alias("h")).select("doc_id", "text_key", "row", "h.pos", "h.own", F.explode("h.grams").alias("gram"))
+    # A generator keeps its values from being computed again by all that uses them: the templates of a text, then the hashes of a
+    # place's windows. The rows of the two inner ones stay inside one loop of compiled code, which almost none of them leaves.
+    cut = need(docs, "doc_id", "text").select("doc_id", F.explode(F.array(F.struct(F.md5("text").alias("text_key"), templates(F.col("text")).alias("t")))).alias("x"))
+    row = cut.select("doc_id", "x.text_key", F.monotonically_increasing_id().alias("row"), "x.t.strict", "x.t.loose", "x.t.plain")
+    lengths = lengths or [w]
+    grams = F.array(F.struct(*[_gram(c, n, F.col("pos")).alias(f"{c}_{n}") for n in lengths for c in ("strict", "loose")]))
+    hashed = row.select("*", F.posexplode("strict")).drop("col").select("*", F.inline(grams))
+    hit = {n: (F.col("pos") + n <= F.size("strict")) & (may_hit(table, F.col(f"strict_{n}"), BITS) | may_hit(table, F.col(f"loose_{n}"), BITS)) for n in lengths}
+    window = lambda n: F.struct(F.slice("plain", F.col("pos") + 1, n).alias("own"), F.array_distinct(F.array(f"strict_{n}", f"loose_{n}")).alias("grams"))
+    held = hashed.filter(reduce(Column.__or__, hit.values())).select("doc_id", "text_key", "row", "pos", F.explode(F.array_compact(F.array(*[F.when(hit[n], window(n)) for n in lengths]))).alias("h"))
+    flat = held.select("doc_id", "text_key", "row", "pos", "h.own", F.explode("h.grams").alias("gram"))
     found = flat.join(windows, "gram")
     slot = lambda i: F.get("t_words", i).startswith("\x01")
     places = F.sequence(F.lit(0), F.size("t_words") - 1)
