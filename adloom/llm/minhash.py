@@ -215,17 +215,20 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     far = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
     # Round by round more rows of an open bucket are pivots, which all its rows are compared with: a few in a large bucket, since
     # links of rows to a pivot put most of a group into one component and leave no pair to compare; all rows in the last round.
+    # Pivots of former rounds have met all rows of their buckets and leave, and so do buckets whose rows have all been pivots.
     largest = labelled.agg(F.max("size")).first()[0] or 0
-    pivots = PIVOTS
+    done, pivots, place = 0, PIVOTS, F.pmod(F.xxhash64("key", "id"), F.col("size"))
     for turn in itertools.count():
         now = labelled.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
         mixed_keys = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
         open_rows = staged(now.join(mixed_keys, "key", "left_semi"), folder, f"open-{turn}")
         if open_rows.isEmpty():
             break
-        bits = (full.withColumnRenamed("doc_id", "id").join(open_rows.select("id").distinct(), "id", "left_semi")
+        # One row per document, with its buckets (a few for each of its texts), so its bits are looked up once.
+        ids = open_rows.filter(place >= done).groupBy("id").agg(F.collect_set(F.struct("key", "n", "d", "c", (place < pivots).alias("pivot"))).alias("in"))
+        bits = (full.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi")
                 .groupBy("id").agg(single.alias("bits")))
-        ranked = open_rows.join(bits, "id").withColumn("pivot", F.pmod(F.xxhash64("key", "id"), F.col("size")) < pivots)
+        ranked = ids.join(bits, "id").select("id", "bits", F.inline("in"))
         x, y = ranked.filter("pivot").alias("x"), ranked.alias("y")
         rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (~F.col("y.pivot") | (F.col("x.id") < F.col("y.id"))) & (F.col("x.c") != F.col("y.c"))
                        & fits(F.col("x.n"), F.col("y.n")) & ~far & possible)
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
             found = components(links, folder, f"near-{turn}")
         if pivots >= largest:
             break
-        labelled, pivots = open_rows.drop("c"), pivots * GROWTH
+        labelled, done, pivots = open_rows.filter(F.col("size") > pivots).drop("c"), pivots, pivots * GROWTH
     links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     # Rows of one id with different texts are one document.
     same_id = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
