@@ -6,8 +6,8 @@ which lowers the variance, and the walk over ranks stops as soon as no place can
 bucket keys. Documents of equal sets are one class, which its smallest id stands for.
 
 No bucket is expanded into all its pairs. Every member is compared with the smallest id of its bucket first; members of
-different components of one bucket are then compared with pivots, of which each round has more until all members are, while the
-bucket holds several components and if a lower bound of what they do not share leaves a link possible: the parity bits of two sets differ in at most as many places as the sets have elements that only one of them
+different components of one bucket are then compared with pivots, of which each round has more until they are all members outside the
+bucket's largest component, while the bucket holds several components and if a lower bound of what they do not share leaves a link possible: the parity bits of two sets differ in at most as many places as the sets have elements that only one of them
 holds. The bound and the triangle inequality of the Jaccard distance exclude no link; of sets far above 1,024 shingles the
 bits say less, and more pairs are verified. Links are confirmed on the full texts, never on signatures.
 
@@ -214,22 +214,32 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     possible = F.coalesce(apart, F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     far = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
     # Round by round more rows of an open bucket are pivots, which all its rows are compared with: a few in a large bucket, since
-    # links of rows to a pivot put most of a group into one component and leave no pair to compare; all rows in the last round.
-    # Pivots of former rounds have met all rows of their buckets and leave, and so do buckets whose rows have all been pivots.
-    largest = labelled.agg(F.max("size")).first()[0] or 0
-    done, pivots, place = 0, PIVOTS, F.pmod(F.xxhash64("key", "id"), F.col("size"))
+    # links of rows to a pivot put most of a group into one component and leave no pair to compare. Pivots of former rounds have met all
+    # rows of their buckets and leave. Once no more rows than that lie outside the bucket's largest component, they are the pivots:
+    # each pair of different components holds one of them, so the bucket is done.
+    pivots, place = PIVOTS, F.pmod(F.xxhash64("key", "id"), F.col("size"))
     for turn in itertools.count():
         now = labelled.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        mixed_keys = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-        open_rows = staged(now.join(mixed_keys, "key", "left_semi"), folder, f"open-{turn}")
+        parts = now.groupBy("key", "c").agg(F.count("*").alias("rows"), F.max(place < pivots).alias("drawn"))
+        drawn, main, last = F.when(F.col("drawn"), F.col("c")), F.col("top.c"), F.col("others") <= pivots
+        mixed_keys = (parts.groupBy("key").agg(F.max(F.struct("rows", "c")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("parts"), F.min("c").alias("low"),
+                                               F.max("c").alias("high"), F.min(drawn).alias("first"), F.max(drawn).alias("end"))
+                      .filter("parts > 1").withColumn("others", F.col("all") - F.col("top.rows"))
+                      # only: the component of all pivots, if there is but one; its rows meet no pivot of another.
+                      .select("key", last.alias("last"), main.alias("main"), (last | F.col("first").isNotNull()).alias("any"),
+                              F.when(last, F.when(F.col("parts") == 2, F.when(F.col("low") == main, F.col("high")).otherwise(F.col("low"))))
+                              .otherwise(F.when(F.col("first") == F.col("end"), F.col("first"))).alias("only")))
+        pivot, meets = F.when(F.col("last"), F.col("c") != F.col("main")).otherwise(place < pivots), F.col("any") & ~F.col("c").eqNullSafe(F.col("only"))
+        open_rows = staged(now.join(mixed_keys, "key").withColumns({"pivot": pivot, "meets": meets}).drop("main", "any", "only"), folder, f"open-{turn}")
         if open_rows.isEmpty():
             break
         # One row per document, with its buckets (a few for each of its texts), so its bits are looked up once.
-        ids = open_rows.filter(place >= done).groupBy("id").agg(F.collect_set(F.struct("key", "n", "d", "c", (place < pivots).alias("pivot"))).alias("in"))
+        ids = (open_rows.filter("pivot OR meets").groupBy("id")
+               .agg(F.collect_set(F.when(F.col("pivot"), F.struct("key", "n", "d", "c"))).alias("as_pivot"), F.collect_set(F.when(F.col("meets"), F.struct("key", "n", "d", "c", "pivot"))).alias("in")))
         bits = (full.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi")
                 .groupBy("id").agg(single.alias("bits")))
-        ranked = ids.join(bits, "id").select("id", "bits", F.inline("in"))
-        x, y = ranked.filter("pivot").alias("x"), ranked.alias("y")
+        ranked = ids.join(bits, "id")
+        x, y = ranked.select("id", "bits", F.inline("as_pivot")).alias("x"), ranked.select("id", "bits", F.inline("in")).alias("y")
         rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (~F.col("y.pivot") | (F.col("x.id") < F.col("y.id"))) & (F.col("x.c") != F.col("y.c"))
                        & fits(F.col("x.n"), F.col("y.n")) & ~far & possible)
                 .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
@@ -237,9 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
         if not more.isEmpty():
             links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)
             found = components(links, folder, f"near-{turn}")
-        if pivots >= largest:
-            break
-        labelled, done, pivots = open_rows.filter(F.col("size") > pivots).drop("c"), pivots, pivots * GROWTH
+        labelled = open_rows.filter(~F.col("last") & (place >= pivots)).drop("c", "last", "pivot", "meets")
+        pivots *= GROWTH
     links = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     # Rows of one id with different texts are one document.
     same_id = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
