@@ -140,7 +140,9 @@ def contamination(docs: DataFrame, items: DataFrame, w: int = WINDOW, min_cover:
     hashed = row.select("*", F.posexplode("strict")).drop("col").select("*", F.inline(grams))
     hit = {n: (F.col("pos") + n <= F.size("strict")) & (may_hit(table, F.col(f"strict_{n}"), BITS) | may_hit(table, F.col(f"loose_{n}"), BITS)) for n in lengths}
     window = lambda n: F.struct(F.slice("plain", F.col("pos") + 1, n).alias("own"), F.array_distinct(F.array(f"strict_{n}", f"loose_{n}")).alias("grams"))
-    held = hashed.filter(reduce(Column.__or__, hit.values())).select("doc_id", "text_key", "row", "pos", F.explode(F.array_compact(F.array(*[F.when(hit[n], window(n)) for n in lengths]))).alias("h"))
+    # The plan's text has the whole bit table wherever it is used, and the driver keeps that text: windows of one length are not looked up again.
+    kept = F.array(window(lengths[0])) if len(lengths) == 1 else F.array_compact(F.array(*[F.when(hit[n], window(n)) for n in lengths]))
+    held = hashed.filter(reduce(Column.__or__, hit.values())).select("doc_id", "text_key", "row", "pos", F.explode(kept).alias("h"))
     flat = held.select("doc_id", "text_key", "row", "pos", "h.own", F.explode("h.grams").alias("gram"))
     found = flat.join(windows, "gram")
     slot = lambda i: F.get("t_words", i).startswith("\x01")
